@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_rules
+from . import bpe, fixity, mixing, perplexity, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op8_warc_fixity": fixity.op8_warc_fixity,
         "op9_poisson_mix": mixing.op9_poisson_mix,
+        "op10_quality_classifier": perplexity.op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_poisson_mix": mixing.OP9_SQL}
+    return {"op8_warc_fixity": fixity.OP8_SQL, "op9_poisson_mix": mixing.OP9_SQL}
