@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the folder of checkpoints: compressed, and read column by column."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = _own.setdefault("folder", tempfile.mkdtemp(prefix="checkpoints-"))
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_own: dict[str, str] = {}
+
+
 def crc_mod5(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5: the folds that op2 and op4 hold out by."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5

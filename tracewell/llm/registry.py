@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, fixity, mixing, perplexity, quality_rules
+from . import bpe, fixity, lm, mixing, perplexity, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_ppm": lm.op2_ppm,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op8_warc_fixity": fixity.op8_warc_fixity,
         "op9_poisson_mix": mixing.op9_poisson_mix,
