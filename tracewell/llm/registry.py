@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fixity, lm, minhash, mixing, perplexity, quality_rules
+from . import bpe, fixity, lm, minhash, mixing, parsing, perplexity, quality_rules
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_ppm": lm.op2_ppm,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_near_duplicates": minhash.op6_near_duplicates,
+        "op7_repeated_spans": parsing.op7_repeated_spans,
         "op8_warc_fixity": fixity.op8_warc_fixity,
         "op9_poisson_mix": mixing.op9_poisson_mix,
         "op10_quality_classifier": perplexity.op10_quality_classifier,
