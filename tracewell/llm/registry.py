@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, fixity, lm, minhash, mixing, parsing, perplexity, quality_rules
+from . import bpe, fixity, lm, minhash, mixing, neighbours, parsing, perplexity, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_ppm": lm.op2_ppm,
+        "op3_collision_counting": neighbours.op3_collision_counting,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_near_duplicates": minhash.op6_near_duplicates,
         "op7_repeated_spans": parsing.op7_repeated_spans,
