@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fixity, lm, minhash, mixing, neighbours, parsing, perplexity, quality_rules
+from . import bpe, fixity, lm, minhash, mixing, neighbours, parsing, perplexity, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op2_ppm": lm.op2_ppm,
         "op3_collision_counting": neighbours.op3_collision_counting,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_near_duplicates": minhash.op6_near_duplicates,
         "op7_repeated_spans": parsing.op7_repeated_spans,
