@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import predicates as p
+from ..sources.views import log
+from . import aggregates, correlations, filters, parsers, rules, scalars, sequences, streams  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'error'")
+    """Warnings and worse that do not come from one host: a boolean filter over the log view."""
+    rows = log(spark, sf_dir)
+    return rows.where(p.compare("severity", "<=", 4) & ~p.host("address", "host", "sw7$")).select("id", "received", "host", "program", "severity", "message")
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
