@@ -216,7 +216,7 @@ def evidence(docs: DataFrame, text: str, model: np.ndarray, words: dict[str, flo
                 best.append(max(found, default=0.0))
                 total.append(sum(set(found)))
                 hits.append(float(len(found)))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(best), pa.array(total), pa.array(hits)], names=[*names, "_best", "_sum", "_hits"])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), *(pa.array(x, pa.float64()) for x in (best, total, hits))], names=[*names, "_best", "_sum", "_hits"])
 
     return docs.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, T.DoubleType()) for n in ("_best", "_sum", "_hits"))]))
 
