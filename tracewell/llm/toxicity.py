@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import chunks, crc_mod5, table, text_bytes
 
-TRAIN_ROWS, LEXICON, LEAST_TOXIC, LEAST_EVIDENCE = 20_000, 2_000, 4, 3.0
+TRAIN_ROWS, LEXICON, LEAST_TOXIC, LEAST_EVIDENCE, LEAST_DIVERGENCE = 20_000, 2_000, 4, 3.0, 8.0
 STEMS = (4, 5)
 KEPT, REMEMBERED = 200_000, 300_000
 #: States of the character model: a-z, 26 between tokens, 27 a letter beyond ASCII.
@@ -39,10 +39,9 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: Natural logarithms of the channel's probabilities: a sign for a letter, another sign for nothing, a sign that looks like a letter for nothing, a letter said once more.
 LOOK, NOTHING, UNSEEN, AGAIN = -1.5, -3.0, -8.0, -5.0
 TRIM = ".,;:?!\"'()[]{}<>«»“”‘’…"
-PLAIN = re.compile(r"(?!.*([^\W\d_])\1\1)[^\W\d_]*", re.DOTALL)
+TRIPLE = re.compile(r"(.)\1\1")
 LETTER = re.compile(r"[^\W\d_]")
 SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ \t]+[^\W\d_]){2,}(?!\S)")
-SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 #: Codes of observed characters: 0-25 a-z, 26 another letter, 27 a sign that looks like nothing, then LOOKS; 64 more if said again; 63 past the end.
 CODE = {chr(97 + i): i for i in range(26)} | {c: 28 + i for i, c in enumerate(LOOKS)}
@@ -106,10 +105,10 @@ def restore(tokens: list[str], model: np.ndarray) -> list[str]:
     out = [t.strip(TRIM) for t in tokens]
     by: dict[int, list[int]] = {}
     for i, (t, whole) in enumerate(zip(out, tokens)):
-        if PLAIN.fullmatch(t):
+        if t.isalpha() and not TRIPLE.search(t) or not t:
             continue
         if LETTER.search(t):
-            out[i] = whole.lstrip("\"'.,;:?").rstrip("\"'.,;:?)") or whole  # signs that can be letters stay
+            out[i] = whole.lstrip("\"'.,;:?").rstrip("\"'.,;:?!)") or whole  # signs that can be letters stay
             by.setdefault((len(out[i]) + 3) // 4, []).append(i)
     for width, group in by.items():
         step = max(1, 4000 // width)
@@ -128,8 +127,7 @@ def features(word: str) -> list[str]:
 def text_tokens(text: str | None) -> list[str]:
     """Lower-case tokens, and single letters in a row as one."""
     low = (text or "").lower()
-    words = [w for w in SPACES.split(low) if w]
-    return words + ["".join(m.group().split()) for m in SPACED.finditer(low)]
+    return low.split() + ["".join(m.group().split()) for m in SPACED.finditer(low)]
 
 
 def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -190,32 +188,36 @@ def lexicon(training: DataFrame, text: str, model: np.ndarray) -> dict[str, floa
 
     counted = training.select(F.col(text).alias("_text"), "_toxic").mapInArrow(run, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     evidence = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
-    rows = counted.withColumn("evidence", evidence).where((F.col("n1") >= LEAST_TOXIC) & (F.col("evidence") >= LEAST_EVIDENCE)).orderBy(F.desc(F.col("n1") * F.col("evidence")), "feature").limit(LEXICON).collect()
+    # A feature counts if its share of toxic texts is far from the rate of all (n times the divergence), so that chance ones do not.
+    rate, n = n1 / (n1 + n0), F.col("n1") + F.col("n0")
+    share = F.col("n1") / n
+    far = n * (share * F.log(share / rate) + F.when(F.col("n0") > 0, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0))
+    rows = counted.withColumn("evidence", evidence).where((F.col("n1") >= LEAST_TOXIC) & (F.col("evidence") >= LEAST_EVIDENCE)).where(far >= LEAST_DIVERGENCE).orderBy(F.desc(F.col("n1") * F.col("evidence")), "feature").limit(LEXICON).collect()
     return {r["feature"]: r["evidence"] for r in rows}
 
 
 def evidence(docs: DataFrame, text: str, model: np.ndarray, words: dict[str, float]) -> DataFrame:
-    """docs without the text, with _best, _sum and _hits: the strongest evidence of a word, that of all different words, and how many stand there."""
+    """docs without the text, with _best, _sum and _hits: the strongest evidence of a word, that of all different words, and how many of them stand there."""
     shared = docs.sparkSession.sparkContext.broadcast((model, words))
     fields = [f for f in docs.schema.fields if f.name != text]
     names = [f.name for f in fields]
 
     def run(batches):
         model, words = shared.value
-        known: dict[str, float] = {}
+        known: set[str] = set()  # tokens met before
+        telling: dict[str, float] = {}  # those of them with evidence
         for b in chunks(batches, text):
-            texts = [text_tokens(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            texts = [set(text_tokens(t)) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             if len(known) > REMEMBERED:
-                known = {}
-            new = list({w for t in texts for w in t if w not in known})
+                known, telling = set(), {}
+            new = list(set().union(*texts) - known)
+            known.update(new)
             for w, said in zip(new, restore(new, model)):
-                known[w] = max((words.get(f, 0.0) for f in features(said)), default=0.0)
-            best, total, hits = [], [], []
-            for t in texts:
-                found = [x for x in map(known.__getitem__, t) if x]
-                best.append(max(found, default=0.0))
-                total.append(sum(set(found)))
-                hits.append(float(len(found)))
+                value = max((words.get(f, 0.0) for f in features(said)), default=0.0)
+                if value:
+                    telling[w] = value
+            found = [[telling[w] for w in t.intersection(telling)] for t in texts]
+            best, total, hits = [max(x, default=0.0) for x in found], [float(sum(x)) for x in found], [float(len(x)) for x in found]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), *(pa.array(x, pa.float64()) for x in (best, total, hits))], names=[*names, "_best", "_sum", "_hits"])
 
     return docs.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, T.DoubleType()) for n in ("_best", "_sum", "_hits"))]))
