@@ -51,3 +51,26 @@ def incremental_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New rows through the active filter, appended to the view."""
     rows = events_stream(spark, sf_dir).where("event_type = 'error' and user_id % 3 = 1")
     return run_to_end(rows.select("event_id", "user_id"))
+
+
+def state_changes(stream: DataFrame, within: int) -> DataFrame:
+    """(user_id, t, event_id, state) of changes: an event in the last kept state, at most `within` microseconds after it, is dropped.
+
+    The last kept event of each user is the state between batches; it is as large as the number of users."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def fold(key, batches, state: GroupState):
+        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
+        last = state.get if state.exists else None
+        kept = []
+        for r in rows.itertuples(index=False):
+            if last is None or last[0] != r.event_type or r.t - last[1] > within:
+                last = (r.event_type, int(r.t))
+                kept.append((key[0], int(r.t), r.event_id, r.event_type))
+        if last is not None:
+            state.update(last)
+        yield pd.DataFrame(kept, columns=["user_id", "t", "event_id", "state"])
+
+    rows = stream.select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return rows.groupBy("user_id").applyInPandasWithState(fold, "user_id long, t long, event_id long, state string", "state string, t long", "append", GroupStateTimeout.NoTimeout)
