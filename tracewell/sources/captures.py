@@ -62,8 +62,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def record_bytes(ts_us, length, data):
     """A record of a capture file in network order, as a column; a file is its header and its packets' records in order of time."""
     four = lambda n: F.lpad(F.hex(n), 8, "0")
-    size = F.octet_length(data)
-    return F.unhex(F.concat(four(F.expr("ts_us div 1000000") if isinstance(ts_us, str) else F.floor(ts_us / 1_000_000)), four(F.pmod(F.col(ts_us) if isinstance(ts_us, str) else ts_us, F.lit(1_000_000))), four(size), four(length), F.hex(data)))
+    ts = F.col(ts_us) if isinstance(ts_us, str) else ts_us
+    left = F.pmod(ts, F.lit(1_000_000))
+    return F.unhex(F.concat(four(((ts - left) / 1_000_000).cast("bigint")), four(left), four(F.octet_length(data)), four(length), F.hex(data)))
 
 
 def file_header(link_type: int = 1) -> bytes:
