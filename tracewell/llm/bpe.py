@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table
+from .common import chunks, release, table
 
 NO_RANK = np.int32(2**31 - 1)
-#: A task's memory of words: emptied when it has so many, so that it stays under about 100 MB.
-REMEMBERED = 300_000
+#: A task's memory of words: emptied when it has so many, so that it stays under about 40 MB, and at the task's end.
+REMEMBERED = 150_000
 
 
 def default_vocabulary() -> str:
@@ -221,6 +221,8 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
         for b in chunks(batches, text):
             got = pa.array(v.encode(b.column(b.schema.get_field_index(text)).to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), got], names=[*keep, ids])
+        v.known.clear()
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -254,6 +256,8 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
                 of_ids.append(sha(",".join(map(v.decimal.__getitem__, ids)).encode()))
                 of_text.append(sha(v.decode(ids).encode()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        v.known.clear()
+        release()
 
     schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return df.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, schema)
