@@ -31,6 +31,8 @@ WORDS, PERCENT = 5, 85
 BANDS, ROWS = 24, 5
 #: A piece is cut into about BLOCKS blocks, of LEAST_BLOCK members at least and MOST_BLOCK at most.
 BLOCKS, LEAST_BLOCK, MOST_BLOCK = 16, 64, 4096
+#: A set is hot if more than one in SHARE of all texts has it, and at least so many.
+SHARE, LEAST_COPIES = 1000, 100
 
 
 # ---- sets and signatures ----------------------------------------------------------------------------------------
@@ -222,7 +224,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketched = written(sketches(docs, key, text, words, bands, rows))
     real = sketched.where("n_shingles > 0 and id is not null")
-    reps = real.groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
+    reps = real.groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("copies"))
     banded = reps.select("rep", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = banded.join(heads, "band").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
@@ -230,10 +232,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     sizes = pieces.groupBy("component").agg(F.count("*").alias("size"))
     members = written(pieces.join(sizes, "component"))
     linked = components(links(members, docs.where(F.col(key).isNotNull()), key, text, words, percent, partitions))
-    owners = reps.select("fp1", "fp2", "rep").join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
-    joined = sketched.select("id", "n_shingles", "fp1", "fp2").join(owners, ["fp1", "fp2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
-    return joined.select(F.col("id").alias(key), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    owners = reps.select("fp1", "fp2", "rep", "copies").join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "copies", F.coalesce("component", "rep").alias("component_id"))
+    # Sets with so many copies are fewer than SHARE, whatever the input, so they go to every task and no key of the join is hot.
+    many = max(real.count() // SHARE, LEAST_COPIES)
+    hot, rest = owners.where(F.col("copies") > many).drop("copies"), owners.where(F.col("copies") <= many).drop("copies")
+    own = sketched.select("id", "n_shingles", "fp1", "fp2")
+    linkable = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
+    keyed = own.where(linkable)
+    common = keyed.join(F.broadcast(hot), ["fp1", "fp2"])
+    others = keyed.join(F.broadcast(hot.select("fp1", "fp2")), ["fp1", "fp2"], "left_anti").join(rest, ["fp1", "fp2"])
+    alone = own.where(~linkable).withColumn("component_id", F.col("id"))
+    joined = common.unionByName(others).unionByName(alone)
+    return joined.select(F.col("id").alias(key), "n_shingles", "component_id").withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
