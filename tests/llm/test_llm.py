@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, fixity, lm, minhash, mixing, neighbours, parsing, perplexity, quality_rules, registry, toxicity
-from tracewell.llm.common import span_hash, prefix_hash, text_bytes, union_find
+from tracewell.llm.common import text_bytes, union_find
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LABELS = "doc_id bigint, quality int, toxic int"

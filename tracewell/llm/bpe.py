@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, release, table
+from .common import chunks, release, small_batches, table
 
 NO_RANK = np.int32(2**31 - 1)
 #: A task's memory of words: emptied when it has so many, so that it stays under about 40 MB, and at the task's end.
@@ -210,17 +210,23 @@ def _replaced(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
-    """df with the array column ids: the tokens of the column text."""
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, decoded: str | None = None) -> DataFrame:
+    """df with the array column ids: the tokens of the column text. With decoded, a column of that name has the SHA-256 of the
+    text that the tokens decode to."""
     path = path or default_vocabulary()
+    small_batches(df.sparkSession)
+    df = df.drop(decoded) if decoded else df
     schema = _replaced(df, ids, T.ArrayType(T.IntegerType()))
     keep = [f.name for f in schema.fields[:-1]]
+    names = [*keep, ids, *([decoded] if decoded else [])]
+    schema = schema.add(decoded, T.StringType()) if decoded else schema
 
     def run(batches):
         v = vocabulary(path)
         for b in chunks(batches, text):
-            got = pa.array(v.encode(b.column(b.schema.get_field_index(text)).to_pylist()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), got], names=[*keep, ids])
+            got = list(v.encode(b.column(b.schema.get_field_index(text)).to_pylist()))
+            more = [pa.array([hashlib.sha256(v.decode(i).encode()).hexdigest() for i in got], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(got, pa.list_(pa.int32())), *more], names=names)
         v.known.clear()
         release()
 
@@ -244,6 +250,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "text", path: str | None
 
 def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Per row: the number of tokens, and digests of the ids and of the text that they decode to."""
+    small_batches(df.sparkSession)
     path = path or default_vocabulary()
 
     def run(batches):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, chunks, mix, prefix_hash, span_hash, table, text_bytes, union_find, word_spans, written
+from .common import LOWER, chunks, mix, prefix_hash, small_batches, span_hash, table, text_bytes, union_find, word_spans, written
 
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 24, 5
@@ -221,6 +221,7 @@ def links(members: DataFrame, docs: DataFrame, key: str, text: str, words: int,
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: n_shingles, component_id (the smallest id reachable over links) and kept (whether that is its own)."""
+    small_batches(docs.sparkSession)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketched = written(sketches(docs, key, text, words, bands, rows))
     real = sketched.where("n_shingles > 0 and id is not null")

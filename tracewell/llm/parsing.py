@@ -17,18 +17,16 @@ match each other. Rows with a null id match nothing and are kept whole. An empty
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import chunks, mix, powers, prefix_hash, span_hash, table, text_bytes
+from .common import chunks, mix, powers, prefix_hash, small_batches, table, text_bytes
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block of documents, and behind a shard of the dictionary; entries that a task holds before it sends them.
-BLOCK, SHARD, HELD = 4 << 20, 16 << 20, 1_500_000
+BLOCK, SHARD, HELD = 4 << 20, 16 << 20, 500_000
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -274,8 +272,11 @@ def _cut(text: bytes, spans: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join(kept), [tuple(m) for m in merged]
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and spans of removed bytes, then the columns to carry."""
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and spans of removed bytes, then the columns to carry.
+
+    With whole, a character of which only some bytes would be left is not in kept."""
+    small_batches(docs.sparkSession)
     own = {"doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans", "block", "row_key", "text", key}
     if own & set(carry):
         raise ValueError(f"columns that clash with the result's: {sorted(own & set(carry))}")
@@ -297,14 +298,17 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
             t = t.encode()
             a, b = np.searchsorted(of, [k, k + 1]) if k < 2**63 - 1 else (np.searchsorted(of, k), len(of))
             kept, cuts = _cut(t, where[a:b])
-            for name, x in zip(out, (doc, len(t), len(t) - len(kept), len(cuts), kept, [{"start": a, "stop": b} for a, b in cuts])):
+            n_kept = len(kept)
+            if whole:
+                kept = kept.decode("utf-8", "ignore").encode()
+            for name, x in zip(out, (doc, len(t), len(t) - n_kept, len(cuts), kept, [{"start": a, "stop": b} for a, b in cuts])):
                 out[name].append(x)
         return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))))} | {c: left.column(c) for c in carry})
 
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     found = real.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, stop: long>>" + extra)
-    whole = ready.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"), F.array().cast("array<struct<start: bigint, stop: bigint>>").alias("spans"), *carry)
-    return found.unionByName(whole).withColumnRenamed("doc_id", key)
+    unmatched = ready.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"), F.array().cast("array<struct<start: bigint, stop: bigint>>").alias("spans"), *carry)
+    return found.unionByName(unmatched).withColumnRenamed("doc_id", key)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -312,13 +316,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     Texts stay as rows even if nothing is left of them; a null text becomes an empty one."""
     carry = tuple(c for c in docs.columns if c not in (key, text))
-    found = deduplicate(docs, key, text, length, carry)
-    whole = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(F.pandas_udf(_valid, T.StringType())("kept"))
-    return found.select(key, whole.alias(text), *carry).select(*docs.columns)
-
-
-def _valid(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: b.decode("utf-8", "ignore"))
+    found = deduplicate(docs, key, text, length, carry, whole=True)
+    return found.select(key, F.col("kept").cast("string").alias(text), *carry).select(*docs.columns)
 
 
 def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

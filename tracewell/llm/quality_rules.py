@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, prefix_hash, span_hash, table, text_bytes, word_spans
+from .common import chunks, prefix_hash, small_batches, span_hash, table, text_bytes, word_spans
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -139,6 +139,7 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def repetition(df: DataFrame, key: str = "doc_id", text: str = "text", max_covered: int = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """Per row of df: its counts, base_failed, and kept. max_covered is in hundredths of the words."""
+    small_batches(df.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat"]
 
     def run(batches):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, crc_mod5, table, text_bytes
+from .common import chunks, crc_mod5, small_batches, table, text_bytes
 
 TRAIN_ROWS, LEXICON, LEAST_TOXIC, LEAST_EVIDENCE, LEAST_DIVERGENCE = 20_000, 2_000, 4, 3.0, 8.0
 STEMS = (4, 5)
@@ -239,6 +239,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Per row: held_out, score (0 to 1) and predicted."""
+    small_batches(docs.sparkSession)
     docs = docs.select(key, text)
     model = character_model(docs, text)
     training = docs.join(F.broadcast(training_rows(labels, key, train_rows)), key)
