@@ -412,6 +412,26 @@ def test_classifier_keeps_clean_texts(spark):
     assert got[got.quality == 0].kept.mean() < 0.3
 
 
+def test_classifier_uses_all_trusted_rows(spark):
+    say = F.concat(F.lit("text number "), F.col("id").cast("string"), F.lit(" of "), F.md5(F.col("id").cast("string")))
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), say.alias("text"), F.when(F.col("id") % 500 == 0, "rare").otherwise("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert perplexity.count_grams(perplexity.trusted(docs, labels)).agg(F.sum("c")).first()[0] == docs.agg(F.sum(F.length("text"))).first()[0]
+    got = perplexity.judged(docs, labels).toPandas()
+    for name, rows in got.groupby("lang"):  # 60 of 30,000 are rare: fewer than 50 of any 20,000
+        assert np.allclose(rows.threshold, perplexity.MARGIN * np.percentile(rows.perplexity, 100 * perplexity.QUANTILE), rtol=1e-12), name
+
+
+def test_quantiles_equal_percentile(spark):
+    rng = random.Random(10)
+    rows = [(g, rng.choice([2.0, 3.5, rng.lognormvariate(2, 1)])) for g, n in (("a", 1), ("b", 2), ("c", 101), ("d", 5000)) for _ in range(n)] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "of string, v double")
+    for q in (0.0, 0.5, 0.99, 1.0):
+        want = {r["of"]: (r["n"], r["at"]) for r in df.groupBy("of").agg(F.count("v").alias("n"), F.percentile("v", F.lit(q)).alias("at")).where("n > 0").collect()}
+        got = {r["of"]: (r["n"], r["at"]) for r in perplexity.quantiles(df, q).collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in got)
+
+
 def test_classifier_odd_rows(spark, odd, labels):
     got = perplexity.judged(odd, labels).collect()
     assert len(got) == odd.count()

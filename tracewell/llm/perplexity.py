@@ -7,8 +7,8 @@ counts and the interpolation of the orders are joins of those shards. As the fin
 document meets it as a broadcast array instead of moving its text: a text's perplexity needs no shuffle. A text is rejected
 above its language's threshold: a high quantile of the trusted texts of that language, times a margin.
 
-Trusted text: documents with the quality label 1, at most ``TRUSTED_ROWS`` of them, those with the smallest hash
-of their ids. A language with fewer than ``LEAST_TRUSTED`` trusted texts takes the threshold of all. A null or
+Trusted text: all documents with the quality label 1; their n-grams are counted and their quantiles taken whole,
+by a join on the id that grows with them. A language with fewer than ``LEAST_TRUSTED`` trusted texts takes the threshold of all. A null or
 empty text, or one of white space only, has no perplexity (null) and is rejected. Repeated rows get the same
 verdict each.
 """
@@ -17,15 +17,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, chunks, small_batches, small_table, table, text_bytes
+from .common import SPACE, chunks, small_batches, small_table, table, text_bytes, written
 
 ORDER, BITS = 4, 5
-TRUSTED_ROWS, LEAST_TRUSTED = 20_000, 50
+LEAST_TRUSTED = 50
 QUANTILE, MARGIN = 0.99, 1.1
+#: Parts of a doubling of the perplexity that values are counted in before a quantile is looked up.
+STEPS = 1024
 #: Languages up to this many go to every task as thresholds; the rest take the threshold of all.
 LANGUAGES = 10_000
 
@@ -101,16 +103,20 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return lower
 
 
-def trusted_ids(labels: DataFrame, key: str = "doc_id", most: int = TRUSTED_ROWS) -> DataFrame:
-    """The ids of trusted rows, at most so many: a bounded sample that does not depend on row order."""
-    good = labels.where("quality = 1").where(F.col(key).isNotNull()).select(key).distinct()
-    return good.orderBy(F.xxhash64(key), key).limit(most)
+def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The ids of all trusted rows."""
+    return labels.where("quality = 1").where(F.col(key).isNotNull()).select(key).distinct()
+
+
+def trusted(rows: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows with trusted ids: both sides dealt by id, a task's ids held as a hash table, so that texts are not sorted."""
+    return rows.where(F.col(key).isNotNull()).join(trusted_ids(labels, key).hint("shuffle_hash"), key, "left_semi")
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
     """log2 of the model's probabilities, by n-gram code: an array of 32**4 numbers, whatever the input."""
-    ids = F.broadcast(trusted_ids(labels, key))  # at most TRUSTED_ROWS ids
-    model = kneser_ney(count_grams(docs.join(ids, key, "left_semi"), text))
+    # Written, as every order of the model reads the counts: the texts move once.
+    model = kneser_ney(written(count_grams(trusted(docs.select(key, text), labels, key), text)))
     out = np.zeros(1 << (BITS * ORDER), np.float32)
     got = model.toArrow()
     out[got.column("g").to_numpy()] = np.log2(got.column("p").to_numpy())
@@ -137,13 +143,33 @@ def with_perplexity(docs: DataFrame, model: np.ndarray, text: str = "text") -> D
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_symbols", T.LongType()), T.StructField("perplexity", T.DoubleType())]))
 
 
+def quantiles(values: DataFrame, quantile: float) -> DataFrame:
+    """(of, n, at): of each group of values (of, v: positive), their number and exact quantile, between neighbours as F.percentile.
+
+    Values are counted in steps of their logarithm first, which are few; only the steps that hold the quantile are looked
+    into, so that no task gathers a group's values.
+    """
+    values = values.where("v is not null").withColumn("step", F.floor(F.log2("v") * STEPS))
+    place = (F.col("n") - 1) * F.lit(quantile)
+    running = F.sum("c").over(Window.partitionBy("of").orderBy("step"))
+    steps = values.groupBy("of", "step").agg(F.count("*").alias("c")).withColumn("upto", running).withColumn("n", F.sum("c").over(Window.partitionBy("of")))
+    held = steps.withColumn("place", place).where(F.col("upto") - F.col("c") <= F.ceil("place")).where(F.col("upto") > F.floor("place"))
+    inside = values.join(F.broadcast(held.select("of", "step", "n", "place", (F.col("upto") - F.col("c")).alias("before"))), ["of", "step"])  # two steps a group at most
+    each = inside.groupBy("of", "step", "n", "place", "before", "v").agg(F.count("*").alias("c"))
+    each = each.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("of", "step").orderBy("v")))
+    ends = each.groupBy("of", "n", "place").agg(*(F.min(F.when(F.col("upto") > end("place"), F.col("v"))).alias(name) for name, end in (("low", F.floor), ("high", F.ceil))))
+    part = F.col("place") - F.floor("place")
+    return ends.select("of", "n", ((1 - part) * F.col("low") + part * F.col("high")).alias("at"))
+
+
 def thresholds(scored_trusted: DataFrame, lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> tuple[dict[str, float], float]:
     """The largest perplexity that each language lets pass, and that of all languages."""
-    at = (margin * F.percentile("perplexity", F.lit(quantile))).alias("most")  # exact, as there are TRUSTED_ROWS at most
-    by = scored_trusted.groupBy(F.coalesce(F.col(lang), F.lit("")).alias("lang")).agg(at, F.count("perplexity").alias("n")).where(F.col("n") >= LEAST_TRUSTED)
-    rows = small_table(by.orderBy(F.desc("n"), "lang").limit(LANGUAGES), LANGUAGES)
-    whole = scored_trusted.agg(at).first()["most"]
-    return {r["lang"]: r["most"] for r in rows}, float("inf") if whole is None else whole
+    of = F.explode(F.array(F.concat(F.lit("="), F.coalesce(F.col(lang), F.lit(""))), F.lit("all"))).alias("of")
+    found = written(quantiles(scored_trusted.select(of, F.col("perplexity").alias("v")), quantile).withColumn("most", F.lit(margin) * F.col("at")))
+    by = found.where(F.col("of").startswith("=") & (F.col("n") >= LEAST_TRUSTED))
+    rows = small_table(by.orderBy(F.desc("n"), "of").limit(LANGUAGES), LANGUAGES)
+    whole = found.where("of = 'all'").first()
+    return {r["of"][1:]: r["most"] for r in rows}, float("inf") if whole is None else whole["most"]
 
 
 def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -151,8 +177,9 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     small_batches(docs.sparkSession)
     docs = docs.drop("threshold", "kept")
     model = train(docs, labels, key, text)
-    ids = F.broadcast(trusted_ids(labels, key))
-    by, whole = thresholds(with_perplexity(docs.select(key, text, lang).join(ids, key, "left_semi"), model, text), lang)
+    # All rows are scored and only the numbers dealt by id: cheaper than to move the texts once more.
+    numbers = with_perplexity(docs.select(key, text, lang), model, text).select(key, lang, "perplexity")
+    by, whole = thresholds(trusted(numbers, labels, key), lang)
     spark = docs.sparkSession
     most = spark.createDataFrame(list(by.items()), "_lang string, threshold double")
     scored = with_perplexity(docs, model, text).withColumn("_lang", F.coalesce(F.col(lang), F.lit("")))
