@@ -360,6 +360,15 @@ def test_poisson_mix_with_many_sources(spark, odd, monkeypatch):
     assert sorted(map(tuple, mixing.poisson_mix(odd).drop("shuffle_key").collect()), key=repr) == few
 
 
+@pytest.mark.parametrize("mean, most", [(1000, 10_000), (5000, 10_000), (1000, 0)])
+def test_poisson_mix_with_large_means(spark, monkeypatch, mean, most):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
+    got = [r["count"] for r in mixing.poisson_mix(rows, weights={"s": 1.0}, total=300 * mean).groupBy("doc_id").count().collect()]
+    assert len(got) == 300 and abs(np.mean(got) - mean) < 4 * math.sqrt(mean / 300)
+    assert abs(np.var(got) / mean - 1) < 4 * math.sqrt(2 / 300)
+
+
 # ---- 10 ---------------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,9 @@
 
 Each source s has n_s rows and a target weight w_s; with M rows wanted in all its rate is w_s * M / n_s, the
 mean number of copies of each of its rows. A row's count is the Poisson distribution of that mean inverted at
-a uniform number hashed from seed and id: the number of k whose cumulative probability is not above it. Rows
+a uniform number hashed from seed and id: the number of k whose cumulative probability is not above it. A mean above
+``MEAN`` is drawn as a sum of Poisson counts of equal smaller means, each from its own hash, as exp(-mean) is zero for
+large ones and the table of probabilities would grow with the mean. Rows
 are exploded by their counts, and the copies dealt out and sorted by a hash of seed, id and copy number, which
 is a global shuffle. DataFrame functions only.
 
@@ -24,6 +26,8 @@ from .common import small_table, table
 #: Sources up to this many go to every executor as a table of rates; more are joined, with salted keys.
 BROADCAST_SOURCES, SALTS = 10_000, 64
 SEED = "mix-1"
+#: The largest mean that is drawn at once.
+MEAN = 500
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -49,6 +53,18 @@ def cumulative(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step)["cdf"]
 
 
+def parted(rated: DataFrame) -> DataFrame:
+    """rated with the number of Poisson counts that a row's draw is the sum of, and the probabilities of each."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN)).cast("int")
+    return rated.withColumn("_parts", parts).withColumn("_cdf", cumulative(F.col("rate") / F.col("_parts")))
+
+
+def draws(seed: str, key: str) -> Column:
+    """A uniform number for each of a row's parts; the first hashes seed and id alone."""
+    own = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    return F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda i: uniform(seed, F.when(i == 1, own).otherwise(F.concat_ws(":", F.lit("part"), i.cast("string"), own))))
+
+
 def rates(df: DataFrame, source: str, weights: dict[str, float] | None, power: float, total: int | None) -> DataFrame:
     """A row for each source: its rate of copies. Without weights, a source's weight is its size to a power."""
     sizes = df.groupBy(F.coalesce(F.col(source), F.lit("")).alias("_source")).agg(F.count("*").alias("_n"))
@@ -73,14 +89,13 @@ def poisson_mix(df: DataFrame, key: str = "doc_id", source: str = "source", weig
     few = small_table(found, BROADCAST_SOURCES)
     rated = df.withColumn("_source", F.coalesce(F.col(source), F.lit("")))
     if few is not None:
-        local = spark.createDataFrame([(r[0], r[1]) for r in few], "_source string, rate double").withColumn("_cdf", cumulative(F.col("rate")))
-        rated = rated.join(F.broadcast(local), "_source")
+        local = spark.createDataFrame([(r[0], r[1]) for r in few], "_source string, rate double")
+        rated = rated.join(F.broadcast(parted(local)), "_source")
     else:
-        salted = found.withColumn("_cdf", cumulative(F.col("rate"))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = parted(found).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rated = rated.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int")).join(salted, ["_source", "_salt"])
-    draw = uniform(seed, F.col(key))
-    copies = F.size(F.filter(F.col("_cdf"), lambda c: c <= F.col("_u")))
-    drawn = rated.withColumn("_u", draw).withColumn("_copies", copies).where("_copies > 0")
+    copies = F.aggregate(F.col("_u"), F.lit(0), lambda n, u: n + F.size(F.filter(F.col("_cdf"), lambda c: c <= u)))
+    drawn = rated.withColumn("_u", draws(seed, key)).withColumn("_copies", copies).where("_copies > 0")
     each = drawn.select(*(F.col(c) for c in df.columns), F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("copy"))
     keyed = each.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("copy").cast("string"))))
     return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
