@@ -264,6 +264,20 @@ def test_near_duplicates(spark, odd, real):
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_with_repeated_ids(spark, odd):
+    rng = random.Random(11)
+    say = lambda: [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    a, b, c, d = say(), say(), say(), say()
+    near_to = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near_to(a)), (3, near_to(b))]
+    rows += [(10, " ".join(c)), (11, near_to(c)), (11, " ".join(d)), (12, near_to(d)), (13, " ".join(d)), (14, "alone here"), (14, None)]
+    for df in (spark.createDataFrame(rows, "doc_id bigint, text string"), odd):
+        for n in (1, 5):
+            got = minhash.near_duplicates(df.repartition(n)).collect()
+            want = near([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()])
+            assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)

@@ -12,7 +12,8 @@ Texts with equal sets are one representative throughout, so that copies, however
 is dropped: 24 bands of 5 slots miss a pair at similarity 0.85 with a probability below 1e-6.
 
 Null and empty texts have empty sets and are linked with nothing. Fewer words than a shingle's form one
-shingle. Rows that repeat an id are one document each but share the component of that id. Rows with a null id
+shingle. Rows that repeat an id are one document each but share the component of that id: each of its sets is compared,
+under the hash of a text that has it, and all of them are united. Rows with a null id
 are kept, with themselves as component (null). An empty table gives an empty result.
 """
 
@@ -85,11 +86,11 @@ def super_minhash(h: np.ndarray, row: np.ndarray, rows: int, slots: int = BANDS
 
 
 def sketches(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, fp, bands): each text's set size, a 128-bit fingerprint of its set, and its bands' hashes."""
+    """(id, n_shingles, fp, bands, said): each text's set size, a 128-bit fingerprint of its set, its bands' hashes, and its own hash."""
 
     def run(batches):
         for b in chunks(batches, "_text"):
-            buf, offsets = text_bytes(b.column(1))
+            buf, offsets = text_bytes(b.column(2))
             h, row = shingles(buf, offsets, words)
             n = np.bincount(row, minlength=b.num_rows)
             sums = []
@@ -103,10 +104,10 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, bands: int, rows:
                 band = mix(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, i])
             band = mix(band + np.arange(bands, dtype=np.uint64)).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * bands), pa.array(band.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists], names=["id", "n_shingles", "fp1", "fp2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists, b.column(1)], names=["id", "n_shingles", "fp1", "fp2", "bands", "said"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("fp1", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("fp1", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("said", T.LongType())])
+    return docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("said"), F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 # ---- components -------------------------------------------------------------------------------------------------
@@ -195,10 +196,10 @@ def unit_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def links(members: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int, partitions: int) -> DataFrame:
-    """(a, b): a forest of the confirmed links inside the pieces of members (id, component, size)."""
+    """(a, b): a forest of the confirmed links inside the pieces of members (id, said, component, size): a set is the text of that id and hash."""
     width = F.least(F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("size") / BLOCKS)), F.lit(MOST_BLOCK))
     blocks = F.ceil(F.col("size") / width).cast("int")
-    placed = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "said"), F.col("blocks")).cast("int"))
 
     def run(batches):
         for b in chunks(batches, "_text"):
@@ -207,7 +208,8 @@ def links(members: DataFrame, docs: DataFrame, key: str, text: str, words: int,
             got = pa.array([x.tobytes() for x in np.split(h, ends[:-1])], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], got], names=["id", "component", "block", "blocks", "shingles"])
 
-    wanted = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).join(placed.drop("size"), "id").dropDuplicates(["id"])
+    texts = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("said"), F.col(text).alias("_text"))
+    wanted = texts.join(placed.drop("size"), ["id", "said"]).dropDuplicates(["id", "said"])
     sets = wanted.select("id", "_text", "component", "block", "blocks").mapInArrow(run, "id long, component long, block int, blocks int, shingles binary")
     # A unit of blocks (i, j), i <= j: a member of block x takes part in (x, j) as side 0 and in (i, x) as side 1; within (x, x) it is both (-1).
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -219,20 +221,32 @@ def links(members: DataFrame, docs: DataFrame, key: str, text: str, words: int,
     return paired.select("id", F.when(F.col("blocks") == 1, F.col("component")).otherwise(unit).alias("piece"), side.alias("side"), unit.alias("unit"), "shingles").groupBy("unit").applyInPandas(lambda pdf: unit_links(pdf, percent), "a long, b long")
 
 
+def same_ids(real: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): of each id with several sets, the links from it to those of its sets that go by a smaller id."""
+    pair = F.struct("fp1", "fp2")
+    several = real.groupBy("id").agg(F.min(pair).alias("_least"), F.max(pair).alias("_most")).where("_least <> _most").select("id")
+    sets = real.select("id", "fp1", "fp2").join(several, "id", "left_semi").distinct()
+    return sets.join(reps.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: n_shingles, component_id (the smallest id reachable over links) and kept (whether that is its own)."""
     small_batches(docs.sparkSession)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketched = written(sketches(docs, key, text, words, bands, rows))
     real = sketched.where("n_shingles > 0 and id is not null")
-    reps = real.groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("copies"))
+    reps = real.groupBy("fp1", "fp2").agg(F.min(F.struct("id", "said")).alias("_first"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("copies"))
+    reps = reps.select("fp1", "fp2", F.col("_first.id").alias("rep"), F.col("_first.said").alias("said"), "bands", "copies")
     banded = reps.select("rep", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = banded.join(heads, "band").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
     pieces = components(stars)
-    sizes = pieces.groupBy("component").agg(F.count("*").alias("size"))
-    members = written(pieces.join(sizes, "component"))
-    linked = components(links(members, docs.where(F.col(key).isNotNull()), key, text, words, percent, partitions))
+    # Sets that go by one id are one node, as they share its component, but a member of the piece each.
+    placed = written(pieces.join(reps.select(F.col("rep").alias("id"), "said"), "id"))
+    sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
+    members = written(placed.join(sizes, "component"))
+    confirmed_links = links(members, docs.where(F.col(key).isNotNull()), key, text, words, percent, partitions)
+    linked = components(confirmed_links.union(same_ids(real, reps)))
     owners = reps.select("fp1", "fp2", "rep", "copies").join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "copies", F.coalesce("component", "rep").alias("component_id"))
     # Sets with so many copies are fewer than SHARE, whatever the input, so they go to every task and no key of the join is hot.
     many = max(real.count() // SHARE, LEAST_COPIES)
