@@ -319,8 +319,11 @@ def spans(rows, length):
     return out
 
 
+@pytest.mark.parametrize("hot", [False, True])
 @pytest.mark.parametrize("which", ["odd", "real", "empty", "periodic"])
-def test_repeated_spans(spark, request, which):
+def test_repeated_spans(spark, request, monkeypatch, which, hot):
+    if hot:  # every repeated trigger is dealt window by window
+        monkeypatch.setattr(parsing, "MOST_HOT", 0)
     if which == "periodic":
         rng = random.Random(8)
         df = spark.createDataFrame([(i, "".join(rng.choice(["ab", "abc", "xyz" * 9]) for _ in range(rng.randrange(60)))) for i in range(80)], "doc_id bigint, text string")
@@ -332,9 +335,26 @@ def test_repeated_spans(spark, request, which):
     assert all(sum(s["stop"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in got)
 
 
-def test_whole_texts_after_removal(odd):
+def test_whole_texts_after_removal(spark, odd):
     got = parsing.without_repeats(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
+    clash = odd.select("*", *(F.lit(1).alias(c) for c in ("kept", "spans", "block", "row_key", "n_bytes")))
+    assert parsing.without_repeats(clash).columns == clash.columns
+
+
+def test_cut_characters_do_not_meet():
+    assert parsing._cut("é-----ß".encode(), np.array([[1, 8]]), True)[0] == b""
+    assert parsing._cut("é-----ß".encode(), np.array([[1, 8]]), False)[0] == b"\xc3\x9f"
+
+
+def test_sorted_ranks():
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab\0") for _ in range(rng.randrange(20))).encode() for _ in range(500)]
+    size = np.array([len(t) for t in texts])
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    order, _, rank = parsing.sorted_ranks(parsing.rows_of(flat, np.cumsum(size) - size, size, 24), size)
+    assert [texts[i] for i in order] == sorted(texts)
+    assert rank.tolist() == [sorted(set(texts)).index(t) for t in texts]
 
 
 # ---- 8 ----------------------------------------------------------------------------------------------------------
