@@ -230,7 +230,7 @@ def test_quality_rules_random():
 # ---- 6 ----------------------------------------------------------------------------------------------------------
 
 
-def near(rows):
+def near(rows, percent=85):
     sets = []
     for i, t in rows:
         w = (t or "").encode().lower().split()
@@ -246,18 +246,21 @@ def near(rows):
     for x in range(len(rows)):
         for y in range(x):
             a, b = sets[x], sets[y]
-            if a and b and None not in (ids[x], ids[y]) and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and None not in (ids[x], ids[y]) and 100 * len(a & b) >= percent * len(a | b):
                 p, q = find(ids[x]), find(ids[y])
                 root[max(p, q)] = min(p, q)
     return Counter((i, len(s), find(i) if s and i is not None else i) for i, s in zip(ids, sets))
 
 
-def test_near_duplicates(spark, odd, real):
+@pytest.mark.parametrize("large", [minhash.LARGE, 1])
+def test_near_duplicates(spark, odd, real, monkeypatch, large):
+    monkeypatch.setattr(minhash, "LARGE", large)  # 1: all candidates are compared by leaders and bands
+    monkeypatch.setattr(minhash, "FOLLOWERS", 16 if large == 1 else minhash.FOLLOWERS)
     rng = random.Random(6)
     base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
     rows = [(i, " ".join(w if rng.random() > 0.01 * (i % 6) else "new%d" % rng.randrange(10**6) for w in base)) for i in range(100, 340)]
     group = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for df in (odd.drop_duplicates(["doc_id", "text"]).where("not (doc_id = 7 and text like 'another%')"), real, group, empty(spark)):
+    for df in (odd, real, group, empty(spark)):
         got = minhash.near_duplicates(df).collect()
         want = near([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()])
         assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
@@ -407,45 +410,67 @@ def test_poisson_mix_with_large_means(spark, monkeypatch, mean, most):
 
 
 def kneser_ney(counts):
-    """The model by loops over dictionaries."""
-    bits, order = perplexity.BITS, perplexity.ORDER
+    """The model by loops over dictionaries: a function of (context and byte)."""
+    order = perplexity.ORDER
     orders = {order: dict(counts)}
     for k in range(order - 1, 0, -1):
-        orders[k] = Counter(g & ((1 << bits * k) - 1) for g in orders[k + 1])
-    lower = {0: 1 / (1 << bits)}
-    for k in range(1, order + 1):
+        orders[k] = Counter(g[1:] for g in orders[k + 1])
+    cuts, total, freed = {}, Counter(), Counter()
+    for k in orders:
         of = Counter(orders[k].values())
         y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0.5
-        cut = {i: min(max(i - (i + 1) * y * of[i + 1] / of[i] if of[i] else 0.5, 0.1), i - 0.1) for i in (1, 2, 3)}
-        total, freed = Counter(), Counter()
+        cuts[k] = {i: min(max(i - (i + 1) * y * of[i + 1] / of[i] if of[i] else 0.5, 0.1), i - 0.1) for i in (1, 2, 3)}
         for g, c in orders[k].items():
-            total[g >> bits] += c
-            freed[g >> bits] += cut[min(c, 3)]
-        here = {}
-        for g in range(1 << bits * k) if k < 3 else orders[k]:
-            low = lower_of(lower, orders, k - 1, g & ((1 << bits * (k - 1)) - 1))
-            own = orders[k].get(g, 0)
-            here[g] = ((max(own - cut[min(own, 3)], 0) if own else 0) + freed[g >> bits] * low) / total[g >> bits] if total[g >> bits] else low
-        lower = here
-    return lower
-
-
-def lower_of(lower, orders, k, g):
-    return lower[g if k else 0]
-
-
-def test_kneser_ney_equals_loops(spark):
-    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "that hat", "1 2 3!"] * 2
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    counts = perplexity.count_grams(docs)
-    code, _ = perplexity.grams(*text_bytes(pa.array(texts)))
-    assert {r["g"]: r["c"] for r in counts.collect()} == Counter(code.tolist())
-    model = perplexity.kneser_ney(counts)
-    got = {r["g"]: r["p"] for r in model.where(F.col("g").isin([int(g) for g in set(code.tolist())])).collect()}
-    want = kneser_ney(Counter(code.tolist()))
-    assert all(abs(got[g] - want[g]) < 1e-9 for g in got) and len(got) == len(set(code.tolist()))
-    sums = model.groupBy(F.shiftright("g", 5).alias("h")).agg(F.sum("p").alias("s")).agg(F.min("s"), F.max("s")).first()
-    assert abs(sums[0] - 1) < 1e-9 and abs(sums[1] - 1) < 1e-9
+            total[k, g[:-1]] += c
+            freed[k, g[:-1]] += cuts[k][min(c, 3)]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        c, t = orders[k].get(g, 0), total[k, g[:-1]]
+        return p(g[1:]) if not t else ((c - cuts[k][min(c, 3)] if c else 0) + freed[k, g[:-1]] * p(g[1:])) / t
+
+    return p
+
+
+def byte_ngrams(text):
+    raw = b"\n" * (perplexity.ORDER - 1) + (text or "").encode()
+    return [raw[i : i + perplexity.ORDER] for i in range(len(raw) - perplexity.ORDER + 1)]
+
+
+def test_kneser_ney_is_a_distribution():
+    p = kneser_ney(Counter(g for t in ("the cat sat on the mat", "a hat") for g in byte_ngrams(t)))
+    for h in (b"the ", b"n th", b"zzzz"):
+        assert abs(sum(p(h + bytes([w])) for w in range(256)) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("which", ["odd", "real"])
+def test_classifier_equals_loops(spark, request, labels, monkeypatch, which):
+    df = request.getfixturevalue(which).limit(120)
+    some = labels if which == "real" else spark.createDataFrame([(i, 1, 0) for i in (0, 3, 4, 5, 8, 12)] + [(5, 1, 0), (6, 0, 0), (None, 1, 0)], LABELS)
+    monkeypatch.setattr(perplexity, "LEAST_TRUSTED", 3)
+    monkeypatch.setattr(perplexity, "BLOCK", 1 << 14)
+    monkeypatch.setattr(perplexity, "LOT", 2)
+    docs = df.collect()
+    good = {r["doc_id"] for r in some.collect() if r["quality"] == 1} - {None}
+    p = kneser_ney(Counter(g for r in docs if r["doc_id"] in good for g in byte_ngrams(r["text"])))
+    bits = lambda t: -sum(math.log2(p(g)) for g in byte_ngrams(t))
+    value = [2 ** (bits(r["text"]) / len(r["text"].encode())) if (r["text"] or "").encode().split() else None for r in docs]
+    by = {}
+    for r, v in zip(docs, value):
+        if r["doc_id"] in good and v is not None:
+            by.setdefault(r["lang"] or "", []).append(v)
+            by.setdefault("*", []).append(v)
+    most = {k: perplexity.MARGIN * np.percentile(v, 100 * perplexity.QUANTILE) for k, v in by.items() if k == "*" or len(v) >= 3}
+    want = sorted((repr(r["doc_id"]), len((r["text"] or "").encode()), v, most.get(r["lang"] or "", most["*"])) for r, v in zip(docs, value) if v is not None)
+    got = perplexity.judged(df, some)
+    assert got.columns == [*df.columns, "n_symbols", "perplexity", "threshold", "kept"] and got.count() == len(docs)
+    found = sorted((repr(r["doc_id"]), r["n_symbols"], r["perplexity"], r["threshold"]) for r in got.where("perplexity is not null").collect())
+    assert len(found) == len(want)
+    for x, y in zip(found, want):
+        assert x[:2] == y[:2] and abs(x[2] / y[2] - 1) < 1e-4 and abs(x[3] / y[3] - 1) < 1e-4
+    assert all(r["kept"] == (r["perplexity"] is not None and r["perplexity"] <= r["threshold"]) for r in got.collect())
 
 
 def test_classifier_keeps_clean_texts(spark):
@@ -459,7 +484,7 @@ def test_classifier_uses_all_trusted_rows(spark):
     say = F.concat(F.lit("text number "), F.col("id").cast("string"), F.lit(" of "), F.md5(F.col("id").cast("string")))
     docs = spark.range(30_000).select(F.col("id").alias("doc_id"), say.alias("text"), F.when(F.col("id") % 500 == 0, "rare").otherwise("en").alias("lang"))
     labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
-    assert perplexity.count_grams(perplexity.trusted(docs, labels)).agg(F.sum("c")).first()[0] == docs.agg(F.sum(F.length("text"))).first()[0]
+    assert perplexity.train(docs, labels).agg(F.sum("c")).first()[0] == docs.agg(F.sum(F.length("text"))).first()[0]
     got = perplexity.judged(docs, labels).toPandas()
     for name, rows in got.groupby("lang"):  # 60 of 30,000 are rare: fewer than 50 of any 20,000
         assert np.allclose(rows.threshold, perplexity.MARGIN * np.percentile(rows.perplexity, 100 * perplexity.QUANTILE), rtol=1e-12), name
@@ -508,8 +533,13 @@ def test_pipeline(spark, sf_dir):
     clean = docs.join(labels.where("quality = 1"), "doc_id", "left_semi")
     assert clean.join(good, "doc_id", "left_anti").count() <= 0.03 * clean.count()
     kept = p.near_duplicates(spark, docs, sf_dir)
-    want = near([(r["doc_id"], r["text"]) for r in docs.collect()])
+    want = near([(r["doc_id"], r["text"]) for r in docs.collect()], 80)
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _, c in want if i == c}
+    # One word of 60 changed is a similarity of 51 / 61, one of 45 of 36 / 46 (below 0.8), one of 50 of 41 / 51.
+    said = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    edge = [(2 * i + j, said(i, n).replace("x25", "y") if j else said(i, n), "en", "s", 1) for i, n in enumerate((60, 45, 50)) for j in (0, 1)]
+    left = p.near_duplicates(spark, spark.createDataFrame(edge + edge[:1], DOCS), sf_dir)
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 2, 3, 4]
     cut = p.repeated_spans(spark, docs, sf_dir)
     exact = {i: k for i, _, _, _, k in spans([(r["doc_id"], r["text"].encode()) for r in docs.collect()], 50)}
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == {i: k.decode("utf-8", "ignore") for i, k in exact.items()}

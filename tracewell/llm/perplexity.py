@@ -1,108 +1,154 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-Symbols are characters in 32 classes (a-z; other letters in lower or upper case; digits; marks of a sentence;
-other signs; white space), so the counts of all n-grams of order 4 have a proven bound of 32**4 rows and the
-model a bound of one number for each. Counting is partial in each task and sharded by n-gram in Spark; discounts, continuation
-counts and the interpolation of the orders are joins of those shards. As the finished table is bounded, each
-document meets it as a broadcast array instead of moving its text: a text's perplexity needs no shuffle. A text is rejected
-above its language's threshold: a high quantile of the trusted texts of that language, times a margin.
-
-Trusted text: all documents with the quality label 1; their n-grams are counted and their quantiles taken whole,
-by a join on the id that grows with them. A language with fewer than ``LEAST_TRUSTED`` trusted texts takes the threshold of all. A null or
-empty text, or one of white space only, has no perplexity (null) and is rejected. Repeated rows get the same
-verdict each.
+Symbols are bytes, all 256 of them, so that no letter of any script is folded into another; an n-gram is ``ORDER`` bytes (a text begins
+after line ends). The model grows with the corpus:
+
+1. The n-grams of all trusted texts (quality label 1) are counted, partly in each task and then in shards; the counts are stored once. Continuation
+   counts and discounts of the lower orders come from them.
+2. The n-grams of all texts are gathered in the same way, and every order's probability of each is worked out by joins with the counts of
+   n-grams and of contexts, from order 1 up.
+3. Documents go in blocks. A block asks the shards for its different n-grams only, packed; the shards answer, and the block adds up the
+   code length of each text. Texts travel once, compressed; nothing of the model is broadcast.
+
+A text is rejected above its language's threshold: an exact high quantile of the trusted texts of that language, times a margin. A language with fewer than
+``LEAST_TRUSTED`` trusted texts takes the threshold of all. Trusted texts are found by a join on the id; a bit map of fixed size keeps most
+others out of it.
+
+A null or empty text, or one of white space only, has no perplexity (null) and is rejected. Very long texts count whole and are worked on in slices.
+Repeated rows get the same verdict each; a text exactly at the threshold is kept. Without trusted texts every text with a word is kept. Rows with a null id are
+judged, but never trusted. Input columns named as an added one are replaced, others may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, chunks, small_batches, small_table, table, text_bytes, written
+from .common import SPACE, chunks, release, small_batches, small_table, table, text_bytes, written
 
-ORDER, BITS = 4, 5
+ORDER = 5
 LEAST_TRUSTED = 50
 QUANTILE, MARGIN = 0.99, 1.1
 #: Parts of a doubling of the perplexity that values are counted in before a quantile is looked up.
 STEPS = 1024
-#: Languages up to this many go to every task as thresholds; the rest take the threshold of all.
-LANGUAGES = 10_000
-
-CLASS = np.full(256, 30, np.int64)  # other signs
-CLASS[np.arange(97, 123)] = np.arange(26)
-CLASS[np.arange(65, 91)] = 26
-CLASS[0xC0:] = 27  # the lead byte of a letter beyond ASCII
-CLASS[0x80:0xC0] = -1  # the rest of its bytes: no symbol of their own
-CLASS[np.arange(48, 58)] = 28
-CLASS[list(b".,;:!?'\"()-")] = 29
-CLASS[SPACE] = 31
-
-
-def symbols(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes of all characters, a run of white space as one symbol, and each one's row."""
-    got = CLASS[buf]
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    keep = got >= 0
-    got, row = got[keep], row[keep]
-    keep = np.r_[True, (got[1:] != 31) | (got[:-1] != 31) | (row[1:] != row[:-1])] if len(got) else keep[:0]
-    return got[keep], row[keep]
+#: Languages up to this many go to every task with their thresholds; more are joined, with salted keys.
+LANGUAGES, SALTS = 10_000, 64
+#: Bytes of text in a block, n-grams in a shard of the model, blocks that one part of a shard answers; n-grams that a task holds.
+BLOCK, SHARD, LOT, HELD = 8 << 20, 1 << 20, 256, 1 << 19
+#: Bits of the map of trusted ids; an odd number of 20 bits that spreads codes over shards.
+MAP, SPREAD = 1 << 26, 742_039
+
+
+# ---- n-grams ----------------------------------------------------------------------------------------------------
 
 
 def grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The code of the n-gram that ends at each character, texts starting after white space, and its row."""
-    got, row = symbols(buf, offsets)
-    code = got.copy()
+    """The code of the n-gram that ends at each byte, and its row."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    place = np.arange(len(buf)) - offsets[:-1][row]
+    code = buf.astype(np.int64)
     for back in range(1, ORDER):
-        earlier = np.r_[np.full(min(back, len(got)), 31), got[:-back]]
-        same = np.r_[np.zeros(min(back, len(got)), bool), row[back:] == row[:-back]]
-        code |= np.where(same, earlier, 31) << (BITS * back)
+        earlier = np.r_[np.zeros(min(back, len(buf)), np.uint8), buf[:-back]].astype(np.int64)
+        code |= np.where(place >= back, earlier, 10) << (8 * back)
     return code, row
 
 
-def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(g, c): how often each n-gram occurs in all texts; at most 32**4 rows."""
+def mask(k: int) -> int:
+    return (1 << (8 * k)) - 1
 
-    def run(batches):
-        total = np.zeros(1 << (BITS * ORDER), np.int64)
-        for b in chunks(batches, "_text"):
-            total += np.bincount(grams(*text_bytes(b.column(0)))[0], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["g", "c"])
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "g int, c long").groupBy("g").agg(F.sum("c").alias("c"))
+def counted(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    got, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return got, np.bincount(at, np.concatenate(counts), len(got)).astype(np.int64)
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(g, p): the probability of the last symbol of each of the 32**4 n-grams after the others.
+def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(g, c): how often each n-gram occurs in all texts, counted partly in each task. A binary text is a compressed one."""
+    packed = isinstance(docs.schema[text].dataType, T.BinaryType)
 
-    The highest order has the counts, a lower one the number of different symbols seen before its n-gram. Each
-    order has three discounts, for counts of one, two, and more, from its counts of counts.
-    """
-    spark = counts.sparkSession
-    orders = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
-        orders[k] = orders[k + 1].groupBy(F.col("g").bitwiseAND((1 << (BITS * k)) - 1).alias("g")).agg(F.count("*").alias("c"))
-    lower = spark.range(1).select(F.lit(0).alias("g"), F.lit(1.0 / (1 << BITS)).alias("p"))
+    def run(batches):
+        codes, counts, held = [], [], 0
+        for b in unpacked(batches, "_text") if packed else chunks(batches, "_text"):
+            got, n = np.unique(grams(*text_bytes(b.column(0)))[0], return_counts=True)
+            codes.append(got)
+            counts.append(n)
+            held += len(got)
+            if held > HELD:
+                codes, counts = ([x] for x in counted(codes, counts))
+                held = 0
+                if len(codes[0]) > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(codes[0]), pa.array(counts[0])], names=["g", "c"])
+                    codes, counts = [], []
+        if codes:
+            got, n = counted(codes, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(n)], names=["g", "c"])
+        release()
+
+    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+
+
+def kneser_ney(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(g, p): for each n-gram asked for, the probability of its last byte after the others.
+
+    The highest order has the counts (g, c), a lower one the number of different bytes seen before its n-gram. Each
+    order has three discounts, for counts of one, two, and more, from its counts of counts."""
+    low = F.lit(1 / 256)
+    lower = None
     for k in range(1, ORDER + 1):
-        seen = orders[k]
-        of = seen.agg(*(F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)))
-        y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
-        cut = lambda i: F.least(F.greatest(F.when(F.col(f"n{i}") > 0, F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")).otherwise(F.lit(0.5)), F.lit(0.1)), F.lit(i - 0.1))
-        discounts = of.select(*(cut(i).alias(f"d{i}") for i in (1, 2, 3)))  # one row
-        cutted = seen.crossJoin(F.broadcast(discounts)).withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        context = F.shiftright("g", BITS)
-        after = cutted.groupBy(context.alias("h")).agg(F.sum("c").cast("double").alias("t"), F.sum("d").alias("freed"))
-        own = cutted.select("g", (F.col("c") - F.col("d")).alias("own"))
-        every = spark.range(1 << (BITS * k)).select(F.col("id").cast("int").alias("g"))
-        every = every.withColumn("h", context).withColumn("low", F.col("g").bitwiseAND((1 << (BITS * (k - 1))) - 1))
-        p = F.when(F.col("t").isNull(), F.col("p")).otherwise((F.coalesce("own", F.lit(0.0)) + F.col("freed") * F.col("p")) / F.col("t"))
-        lower = every.join(own, "g", "left").join(after, "h", "left").join(lower.withColumnRenamed("g", "low"), "low").select("g", p.alias("p"))
+        seen = counts if k == ORDER else counts.select(F.col("g").bitwiseAND(mask(k + 1)).alias("g")).distinct().groupBy(F.col("g").bitwiseAND(mask(k)).alias("g")).agg(F.count("*").alias("c"))
+        n = [float(x or 0) for x in seen.agg(*(F.count_if(F.col("c") == i) for i in (1, 2, 3, 4))).first()]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        d = [min(max(i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.5, 0.1), i - 0.1) for i in (1, 2, 3)]
+        cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        context = F.shiftright("g", 8)
+        after = seen.groupBy(context.alias("h")).agg(F.sum("c").cast("double").alias("t"), F.sum(cut).alias("freed"))
+        own = seen.select("g", (F.col("c") - cut).alias("own"))
+        every = asked if k == ORDER else asked.select(F.col("g").bitwiseAND(mask(k)).alias("g")).distinct()
+        every = every.withColumn("h", context).join(own, "g", "left").join(after, "h", "left")
+        if lower is not None:
+            every = every.withColumn("low", F.col("g").bitwiseAND(mask(k - 1))).join(lower.withColumnRenamed("g", "low"), "low")
+            low = F.col("p")
+        p = F.when(F.col("t").isNull(), low).otherwise((F.coalesce("own", F.lit(0.0)) + F.col("freed") * low) / F.col("t"))
+        lower = written(every.select("g", p.alias("p")))
     return lower
 
 
+# ---- trusted texts ----------------------------------------------------------------------------------------------
+
+
+def packed_texts(docs: DataFrame, text: str, keep: np.ndarray | None = None, place: str | None = None) -> DataFrame:
+    """docs with each text compressed; with keep, only rows whose column place is set in that map (place is not returned)."""
+    fields = [f for f in docs.schema.fields if f.name != place]
+    shared = docs.sparkSession.sparkContext.broadcast(keep) if keep is not None else None
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in chunks(batches, text):
+            if shared is not None:
+                at = b.column(b.schema.get_field_index(place)).to_numpy()
+                b = b.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0))
+            small = pa.array([squeeze(t.as_buffer()) if t.is_valid else None for t in b.column(b.schema.get_field_index(text))], pa.binary())
+            yield pa.RecordBatch.from_arrays([small if f.name == text else b.column(b.schema.get_field_index(f.name)) for f in fields], names=[f.name for f in fields])
+        release()
+
+    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in fields]))
+
+
+def unpacked(batches, text: str):
+    """Batches of compressed texts as batches of texts, in slices."""
+    spread = zstandard.ZstdDecompressor().decompress
+    for b in batches:
+        at = b.schema.get_field_index(text)
+        for low in range(0, b.num_rows, 256):
+            part = b.slice(low, 256)
+            texts = pa.array([spread(t.as_buffer()) if t.is_valid else None for t in part.column(at)], pa.binary()).cast(pa.string())
+            yield from chunks([pa.RecordBatch.from_arrays([texts if i == at else part.column(i) for i in range(part.num_columns)], names=part.schema.names)], text)
+
+
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """The ids of all trusted rows."""
     return labels.where("quality = 1").where(F.col(key).isNotNull()).select(key).distinct()
@@ -113,34 +159,104 @@ def trusted(rows: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFram
     return rows.where(F.col(key).isNotNull()).join(trusted_ids(labels, key).hint("shuffle_hash"), key, "left_semi")
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
-    """log2 of the model's probabilities, by n-gram code: an array of 32**4 numbers, whatever the input."""
-    # Written, as every order of the model reads the counts: the texts move once.
-    model = kneser_ney(written(count_grams(trusted(docs.select(key, text), labels, key), text)))
-    out = np.zeros(1 << (BITS * ORDER), np.float32)
-    got = model.toArrow()
-    out[got.column("g").to_numpy()] = np.log2(got.column("p").to_numpy())
+def id_map(ids: DataFrame, key: str) -> np.ndarray:
+    """MAP bits, set where the hash of an id falls: MAP / 64 rows at most."""
+    place = F.pmod(F.xxhash64(key), F.lit(MAP))
+    rows = ids.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), 64) as int))")).alias("b")).toArrow()
+    out = np.zeros(MAP // 64, np.uint64)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.uint64)
     return out
 
 
-def with_perplexity(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
-    """docs with the columns n_symbols and perplexity (per symbol; null without any)."""
-    docs = docs.drop("n_symbols", "perplexity")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, at = docs.columns, docs.columns.index(text)
-
-    def run(batches):
-        log2 = shared.value
-        for b in chunks(batches, text):
-            buf, offsets = text_bytes(b.column(at))
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(g, c) of all trusted texts, stored."""
+    likely = docs.where(F.col(key).isNotNull()).select(key, text, F.pmod(F.xxhash64(key), F.lit(MAP)).alias("_place"))
+    likely = packed_texts(likely, text, id_map(trusted_ids(labels, key), key), "_place")
+    return written(count_grams(trusted(likely, labels, key), text))
+
+
+# ---- perplexity -------------------------------------------------------------------------------------------------
+
+
+def shard_of(code, shards: int):
+    """The shard of a code of 40 bits, as a column or an array: the product stays within 60 bits."""
+    return (F.shiftright(code * F.lit(SPREAD), 17) if isinstance(code, Column) else code * SPREAD >> 17) % shards
+
+
+def block_texts(group: pa.Table):
+    """The texts of a block (compressed) as buffers with offsets and the number of the first row."""
+    first = 0
+    for b in unpacked(group.select(["_text"]).to_batches(), "_text"):
+        yield (*text_bytes(b.column(0)), first)
+        first += b.num_rows
+
+
+def block_codes(group: pa.Table) -> np.ndarray:
+    codes = np.zeros(0, np.int64)
+    for buf, offsets, _ in block_texts(group):
+        codes = np.union1d(codes, grams(buf, offsets)[0])
+    return codes
+
+
+def squeezed(*arrays: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 3)
+
+
+def with_perplexity(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to carry (the text may be one of them), with n_symbols and perplexity (per byte; null for blank texts)."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks, shards = total // BLOCK + 1, model.count() // SHARD + 12
+    whole = text in carry
+    fields = [T.StructField(f"_{i}", docs.schema[c].dataType) for i, c in enumerate(carry) if c != text]
+    ready = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(carry) if c != text), F.col(text).alias("_text"), F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("int").alias("_block"))
+    ready = packed_texts(ready, "_text")
+
+    def ask(group: pa.Table) -> pa.Table:
+        codes = block_codes(group)
+        shard = shard_of(codes, shards)
+        by = np.argsort(shard, kind="stable")
+        ends = np.searchsorted(shard[by], np.arange(shards + 1))
+        block = group.column("_block")[0].as_py()
+        parts = [codes[by[a:b]] for a, b in zip(ends[:-1], ends[1:])]
+        rows = [(s, block, len(c), squeezed(np.diff(c, prepend=0))) for s, c in enumerate(parts) if len(c)]
+        return pa.table({n: pa.array([r[i] for r in rows], kind) for i, (n, kind) in enumerate((("shard", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("codes", pa.binary())))})
+
+    def answer(questions: pa.Table, held: pa.Table) -> pa.Table:
+        g, p = held.column("g").to_numpy(), held.column("p").to_numpy()
+        by = np.argsort(g)
+        g, bits = g[by], -np.log2(p[by]).astype(np.float32)
+        out = []
+        for raw in questions.column("codes").to_pylist():
+            codes = np.cumsum(np.frombuffer(zstandard.decompress(raw), np.int64))
+            out.append(squeezed(bits[np.searchsorted(g, codes)]))
+        return pa.table({"shard": questions.column("shard"), "block": questions.column("block"), "bits": pa.array(out, pa.binary())})
+
+    def add(group: pa.Table, answers: pa.Table) -> pa.Table:
+        n, bits, words, texts = [], [], [], []
+        codes = block_codes(group)
+        shard, value = shard_of(codes, shards), np.zeros(len(codes))
+        for s, raw in zip(answers.column("shard").to_pylist(), answers.column("bits").to_pylist()):
+            value[shard == s] = np.frombuffer(zstandard.decompress(raw), np.float32)
+        for buf, offsets, _ in block_texts(group):
             code, row = grams(buf, offsets)
-            n = np.bincount(row, minlength=b.num_rows)
-            bits = -np.bincount(row, log2[code], b.num_rows)
-            blank = n <= np.bincount(row, (code & 31) == 31, b.num_rows)
-            per = pa.array(np.exp2(bits / np.maximum(n, 1)), mask=blank)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n.astype(np.int64)), per], names=[*names, "n_symbols", "perplexity"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_symbols", T.LongType()), T.StructField("perplexity", T.DoubleType())]))
+            rows = len(offsets) - 1
+            n.append(np.diff(offsets))
+            bits.append(np.bincount(row, value[np.searchsorted(codes, code)], rows))
+            words.append(np.bincount(row, ~SPACE[buf], rows))
+        n, bits, words = (np.concatenate(x or [np.zeros(0)]) for x in (n, bits, words))
+        out = {f.name: group.column(f.name) for f in fields}
+        if whole:
+            spread = zstandard.ZstdDecompressor().decompress
+            out["_text"] = pa.array([spread(t.as_buffer()) if t.is_valid else None for t in group.column("_text")], pa.binary()).cast(pa.string())
+        release()
+        return pa.table(out | {"n_symbols": pa.array(n.astype(np.int64)), "perplexity": pa.array(np.exp2(bits / np.maximum(n, 1)), mask=words == 0)})
+
+    questions = ready.groupBy("_block").applyInArrow(ask, "shard int, block int, n int, codes binary").withColumn("lot", (F.col("block") / LOT).cast("int"))
+    spread = model.select("g", "p", shard_of(F.col("g"), shards).cast("int").alias("shard")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // LOT))))
+    answers = questions.groupBy("shard", "lot").cogroup(spread.groupBy("shard", "lot")).applyInArrow(answer, "shard int, block int, bits binary")
+    schema = T.StructType([*fields, *([T.StructField("_text", docs.schema[text].dataType)] if whole else []), T.StructField("n_symbols", T.LongType()), T.StructField("perplexity", T.DoubleType())])
+    found = ready.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(add, schema)
+    return found.select(*(F.col("_text" if c == text else f"_{i}").alias(c) for i, c in enumerate(carry)), "n_symbols", "perplexity")
 
 
 def quantiles(values: DataFrame, quantile: float) -> DataFrame:
@@ -162,31 +278,34 @@ def quantiles(values: DataFrame, quantile: float) -> DataFrame:
     return ends.select("of", "n", ((1 - part) * F.col("low") + part * F.col("high")).alias("at"))
 
 
-def thresholds(scored_trusted: DataFrame, lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> tuple[dict[str, float], float]:
-    """The largest perplexity that each language lets pass, and that of all languages."""
+def thresholds(scored_trusted: DataFrame, lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> tuple[DataFrame, float]:
+    """(_lang, threshold): the largest perplexity that each language lets pass; and that of all languages."""
     of = F.explode(F.array(F.concat(F.lit("="), F.coalesce(F.col(lang), F.lit(""))), F.lit("all"))).alias("of")
     found = written(quantiles(scored_trusted.select(of, F.col("perplexity").alias("v")), quantile).withColumn("most", F.lit(margin) * F.col("at")))
     by = found.where(F.col("of").startswith("=") & (F.col("n") >= LEAST_TRUSTED))
-    rows = small_table(by.orderBy(F.desc("n"), "of").limit(LANGUAGES), LANGUAGES)
     whole = found.where("of = 'all'").first()
-    return {r["of"][1:]: r["most"] for r in rows}, float("inf") if whole is None else whole["most"]
+    return by.select(F.expr("substr(of, 2)").alias("_lang"), F.col("most").alias("threshold")), float("inf") if whole is None else whole["most"]
 
 
-def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with n_symbols, perplexity, threshold and kept."""
+def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", columns: tuple[str, ...] | None = None) -> DataFrame:
+    """docs (or its columns that are named) with n_symbols, perplexity, threshold and kept."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("threshold", "kept")
-    model = train(docs, labels, key, text)
-    # All rows are scored and only the numbers dealt by id: cheaper than to move the texts once more.
-    numbers = with_perplexity(docs.select(key, text, lang), model, text).select(key, lang, "perplexity")
-    by, whole = thresholds(trusted(numbers, labels, key), lang)
-    spark = docs.sparkSession
-    most = spark.createDataFrame(list(by.items()), "_lang string, threshold double")
-    scored = with_perplexity(docs, model, text).withColumn("_lang", F.coalesce(F.col(lang), F.lit("")))
-    with_most = scored.join(F.broadcast(most), "_lang", "left").drop("_lang").withColumn("threshold", F.coalesce("threshold", F.lit(whole)))
-    return with_most.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
+    added = ("n_symbols", "perplexity", "threshold", "kept")
+    columns = tuple(c for c in (columns or docs.columns) if c not in added)
+    asked = written(count_grams(docs, text).select("g"))
+    model = kneser_ney(train(docs, labels, key, text), asked)
+    scored = written(with_perplexity(docs, model, key, text, tuple(dict.fromkeys((*columns, key, lang)))))
+    by, whole = thresholds(trusted(scored.select(key, lang, "perplexity"), labels, key), lang)
+    ready = scored.withColumn("_lang", F.coalesce(F.col(lang), F.lit("")))
+    if small_table(by, LANGUAGES) is not None:
+        joined = ready.join(F.broadcast(by), "_lang", "left")
+    else:
+        salted = by.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = ready.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["_lang", "_salt"], "left")
+    most = F.coalesce("threshold", F.lit(whole))
+    kept = F.coalesce(F.col("perplexity") <= most, F.lit(False))
+    return joined.select(*columns, "n_symbols", "perplexity", most.alias("threshold"), kept.alias("kept"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "kept")
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=("doc_id", "lang"))
