@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all rows that the one before ke
 runner writes it as Parquet and reads it again for the next. All but the last return the columns of documents.
 
 1. quality classifier: texts whose perplexity is above their language's threshold go;
-2. MinHash near-duplicates: one document of each group stays, the one with the smallest id (rows alike in all columns are one);
+2. MinHash near-duplicates at a similarity of 0.8: one document of each group stays, the one with the smallest id (rows alike in all columns are one);
 3. suffix-array dedup: bytes that repeat 50 bytes of a smaller document go (a character cut in part goes whole), n_chars follows;
 4. mixing: each document as often as its source's target weight asks;
 5. byte-pair encoding: ids and their number, and a digest of the text that they decode to.
@@ -26,8 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates()
+    gone = minhash.near_duplicates(docs, percent=80, bands=40).where("not kept").select("doc_id").distinct()
+    # Texts move once: rows alike have one id, by which the join has dealt them already.
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS).dropDuplicates()
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

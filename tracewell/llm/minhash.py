@@ -4,17 +4,22 @@ A text's set is its distinct word shingles, as 64-bit hashes. SuperMinHash gives
 permutation of the signature's slots: in step j it offers its j-th slot the value j plus a random fraction, and a slot
 keeps its least offer. All shingles take step j together, and a text stops as soon as no slot can still be
 lowered (its largest value is below j), which for long texts is after two or three steps. Bands of the signature, each
-hashed, give candidate groups: connected pieces of "shares a band". Inside a piece every pair of different sets is confirmed on
-full sets, in blocks: pieces are cut into blocks of members, and a unit of work is a pair of blocks. Confirmed links
-give the components, by union-find in each task first and by hooking and pointer jumping over the cluster after that.
+hashed, give candidates: sets that share a band. Links are confirmed on full sets, and give the
+components by union-find in each task first and by hooking and pointer jumping over the cluster after that.
+
+* Connected pieces of "shares a band" with up to ``LARGE`` sets are compared whole, so that a set travels once: in units of pieces, or of
+  two blocks of one piece, bounded by their sets and their bytes.
+* In a larger piece (templated text chains into such) each set is first compared with the least set of its most crowded band only, which is linear and
+  brings copies together. After that, a band needs a comparison only across the components that meet in it: the sets outside of the
+  band's main component among themselves and with those inside, in pairs of blocks.
 
 Texts with equal sets are one representative throughout, so that copies, however many, are never compared or expanded. No candidate
-is dropped: 24 bands of 5 slots miss a pair at similarity 0.85 with a probability below 1e-6.
+is dropped: 24 bands of 5 slots miss a pair at similarity 0.85 with a probability below 1e-6, 40 bands one at 0.8 with one below 2e-7.
 
 Null and empty texts have empty sets and are linked with nothing. Fewer words than a shingle's form one
-shingle. Rows that repeat an id are one document each but share the component of that id: each of its sets is compared,
+shingle. Very long texts are hashed whole, one at a time. Rows that repeat an id are one document each but share the component of that id: each of its sets is compared,
 under the hash of a text that has it, and all of them are united. Rows with a null id
-are kept, with themselves as component (null). An empty table gives an empty result.
+are kept, with themselves as component (null). Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +35,10 @@ from .common import LOWER, chunks, mix, prefix_hash, small_batches, span_hash, t
 
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 24, 5
-#: A piece is cut into about BLOCKS blocks, of LEAST_BLOCK members at least and MOST_BLOCK at most.
-BLOCKS, LEAST_BLOCK, MOST_BLOCK = 16, 64, 4096
+#: A piece is cut into about BLOCKS blocks, of LEAST_BLOCK members at least and of MOST_BLOCK members and BLOCK_BYTES of sets at most.
+BLOCKS, LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 16, 64, 4096, 8 << 20
+#: Pieces with more sets are compared by bands; sets that are compared with one leader in a task.
+LARGE, FOLLOWERS = 16_384, 1024
 #: A set is hot if more than one in SHARE of all texts has it, and at least so many.
 SHARE, LEAST_COPIES = 1000, 100
 
@@ -176,7 +183,7 @@ def confirmed(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int
 
 
 def unit_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The links of one unit: several whole pieces, or two blocks of one piece. Only a forest of them is returned."""
+    """The links of one unit: several whole pieces, or two sides of one piece (0 and 1; -1 is on both). Only a forest of them is returned."""
     out = []
     for _, piece in pdf.groupby("piece", sort=False):
         if len(piece) < 2:
@@ -186,6 +193,8 @@ def unit_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
         side = piece["side"].to_numpy()
         a = np.flatnonzero(side <= 0)
         b = np.flatnonzero(side != 0)
+        if not len(a) or not len(b):
+            continue
         i, j = confirmed(sets, a, b, percent)
         i, j = a[i], b[j]
         off = i != j
@@ -195,30 +204,80 @@ def unit_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
 
-def links(members: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int, partitions: int) -> DataFrame:
-    """(a, b): a forest of the confirmed links inside the pieces of members (id, said, component, size): a set is the text of that id and hash."""
-    width = F.least(F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("size") / BLOCKS)), F.lit(MOST_BLOCK))
-    blocks = F.ceil(F.col("size") / width).cast("int")
-    placed = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "said"), F.col("blocks")).cast("int"))
+def shingle_sets(members: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """members (id, said, ...) with shingles: the set of the text of that id and hash.
+
+    Both sides are dealt by id at every size, so that a plan over a small table is that of a large one."""
+    keep = [f for f in members.schema.fields if f.name not in ("id", "said")]
 
     def run(batches):
         for b in chunks(batches, "_text"):
-            h, row = shingles(*text_bytes(b.column(1)), words)
+            h, row = shingles(*text_bytes(b.column(2)), words)
             ends = np.cumsum(np.bincount(row, minlength=b.num_rows))
             got = pa.array([x.tobytes() for x in np.split(h, ends[:-1])], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], got], names=["id", "component", "block", "blocks", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *b.columns[3:], got], names=["id", "said", *(f.name for f in keep), "shingles"])
 
     texts = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("said"), F.col(text).alias("_text"))
-    wanted = texts.join(placed.drop("size"), ["id", "said"]).dropDuplicates(["id", "said"])
-    sets = wanted.select("id", "_text", "component", "block", "blocks").mapInArrow(run, "id long, component long, block int, blocks int, shingles binary")
+    wanted = texts.join(members.hint("shuffle_hash"), ["id", "said"]).dropDuplicates(["id", "said"])
+    schema = T.StructType([members.schema["id"], members.schema["said"], *keep, T.StructField("shingles", T.BinaryType())])
+    return wanted.select("id", "said", "_text", *(f.name for f in keep)).mapInArrow(run, schema)
+
+
+def piece_links(members: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """(a, b): a forest of the confirmed links inside the pieces of members (id, said, n, component, size, total)."""
+    width = F.least(F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("size") / BLOCKS)), F.lit(MOST_BLOCK))
+    blocks = F.greatest(F.ceil(F.col("size") / width), F.ceil(8 * F.col("total") / BLOCK_BYTES)).cast("int")
+    placed = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "said"), F.col("blocks")).cast("int"))
+    bytes_ = 8 * (members.agg(F.sum("n")).first()[0] or 0)
+    sets = shingle_sets(placed.select("id", "said", "component", "block", "blocks"), docs, key, text, words)
     # A unit of blocks (i, j), i <= j: a member of block x takes part in (x, j) as side 0 and in (i, x) as side 1; within (x, x) it is both (-1).
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    paired = sets.withColumn("other", F.explode(other))
-    side = F.when(F.col("blocks") == 1, -1).when(F.col("other") == F.col("block"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("other") == F.col("block"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    small = F.pmod(F.xxhash64("component"), F.lit(16 * partitions))
-    unit = F.when(F.col("blocks") == 1, small).otherwise(-1 - F.pmod(F.xxhash64("component", low, high), F.lit(1 << 62)))
-    return paired.select("id", F.when(F.col("blocks") == 1, F.col("component")).otherwise(unit).alias("piece"), side.alias("side"), unit.alias("unit"), "shingles").groupBy("unit").applyInPandas(lambda pdf: unit_links(pdf, percent), "a long, b long")
+    whole = F.col("blocks") == 1
+    # Whole pieces go by lots of about a block's bytes, however many there are.
+    unit = F.when(whole, F.pmod(F.xxhash64("component"), F.lit(2 * bytes_ // BLOCK_BYTES + 12))).otherwise(-1 - F.pmod(F.xxhash64("component", low, high), F.lit(1 << 62)))
+    units = paired.select("id", F.when(whole, F.col("component")).otherwise(unit).alias("piece"), side.alias("side"), unit.alias("unit"), "shingles")
+    return units.groupBy("unit").applyInPandas(lambda pdf: unit_links(pdf, percent), "a long, b long")
+
+
+def blocks_of(sets, size):
+    """How many blocks keep to FOLLOWERS sets and BLOCK_BYTES bytes."""
+    return F.greatest(F.ceil(sets / FOLLOWERS), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+
+def band_links(members: DataFrame, shared: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """(a, b): the confirmed links among members (id, said, n) that share a band (shared: band, id, said, head, n), where they may be many."""
+    sets = written(shingle_sets(members.select("id", "said"), docs, key, text, words))
+    node = ["id", "said"]
+    mine = shared.join(members.select(*node, (8 * F.col("n")).alias("bytes")), node)
+    # First each set with the least one of its most crowded band, in parts with that leader on side 0.
+    first = mine.groupBy(*node).agg(F.max(F.struct("n", "band", "head")).alias("_most"), F.first("bytes").alias("bytes")).select(*node, F.col("_most.head.id").alias("lead"), F.col("_most.head.said").alias("lead_said"), "bytes")
+    led_by = first.groupBy("lead", "lead_said").agg(blocks_of(F.count("*"), F.sum("bytes")).alias("parts"))
+    first = written(first.join(led_by, ["lead", "lead_said"]).withColumn("part", F.pmod(F.xxhash64(*node), F.col("parts")).cast("int")))
+    group = F.xxhash64("lead", "lead_said", "part")
+    led = first.join(sets, node).select("id", group.alias("unit"), F.lit(1).alias("side"), "shingles")
+    leaders = first.select("lead", "lead_said", "part").distinct().join(sets.select(F.col("id").alias("lead"), F.col("said").alias("lead_said"), "shingles"), ["lead", "lead_said"])
+    units = led.unionByName(leaders.select(F.col("lead").alias("id"), group.alias("unit"), F.lit(0).alias("side"), "shingles")).withColumn("piece", F.col("unit"))
+    near = written(units.groupBy("unit").applyInPandas(lambda pdf: unit_links(pdf, percent), "a long, b long"))
+    # Then what meets in a band across components.
+    now = mine.select("band", *node, "bytes").join(components(near), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = now.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    main = F.max(F.struct("n", "component", "bytes"))
+    bands = parts.groupBy("band").agg(main.alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("components")).where("components > 1")
+    ins, outs = blocks_of(F.col("main.n"), F.col("main.bytes")), blocks_of(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes"))
+    bands = bands.select("band", F.col("main.component").alias("main"), ins.alias("ins"), outs.alias("outs"))
+    open_ = now.drop("bytes").join(bands, "band").withColumn("_in", F.col("component") == F.col("main"))
+    block = F.pmod(F.xxhash64(*node), F.when(F.col("_in"), F.col("ins")).otherwise(F.col("outs"))).cast("int")
+    open_ = open_.withColumn("block", block)
+    # Blocks are numbered: those outside of the main component, then those inside. A set meets all blocks outside; one outside, all blocks.
+    at = F.when(F.col("_in"), F.col("outs") + F.col("block")).otherwise(F.col("block"))
+    upto = F.when(F.col("_in"), F.col("outs")).otherwise(F.col("outs") + F.col("ins"))
+    paired = open_.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), upto - 1)))
+    side = F.when(F.col("at") == F.col("other"), -1).when(F.col("at") < F.col("other"), 0).otherwise(1)
+    unit = F.xxhash64("band", F.least("at", "other"), F.greatest("at", "other"))
+    rest = paired.select(*node, unit.alias("unit"), side.alias("side")).join(sets, node).withColumn("piece", F.col("unit")).drop("said")
+    return near.unionByName(rest.groupBy("unit").applyInPandas(lambda pdf: unit_links(pdf, percent), "a long, b long"))
 
 
 def same_ids(real: DataFrame, reps: DataFrame) -> DataFrame:
@@ -232,20 +291,24 @@ def same_ids(real: DataFrame, reps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: n_shingles, component_id (the smallest id reachable over links) and kept (whether that is its own)."""
     small_batches(docs.sparkSession)
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketched = written(sketches(docs, key, text, words, bands, rows))
     real = sketched.where("n_shingles > 0 and id is not null")
-    reps = real.groupBy("fp1", "fp2").agg(F.min(F.struct("id", "said")).alias("_first"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("copies"))
-    reps = reps.select("fp1", "fp2", F.col("_first.id").alias("rep"), F.col("_first.said").alias("said"), "bands", "copies")
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = banded.join(heads, "band").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    pieces = components(stars)
+    reps = real.groupBy("fp1", "fp2").agg(F.min(F.struct("id", "said")).alias("_first"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
+    reps = written(reps.select("fp1", "fp2", F.col("_first.id").alias("rep"), F.col("_first.said").alias("said"), "bands", "copies", "n"))
+    banded = reps.select(F.col("rep").alias("id"), "said", F.explode("bands").alias("band"))
+    heads = banded.groupBy("band").agg(F.min(F.struct("id", "said")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    shared = banded.join(heads, "band")
+    stars = shared.select(F.col("id").alias("a"), F.col("head.id").alias("b")).where("a <> b").distinct()
     # Sets that go by one id are one node, as they share its component, but a member of the piece each.
-    placed = written(pieces.join(reps.select(F.col("rep").alias("id"), "said"), "id"))
-    sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
+    pieces = components(stars)
+    placed = written(reps.select(F.col("rep").alias("id"), "said", "n").join(pieces, "id"))
+    sizes = placed.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     members = written(placed.join(sizes, "component"))
-    confirmed_links = links(members, docs.where(F.col(key).isNotNull()), key, text, words, percent, partitions)
+    docs = docs.where(F.col(key).isNotNull())
+    confirmed_links = piece_links(members.where(F.col("size") <= LARGE), docs, key, text, words, percent)
+    large = members.where(F.col("size") > LARGE)
+    if large.limit(1).count():
+        confirmed_links = confirmed_links.unionByName(band_links(large, shared, docs, key, text, words, percent))
     linked = components(confirmed_links.union(same_ids(real, reps)))
     owners = reps.select("fp1", "fp2", "rep", "copies").join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "copies", F.coalesce("component", "rep").alias("component_id"))
     # Sets with so many copies are fewer than SHARE, whatever the input, so they go to every task and no key of the join is hot.
