@@ -30,11 +30,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, powers, prefix_hash, release, small_batches, span_hash, table, text_bytes
+from .common import chunks, gathered, mix, powers, prefix_hash, release, small_batches, span_hash, table, text_bytes
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a block of documents, and behind a shard of the dictionary; entries that a task holds before it sends them.
-BLOCK, SHARD, HELD = 4 << 20, 16 << 20, 300_000
+BLOCK, SHARD, HELD = 4 << 20, 4 << 20, 300_000
 #: A trigger is dealt window by window if it has more than one in SHARE of all places, but not below LEAST_HOT nor, as its phrases stand in
 #: the memory of a task, beyond MOST_HOT.
 SHARE, LEAST_HOT, MOST_HOT = 16_384, 1000, 1_000_000
@@ -88,12 +88,6 @@ def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def gathered(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes of all spans, one after the other."""
-    ends = np.cumsum(size)
-    return buf[np.repeat(start - ends + size, size) + np.arange(ends[-1])] if len(size) else buf[:0]
-
-
 def runs(*columns: np.ndarray) -> np.ndarray:
     """Where a new combination begins in sorted columns."""
     if not len(columns[0]):
@@ -206,7 +200,7 @@ def phrases(docs: DataFrame, answers: DataFrame, shards: int, length: int) -> Da
     """(shard, block, n, packed): repeated phrases with what follows them, for the shards that order them.
 
     Inside a block equal phrases with equal surroundings are sent once, for the least document; all windows of the others are known to be
-    repeated, and their spans go along as they are (shard -1 - block)."""
+    repeated, and their spans go along as they are (n below 0)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"shard": [], "block": [], "n": [], "packed": []}
@@ -214,7 +208,7 @@ def phrases(docs: DataFrame, answers: DataFrame, shards: int, length: int) -> Da
             codes = [unpack(n, raw, np.uint64)[0] for n, raw in zip(right.column("n").to_pylist(), right.column("grams").to_pylist())]
             block, left = left.column("block")[0].as_py(), in_order(left.select(["block", "doc_id", "row_key", "text"]))
             for shard, n, packed in block_phrases(left, np.concatenate(codes) if codes else np.zeros(0, np.uint64)):
-                for name, x in zip(out, (-1 - block if shard is None else shard, block, n, packed)):
+                for name, x in zip(out, (block % shards if shard is None else shard, block, n, packed)):
                     out[name].append(x)
         return pa.table({"shard": pa.array(out["shard"], pa.int32()), "block": pa.array(out["block"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "packed": pa.array(out["packed"], pa.binary())})
 
@@ -251,7 +245,7 @@ def phrases(docs: DataFrame, answers: DataFrame, shards: int, length: int) -> Da
             yield from sent(buf, offsets, at[of], s, s, shard_of(suffix, shards), row[of], doc[of], spans)
         if spans:
             spans = np.concatenate(spans)
-            yield None, len(spans), pack(*spans.T.astype(np.int32))
+            yield None, -len(spans), pack(*spans.T.astype(np.int32))
 
     def sent(buf, offsets, at, lo, hi, shard, row, doc, spans):
         end = hi + length
@@ -343,9 +337,13 @@ def ordered_spans(dictionary: DataFrame, length: int) -> DataFrame:
     """(block, n, spans): the bytes of each text that windows of a smaller document cover, one span for each phrase, packed."""
 
     def run(group: pa.Table) -> pa.Table:
+        n = group.column("n").to_numpy()
+        ready = group.filter(pa.array(n < 0))
+        ready = pa.table({"block": ready.column("block"), "n": pa.array(-n[n < 0], pa.int32()), "spans": ready.column("packed")})
+        group = group.filter(pa.array(n > 0))
+        if not group.num_rows:
+            return ready
         ns, packed = group.column("n").to_pylist(), group.column("packed").to_pylist()
-        if group.column("shard")[0].as_py() < 0:
-            return pa.table({"block": group.column("block"), "n": group.column("n"), "spans": group.column("packed")})
         pieces = list(zip(*(unpack(n, raw, np.int64, np.int32, np.int32, np.uint8, np.uint8) for n, raw in zip(ns, packed))))
         block = np.repeat(group.column("block").to_numpy(), ns)
         doc, row, place, before, count, flat = map(np.concatenate, pieces)
@@ -366,7 +364,7 @@ def ordered_spans(dictionary: DataFrame, length: int) -> DataFrame:
         hit = hit[np.argsort(block[hit], kind="stable")]
         cut = np.flatnonzero(np.r_[runs(block[hit]), True]) if len(hit) else np.zeros(1, int)
         spans = [pack(row[i], (place + first)[i].astype(np.int32), (place + last + length)[i].astype(np.int32)) for i in (hit[a:b] for a, b in zip(cut[:-1], cut[1:]))]
-        return pa.table({"block": pa.array(block[hit[cut[:-1]]], pa.int32()), "n": pa.array(np.diff(cut), pa.int32()), "spans": pa.array(spans, pa.binary())})
+        return pa.concat_tables([ready, pa.table({"block": pa.array(block[hit[cut[:-1]]], pa.int32()), "n": pa.array(np.diff(cut), pa.int32()), "spans": pa.array(spans, pa.binary())})])
 
     return dictionary.groupBy("shard").applyInArrow(run, "block int, n int, spans binary")
 
