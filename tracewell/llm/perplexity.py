@@ -23,11 +23,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .asking import BLOCK, Tally, answered, grams, mask, packed_texts, unpacked
 from .common import SPACE, chunks, release, small_batches, small_table, table, text_bytes, written
 
 ORDER = 5
@@ -37,55 +37,22 @@ QUANTILE, MARGIN = 0.99, 1.1
 STEPS = 1024
 #: Languages up to this many go to every task with their thresholds; more are joined, with salted keys.
 LANGUAGES, SALTS = 10_000, 64
-#: Bytes of text in a block, n-grams in a shard of the model, blocks that one part of a shard answers; n-grams that a task holds.
-BLOCK, SHARD, LOT, HELD = 8 << 20, 1 << 20, 256, 1 << 19
-#: Bits of the map of trusted ids; an odd number of 20 bits that spreads codes over shards.
-MAP, SPREAD = 1 << 26, 742_039
+#: Bits of the map of trusted ids.
+MAP = 1 << 26
 
 
 # ---- n-grams ----------------------------------------------------------------------------------------------------
 
 
-def grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The code of the n-gram that ends at each byte, and its row."""
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    place = np.arange(len(buf)) - offsets[:-1][row]
-    code = buf.astype(np.int64)
-    for back in range(1, ORDER):
-        earlier = np.r_[np.zeros(min(back, len(buf)), np.uint8), buf[:-back]].astype(np.int64)
-        code |= np.where(place >= back, earlier, 10) << (8 * back)
-    return code, row
-
-
-def mask(k: int) -> int:
-    return (1 << (8 * k)) - 1
-
-
-def counted(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    got, at = np.unique(np.concatenate(codes), return_inverse=True)
-    return got, np.bincount(at, np.concatenate(counts), len(got)).astype(np.int64)
-
-
 def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
     """(g, c): how often each n-gram occurs in all texts, counted partly in each task. A binary text is a compressed one."""
     packed = isinstance(docs.schema[text].dataType, T.BinaryType)
 
     def run(batches):
-        codes, counts, held = [], [], 0
+        tally = Tally()
         for b in unpacked(batches, "_text") if packed else chunks(batches, "_text"):
-            got, n = np.unique(grams(*text_bytes(b.column(0)))[0], return_counts=True)
-            codes.append(got)
-            counts.append(n)
-            held += len(got)
-            if held > HELD:
-                codes, counts = ([x] for x in counted(codes, counts))
-                held = 0
-                if len(codes[0]) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(codes[0]), pa.array(counts[0])], names=["g", "c"])
-                    codes, counts = [], []
-        if codes:
-            got, n = counted(codes, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(n)], names=["g", "c"])
+            yield from tally.add(*np.unique(grams(*text_bytes(b.column(0)), ORDER)[0], return_counts=True))
+        yield from tally.rest()
         release()
 
     return docs.select(F.col(text).alias("_text")).mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
@@ -120,35 +87,6 @@ def kneser_ney(counts: DataFrame, asked: DataFrame) -> DataFrame:
 # ---- trusted texts ----------------------------------------------------------------------------------------------
 
 
-def packed_texts(docs: DataFrame, text: str, keep: np.ndarray | None = None, place: str | None = None) -> DataFrame:
-    """docs with each text compressed; with keep, only rows whose column place is set in that map (place is not returned)."""
-    fields = [f for f in docs.schema.fields if f.name != place]
-    shared = docs.sparkSession.sparkContext.broadcast(keep) if keep is not None else None
-
-    def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for b in chunks(batches, text):
-            if shared is not None:
-                at = b.column(b.schema.get_field_index(place)).to_numpy()
-                b = b.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0))
-            small = pa.array([squeeze(t.as_buffer()) if t.is_valid else None for t in b.column(b.schema.get_field_index(text))], pa.binary())
-            yield pa.RecordBatch.from_arrays([small if f.name == text else b.column(b.schema.get_field_index(f.name)) for f in fields], names=[f.name for f in fields])
-        release()
-
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in fields]))
-
-
-def unpacked(batches, text: str):
-    """Batches of compressed texts as batches of texts, in slices."""
-    spread = zstandard.ZstdDecompressor().decompress
-    for b in batches:
-        at = b.schema.get_field_index(text)
-        for low in range(0, b.num_rows, 256):
-            part = b.slice(low, 256)
-            texts = pa.array([spread(t.as_buffer()) if t.is_valid else None for t in part.column(at)], pa.binary()).cast(pa.string())
-            yield from chunks([pa.RecordBatch.from_arrays([texts if i == at else part.column(i) for i in range(part.num_columns)], names=part.schema.names)], text)
-
-
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """The ids of all trusted rows."""
     return labels.where("quality = 1").where(F.col(key).isNotNull()).select(key).distinct()
@@ -178,84 +116,31 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 # ---- perplexity -------------------------------------------------------------------------------------------------
 
 
-def shard_of(code, shards: int):
-    """The shard of a code of 40 bits, as a column or an array: the product stays within 60 bits."""
-    return (F.shiftright(code * F.lit(SPREAD), 17) if isinstance(code, Column) else code * SPREAD >> 17) % shards
-
-
-def block_texts(group: pa.Table):
-    """The texts of a block (compressed) as buffers with offsets and the number of the first row."""
-    first = 0
-    for b in unpacked(group.select(["_text"]).to_batches(), "_text"):
-        yield (*text_bytes(b.column(0)), first)
-        first += b.num_rows
-
-
-def block_codes(group: pa.Table) -> np.ndarray:
-    codes = np.zeros(0, np.int64)
-    for buf, offsets, _ in block_texts(group):
-        codes = np.union1d(codes, grams(buf, offsets)[0])
-    return codes
-
-
-def squeezed(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 3)
-
-
 def with_perplexity(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns to carry (the text may be one of them), with n_symbols and perplexity (per byte; null for blank texts)."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks, shards = total // BLOCK + 1, model.count() // SHARD + 12
+    blocks = (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BLOCK + 1
     whole = text in carry
     fields = [T.StructField(f"_{i}", docs.schema[c].dataType) for i, c in enumerate(carry) if c != text]
     ready = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(carry) if c != text), F.col(text).alias("_text"), F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("int").alias("_block"))
-    ready = packed_texts(ready, "_text")
-
-    def ask(group: pa.Table) -> pa.Table:
-        codes = block_codes(group)
-        shard = shard_of(codes, shards)
-        by = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[by], np.arange(shards + 1))
-        block = group.column("_block")[0].as_py()
-        parts = [codes[by[a:b]] for a, b in zip(ends[:-1], ends[1:])]
-        rows = [(s, block, len(c), squeezed(np.diff(c, prepend=0))) for s, c in enumerate(parts) if len(c)]
-        return pa.table({n: pa.array([r[i] for r in rows], kind) for i, (n, kind) in enumerate((("shard", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("codes", pa.binary())))})
-
-    def answer(questions: pa.Table, held: pa.Table) -> pa.Table:
-        g, p = held.column("g").to_numpy(), held.column("p").to_numpy()
-        by = np.argsort(g)
-        g, bits = g[by], -np.log2(p[by]).astype(np.float32)
-        out = []
-        for raw in questions.column("codes").to_pylist():
-            codes = np.cumsum(np.frombuffer(zstandard.decompress(raw), np.int64))
-            out.append(squeezed(bits[np.searchsorted(g, codes)]))
-        return pa.table({"shard": questions.column("shard"), "block": questions.column("block"), "bits": pa.array(out, pa.binary())})
-
-    def add(group: pa.Table, answers: pa.Table) -> pa.Table:
+
+    def codes_of(texts):
+        return grams(*text_bytes(texts), ORDER)[0]
+
+    def add(group: pa.Table, codes: np.ndarray, values: np.ndarray) -> pa.Table:
         n, bits, words, texts = [], [], [], []
-        codes = block_codes(group)
-        shard, value = shard_of(codes, shards), np.zeros(len(codes))
-        for s, raw in zip(answers.column("shard").to_pylist(), answers.column("bits").to_pylist()):
-            value[shard == s] = np.frombuffer(zstandard.decompress(raw), np.float32)
-        for buf, offsets, _ in block_texts(group):
-            code, row = grams(buf, offsets)
-            rows = len(offsets) - 1
+        for b in unpacked(group.select(["_text"]).to_batches(), "_text"):
+            buf, offsets = text_bytes(b.column(0))
+            code, row = grams(buf, offsets, ORDER)
             n.append(np.diff(offsets))
-            bits.append(np.bincount(row, value[np.searchsorted(codes, code)], rows))
-            words.append(np.bincount(row, ~SPACE[buf], rows))
+            bits.append(np.bincount(row, values[np.searchsorted(codes, code)], b.num_rows))
+            words.append(np.bincount(row, ~SPACE[buf], b.num_rows))
+            texts.append(b.column(0))
         n, bits, words = (np.concatenate(x or [np.zeros(0)]) for x in (n, bits, words))
-        out = {f.name: group.column(f.name) for f in fields}
-        if whole:
-            spread = zstandard.ZstdDecompressor().decompress
-            out["_text"] = pa.array([spread(t.as_buffer()) if t.is_valid else None for t in group.column("_text")], pa.binary()).cast(pa.string())
-        release()
+        out = {f.name: group.column(f.name) for f in fields} | ({"_text": pa.chunked_array(texts, pa.string())} if whole else {})
         return pa.table(out | {"n_symbols": pa.array(n.astype(np.int64)), "perplexity": pa.array(np.exp2(bits / np.maximum(n, 1)), mask=words == 0)})
 
-    questions = ready.groupBy("_block").applyInArrow(ask, "shard int, block int, n int, codes binary").withColumn("lot", (F.col("block") / LOT).cast("int"))
-    spread = model.select("g", "p", shard_of(F.col("g"), shards).cast("int").alias("shard")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // LOT))))
-    answers = questions.groupBy("shard", "lot").cogroup(spread.groupBy("shard", "lot")).applyInArrow(answer, "shard int, block int, bits binary")
     schema = T.StructType([*fields, *([T.StructField("_text", docs.schema[text].dataType)] if whole else []), T.StructField("n_symbols", T.LongType()), T.StructField("perplexity", T.DoubleType())])
-    found = ready.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(add, schema)
+    found = answered(packed_texts(ready, "_text"), "_text", blocks, model.select("g", (-F.log2("p")).alias("v")), codes_of, add, schema)
     return found.select(*(F.col("_text" if c == text else f"_{i}").alias(c) for i, c in enumerate(carry)), "n_symbols", "perplexity")
 
 
