@@ -183,10 +183,24 @@ def test_ppm_is_a_distribution():
         assert abs(sum(p(context, s) for s in range(256)) - 1) < 1e-9
 
 
+def test_grams_and_index():
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 3, 9]))) for _ in range(300)]
+    for order in (1, 2, 5, 7):
+        code, row = asking.grams(*text_bytes(pa.array(texts)), order)
+        want = [int.from_bytes((b"\n" * order + t.encode())[k + 1 : k + 1 + order], "big") for t in texts for k in range(len(t))]
+        assert code.tolist() == want and row.tolist() == [i for i, t in enumerate(texts) for _ in t]
+        all_ = np.unique(np.r_[code, -code - 1])
+        assert (all_[asking.Index(all_)(code)] == code).all()
+
+
 # ---- 3 ----------------------------------------------------------------------------------------------------------
 
 
-def test_neighbours(spark, sf_dir):
+@pytest.mark.parametrize("block, lot", [(neighbours.BLOCK, neighbours.QUERIES), (64, 4)])
+def test_neighbours(spark, sf_dir, monkeypatch, block, lot):
+    for name, value in (("BLOCK", block), ("QUERIES", lot), ("LEAST_BLOCK", min(block, neighbours.LEAST_BLOCK)), ("LEAST_LOT", min(lot, neighbours.LEAST_LOT))):
+        monkeypatch.setattr(neighbours, name, value)
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     got = neighbours.op3_collision_counting(spark, sf_dir).collect()
     data = {r["vec_id"]: np.array(r["embedding"], float) for r in rows.collect()}
@@ -234,11 +248,37 @@ def test_toxicity_odd_rows(spark, odd, labels):
         assert len(got) == df.count() and all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in got)
 
 
-def test_deobfuscation(real):
-    model = toxicity.character_model(real)
-    said = toxicity.restore(["1d10t", "id!ot", "stuuupid", "l.o.s.e.r", "tr@sh", "m0r0n!", "hello", "the,", "2024", "été"], model)
-    assert said == ["idiot", "idiot", "stupid", "loser", "trash", "moron", "hello", "the", "2024", "été"]
-    assert "idiot" in toxicity.text_tokens("you i d i o t there")
+def test_deobfuscation(spark):
+    model = toxicity.character_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    said = toxicity.restore(["1d10t", "id!ot", "stuuupid", "l.o.s.e.r", "tr@sh", "m0r0n!", "hello", "the,", "2024", "été", "stuupid"], model)
+    assert said == ["idiot", "idiot", "stupid", "loser", "trash", "moron", "hello", "the", "2024", "été", "stupid"]
+    for text in ("you i d i o t there", "you 1 d 1 o t there", "you are s t u p ! d here"):
+        runs = [t for t in toxicity.text_tokens(text) if " " in t]
+        assert len(runs) == 1 and {"idiot", "stupid"} & set(toxicity.restore(runs, model)[0].split()), toxicity.restore(runs, model)
+
+
+def test_viterbi_finds_the_likeliest_path():
+    """Against all paths of short tokens under a random model."""
+    model = np.log(np.random.default_rng(7).dirichlet(np.ones(28), (28, 28))).astype(np.float32)
+    tokens = ["1a", "b.b", "aa1", "$3 a", "1 1", "é|b", "q"]
+
+    def paths(token):
+        out = [((), 0.0)]
+        for code in toxicity.observed(token):
+            steps = [((int(x),), float(e)) for x, e in zip(toxicity.SAID[code], toxicity.EMIT[code]) if x >= 0] + [((), float(toxicity.SKIP[code]))]
+            out = [(a + x, v + w) for a, v in out for x, w in steps if w > -math.inf]
+        return out
+
+    def value(said, v):
+        context = (26, 26)
+        for x in (*said, 26):
+            v += float(model[context[0], context[1], x])
+            context = (context[1], x)
+        return v
+
+    for t, got in zip(tokens, toxicity.viterbi(tokens, model)):
+        best = max((value(*p), p[0]) for p in paths(t))[1]
+        assert got == "".join(" " if x == 26 else "é" if x == 27 else chr(97 + x) for x in best)
 
 
 # ---- 5 ----------------------------------------------------------------------------------------------------------

@@ -1,19 +1,19 @@
 """Toxicity of text that hides its words: noisy-channel deobfuscation, then a score of what is restored.
 
 Each token is read through a channel: a character may stand for itself, for the letters that it looks like
-(leetspeak), for nothing (a sign between letters, or one more of a repeated letter); single letters in a row are
-read as one token too (spacing). That makes a lattice of letters, and a Viterbi search finds the likeliest path
-under a character language model of all documents. A token of letters alone, without a letter three times in a row, has one
-path, itself; so has a token without any letter.
+(leetspeak), or for nothing (a sign between letters, or one more of a repeated letter). Tokens of one or two letters or look-alike signs in a row are
+read together as well, and each gap between them may be an edge of words or nothing (spacing). That makes a lattice of letters and edges, and a Viterbi search finds the
+likeliest path under a character trigram model of all documents. Only a token of letters alone, no two alike in a row, has one
+path, itself; so has a token without any letter. Words cut into pieces of three letters and more are not put together.
 
 The score is logistic in the restored words' evidence: words and beginnings of words that are much commoner in
 toxic training texts. Labels are read for training rows only (crc32 of the id modulo 5 is not 0), at most
-``TRAIN_ROWS`` of them, those with the smallest hash of their ids. The lexicon has at most ``LEXICON`` entries. The character
-model counts all documents: 28 * 28 numbers.
+``TRAIN_ROWS`` of them, those with the smallest hash of their ids, which bounds the lexicon: an entry stands in ``LEAST_TOXIC`` of these rows at least. The character
+model counts all documents: 28 * 28 * 28 numbers.
 
-Null and empty texts, and texts without evidence, get the score of no evidence. Repeated rows score alike. If
+Null and empty texts, and texts without evidence, get the score of no evidence. Very long texts are read whole. Repeated rows score alike, as do texts with equal evidence. If
 training rows are of one class or missing, there is no lexicon and all get the score of no evidence. A label that is
-null is no label; of several labels of one id the largest counts.
+null is no label; of several labels of one id the largest counts. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,74 +29,92 @@ from pyspark.sql import types as T
 
 from .common import chunks, crc_mod5, small_batches, table, text_bytes
 
-TRAIN_ROWS, LEXICON, LEAST_TOXIC, LEAST_EVIDENCE, LEAST_DIVERGENCE = 20_000, 2_000, 4, 3.0, 8.0
+TRAIN_ROWS, LEAST_TOXIC, LEAST_EVIDENCE, LEAST_DIVERGENCE = 20_000, 4, 3.0, 8.0
 STEMS = (4, 5)
 KEPT, REMEMBERED = 200_000, 300_000
 #: States of the character model: a-z, 26 between tokens, 27 a letter beyond ASCII.
 STATES, EDGE, OTHER = 28, 26, 27
 #: The letters that a sign can look like.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
-#: Natural logarithms of the channel's probabilities: a sign for a letter, another sign for nothing, a sign that looks like a letter for nothing, a letter said once more.
-LOOK, NOTHING, UNSEEN, AGAIN = -1.5, -3.0, -8.0, -5.0
+#: Natural logarithms of the channel's probabilities: a sign for a letter, another sign for nothing, a sign that looks like a letter for nothing, a letter said once more,
+#: a gap for nothing, between single characters or beside more than one.
+LOOK, NOTHING, UNSEEN, AGAIN, JOIN, JOIN_MORE = -1.5, -3.0, -8.0, -5.0, -1.0, -6.0
 TRIM = ".,;:?!\"'()[]{}<>«»“”‘’…"
-TRIPLE = re.compile(r"(.)\1\1")
+DOUBLE = re.compile(r"(.)\1")
 LETTER = re.compile(r"[^\W\d_]")
-SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ \t]+[^\W\d_]){2,}(?!\S)")
+_SHORT = "(?:[^\\W\\d_]|[" + re.escape("".join(LOOKS)) + "]){1,2}"
+SPACED = re.compile(rf"(?<!\S){_SHORT}(?:[ \t]+{_SHORT}){{2,}}(?!\S)")
 
-#: Codes of observed characters: 0-25 a-z, 26 another letter, 27 a sign that looks like nothing, then LOOKS; 64 more if said again; 63 past the end.
+#: Codes of observed characters: 0-25 a-z, 26 another letter, 27 a sign that looks like nothing, then LOOKS; 61 a gap beside more than one character, 62 another gap; 63 past the end; 64 more if said again.
 CODE = {chr(97 + i): i for i in range(26)} | {c: 28 + i for i, c in enumerate(LOOKS)}
-PAST = 63
-
-
-def channel() -> tuple[np.ndarray, np.ndarray]:
-    """For each code, the logarithm with which each state emits it, and with which it stands for nothing."""
-    emit, skip = np.full((128, STATES), -np.inf), np.full(128, -np.inf)
-    for i in range(26):
-        emit[[i, i + 64], i] = 0
-    emit[[26, 90], OTHER] = 0
-    for c, letters in LOOKS.items():
-        for x in letters:
-            emit[[CODE[c], CODE[c] + 64], ord(x) - 97] = LOOK
+GAP_MORE, GAP, PAST = 61, 62, 63
+
+
+def channel() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code: up to two states that can emit it and the logarithms with which they do, and with which it stands for nothing."""
+    said, emit, skip = np.full((128, 2), -1), np.full((128, 2), -np.inf, np.float32), np.full(128, -np.inf, np.float32)
     skip[64:] = AGAIN
     for again in (0, 64):
+        for i in range(26):
+            said[i + again, 0], emit[i + again, 0] = i, 0
+        said[26 + again, 0], emit[26 + again, 0] = OTHER, 0
+        said[[GAP_MORE + again, GAP + again], 0], emit[[GAP_MORE + again, GAP + again], 0] = EDGE, 0
+        for c, letters in LOOKS.items():
+            for k, x in enumerate(letters):
+                said[CODE[c] + again, k], emit[CODE[c] + again, k] = ord(x) - 97, LOOK
         skip[27 + again] = NOTHING
-        skip[28 + again : PAST + again] = UNSEEN
-    skip[PAST] = 0
-    return emit, skip
+        skip[28 + again : GAP_MORE + again] = UNSEEN
+        skip[GAP_MORE + again], skip[GAP + again] = JOIN_MORE, JOIN
+        skip[PAST + again] = 0
+    return said, emit, skip
+
 
+SAID, EMIT, SKIP = channel()
 
-EMIT, SKIP = channel()
+
+def observed(token: str) -> list[int]:
+    """The codes of a token's characters."""
+    out = []
+    for j, c in enumerate(token):
+        if c == " ":
+            alone = (j < 2 or token[j - 2] == " ") and (j + 2 >= len(token) or token[j + 2] == " ")
+            out.append(GAP if alone else GAP_MORE)
+        else:
+            out.append(CODE.get(c, 26 if c.isalpha() else 27) + 64 * (j > 0 and c == token[j - 1]))
+    return out
 
 
 def viterbi(tokens: list[str], model: np.ndarray) -> list[str]:
-    """The likeliest letters of each token, all of like length at once."""
+    """The likeliest letters (and edges) of each token, all of like length at once. A state is the last two letters."""
     n, width = len(tokens), max(map(len, tokens))
     codes = np.full((n, width), PAST)
     for i, t in enumerate(tokens):
-        last = ""
-        for j, c in enumerate(t):
-            code = CODE.get(c, 26 if c.isalpha() else 27)
-            codes[i, j] = code + 64 if c == last else code
-            last = c
-    score = np.full((n, STATES), -np.inf)
-    score[:, EDGE] = 0
-    came = np.zeros((width, n, STATES), np.int8)
+        codes[i, : len(t)] = observed(t)
+    to = np.ascontiguousarray(model.transpose(2, 0, 1))  # by the next letter
+    score = np.full((n, STATES, STATES), -np.inf, np.float32)
+    score[:, EDGE, EDGE] = 0
+    came = np.full((width, n, STATES, STATES), -1, np.int8)
     for j in range(width):
-        steps = score[:, :, None] + model[None]
-        best = steps.argmax(1)
-        said = np.take_along_axis(steps, best[:, None, :], 1)[:, 0] + EMIT[codes[:, j]]
-        kept = score + SKIP[codes[:, j]][:, None]
-        skip = kept >= said
-        score = np.where(skip, kept, said)
-        came[j] = np.where(skip, -1, best)
-    at = (score + model[:, EDGE]).argmax(1)
-    rows = np.arange(n)
+        after = score + SKIP[codes[:, j]][:, None, None]
+        for k in (0, 1):
+            rows = np.flatnonzero(SAID[codes[:, j], k] >= 0)
+            if len(rows):
+                x = SAID[codes[rows, j], k]
+                steps = score[rows] + to[x]
+                best = steps.argmax(1)
+                value = np.take_along_axis(steps, best[:, None, :], 1)[:, 0] + EMIT[codes[rows, j], k][:, None]
+                better = value > after[rows, :, x]
+                after[rows, :, x] = np.where(better, value, after[rows, :, x])
+                came[j, rows, :, x] = np.where(better, best, came[j, rows, :, x])
+        score = after
+    at = (score + model[:, :, EDGE]).reshape(n, -1).argmax(1)
+    a, b, rows = at // STATES, at % STATES, np.arange(n)
     out = [[] for _ in range(n)]
     for j in range(width - 1, -1, -1):
-        back = came[j, rows, at]
+        back = came[j, rows, a, b]
         for i in np.flatnonzero(back >= 0):
-            out[i].append(tokens[i][j] if at[i] == OTHER else chr(97 + at[i]))
-        at = np.where(back >= 0, back, at)
+            out[i].append(tokens[i][j] if b[i] == OTHER else " " if b[i] == EDGE else chr(97 + b[i]))
+        a, b = np.where(back >= 0, back, a), np.where(back >= 0, a, b)
     return ["".join(reversed(x)) for x in out]
 
 
@@ -105,13 +123,13 @@ def restore(tokens: list[str], model: np.ndarray) -> list[str]:
     out = [t.strip(TRIM) for t in tokens]
     by: dict[int, list[int]] = {}
     for i, (t, whole) in enumerate(zip(out, tokens)):
-        if t.isalpha() and not TRIPLE.search(t) or not t:
+        if t.isalpha() and not DOUBLE.search(t) or not t:
             continue
         if LETTER.search(t):
             out[i] = whole.lstrip("\"'.,;:?").rstrip("\"'.,;:?!)") or whole  # signs that can be letters stay
-            by.setdefault((len(out[i]) + 3) // 4, []).append(i)
+            by.setdefault((len(out[i]) + 1) // 2, []).append(i)
     for width, group in by.items():
-        step = max(1, 4000 // width)
+        step = max(1, 800 // width)
         for k in range(0, len(group), step):
             part = group[k : k + step]
             for i, said in zip(part, viterbi([out[i] for i in part], model)):
@@ -120,24 +138,24 @@ def restore(tokens: list[str], model: np.ndarray) -> list[str]:
 
 
 def features(word: str) -> list[str]:
-    """A word and its beginnings."""
-    return [word, *(f"{word[:n]}~" for n in STEMS if len(word) > n)] if word else []
+    """A word and its beginnings; of several words those of each."""
+    return [f for w in word.split() for f in (w, *(f"{w[:n]}~" for n in STEMS if len(w) > n))]
 
 
 def text_tokens(text: str | None) -> list[str]:
-    """Lower-case tokens, and single letters in a row as one."""
+    """Lower-case tokens, and short ones in a row as one with gaps."""
     low = (text or "").lower()
-    return low.split() + ["".join(m.group().split()) for m in SPACED.finditer(low)]
+    return low.split() + [" ".join(m.group().split()) for m in SPACED.finditer(low)]
 
 
 def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Natural logarithms of P(next | last) over the 28 states, from all documents."""
+    """Natural logarithms of P(next | last two) over the 28 states, from all documents; contexts lean on the shorter ones where they are rare."""
     lut = np.full(256, EDGE)
     lut[97:123] = lut[65:91] = np.arange(26)
     lut[0xC0:] = OTHER
 
     def run(batches):
-        total = np.zeros(STATES * STATES, np.int64)
+        total = np.zeros(STATES**3, np.int64)
         for b in chunks(batches, "_text"):
             buf, offsets = text_bytes(b.column(0))
             first = np.zeros(len(buf) + 1, bool)
@@ -146,15 +164,22 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
             code, first = lut[buf[keep]], first[:-1][keep]
             last = np.r_[[EDGE], code[:-1]] if len(code) else code
             last = np.where(first, EDGE, last)
-            total += np.bincount(last * STATES + code, minlength=len(total))
+            before = np.r_[[EDGE], last[:-1]] if len(code) else code
+            before = np.where(first | (last == EDGE), EDGE, before)  # nothing counts before an edge
+            total += np.bincount((before * STATES + last) * STATES + code, minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
 
     got = docs.select(F.col(text).alias("_text")).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    counts = np.ones((STATES, STATES))
+    three = np.zeros((STATES,) * 3)
     for r in got:
-        counts[divmod(r["pair"], STATES)] += r["n"]
-    return np.log(counts / counts.sum(1, keepdims=True))
+        three.flat[r["pair"]] = r["n"]
+    two = three.sum(0)
+    one = (two.sum(0) + 1) / (two.sum() + STATES)
+    two = (two + 10 * one) / (two.sum(1, keepdims=True) + 10)
+    three = (three + 10 * two[None]) / (three.sum(2, keepdims=True) + 10)
+    three[:, EDGE] = three[EDGE, EDGE]  # a state after an edge, whatever stood before it
+    return np.log(three).astype(np.float32)
 
 
 def training_rows(labels: DataFrame, key: str, most: int) -> DataFrame:
@@ -164,7 +189,7 @@ def training_rows(labels: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def lexicon(training: DataFrame, text: str, model: np.ndarray) -> dict[str, float]:
-    """Evidence (log of how much commoner in toxic texts) of at most LEXICON words and beginnings."""
+    """Evidence (log of how much commoner in toxic texts) of words and beginnings."""
     n1, n0 = (training.agg(F.sum("_toxic")).first()[0] or 0), training.where("_toxic = 0").count()
     if not n1 or not n0:
         return {}
@@ -192,7 +217,7 @@ def lexicon(training: DataFrame, text: str, model: np.ndarray) -> dict[str, floa
     rate, n = n1 / (n1 + n0), F.col("n1") + F.col("n0")
     share = F.col("n1") / n
     far = n * (share * F.log(share / rate) + F.when(F.col("n0") > 0, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0))
-    rows = counted.withColumn("evidence", evidence).where((F.col("n1") >= LEAST_TOXIC) & (F.col("evidence") >= LEAST_EVIDENCE)).where(far >= LEAST_DIVERGENCE).orderBy(F.desc(F.col("n1") * F.col("evidence")), "feature").limit(LEXICON).collect()
+    rows = counted.withColumn("evidence", evidence).where((F.col("n1") >= LEAST_TOXIC) & (F.col("evidence") >= LEAST_EVIDENCE)).where(far >= LEAST_DIVERGENCE).collect()  # few: LEAST_TOXIC of the training rows hold each
     return {r["feature"]: r["evidence"] for r in rows}
 
 
