@@ -482,6 +482,41 @@ def test_poisson_mix(spark, odd):
     assert mixing.poisson_mix(empty(spark)).count() == 0
 
 
+def exact_poisson(mean, u):
+    """The number of k whose cumulative probability is not above u, from logarithms."""
+    cdf, k = 0.0, 0
+    while True:
+        cdf += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        if cdf > u:
+            return k
+        k += 1
+
+
+@pytest.mark.parametrize("mean", [1, 100, 800, 5000])
+def test_poisson_draws_equal_quantiles(spark, mean):
+    rows = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("x").alias("_source"), F.lit(1.0).alias("rate"))
+    got = mixing.poisson_mix(rows, weights={"s": 1.0}, total=60 * mean)
+    assert got.columns == [*rows.columns, "copy", "shuffle_key"]
+    got = {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()}
+    parts = max(1, math.ceil(mean / mixing.MEAN))
+    u = lambda key: int(hashlib.md5(f"{mixing.SEED}:{key}".encode()).hexdigest()[:13], 16) / 2**52
+    for i in range(60):
+        keys = [str(i)] + [f"part:{j}:{i}" for j in range(2, parts + 1)]
+        assert got.get(i, 0) == sum(exact_poisson(mean / parts, u(k)) for k in keys)
+
+
+def test_poisson_sql_with_several_parts(spark, monkeypatch):
+    """A mean of 141 in parts of at most 20: the rows' own SQL with that bound."""
+    monkeypatch.setattr(mixing, "MEAN", 20)
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") < 2, "rare").otherwise("common").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    sql = mixing.OP9_SQL.replace("rate / 500", "rate / 20")
+    want = dict(con.execute(f"SELECT doc_id, count(*) FROM ({sql}) WHERE doc_id < 50 GROUP BY 1").fetchall())
+    got = {r["doc_id"]: r["count"] for r in mixing.poisson_mix(df).where("doc_id < 50").groupBy("doc_id").count().collect()}
+    assert got == want and got[0] > 100
+
+
 def test_poisson_mix_with_many_sources(spark, odd, monkeypatch):
     few = sorted(map(tuple, mixing.poisson_mix(odd).drop("shuffle_key").collect()), key=repr)
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
