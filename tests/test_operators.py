@@ -24,8 +24,26 @@ def test_state_fold_compares_with_the_last_kept(spark):
 
 
 def test_upper_median(spark):
-    df = spark.createDataFrame([(x,) for x in (4, 1, 3, 2)], "x int")
-    assert df.agg(sequences.upper_median(F.col("x")).alias("m")).first()["m"] == 3
+    rows = [("a", x) for x in (1, 2, 3, 4)] + [("b", 7), ("b", None), ("c", 5), ("c", 5), ("c", 1)]
+    df = spark.createDataFrame(rows, "k string, x int")
+    assert {r["k"]: r["median"] for r in sequences.upper_median(df, "k", "x").collect()} == {"a": 3, "b": 7, "c": 5}
+
+
+def test_folds_carry_state_over_batches(spark):
+    rows = [("a", i, i, "up" if i % 3 else "down") for i in range(500)] + [(None, 1, 1, "up"), (None, 2, 2, "up"), ("b", 5, 1, "up")]
+    df = spark.createDataFrame(rows, "k string, t bigint, id bigint, state string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        kept = sorted((repr(r["k"]), r["id"]) for r in sequences.drop_repeated_states(df, "k", "state", 10).collect())
+        counted = {r["k"]: r["occurrences"] for r in sequences.fold_count(df, "k", F.col("state") == "down", 0, 1).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = [("'a'", i) for i in range(500) if i % 3 != 2] + [("'b'", 1), ("None", 1)]
+    assert kept == sorted(want)
+    assert counted == {"a": 333, None: 2, "b": 1}
+    assert sequences.drop_repeated_states(df.limit(0), "k", "state", 10).count() == 0
+
 
 
 def test_two_valued_logic(spark):

@@ -31,9 +31,10 @@ def nor(*leaves: Column) -> Column:
     return out
 
 
-def matches(column: str, pattern: str, limit: int = 16_384) -> Column:
-    """A case-insensitive regular expression over the first characters of a text."""
-    return sure(F.substring(column, 1, limit).rlike(f"(?i){pattern}"))
+def matches(column: str, pattern: str, limit: int | None = None) -> Column:
+    """A case-insensitive regular expression over a text, or over its first characters."""
+    text = F.col(column) if limit is None else F.substring(column, 1, limit)
+    return sure(text.rlike(f"(?i){pattern}"))
 
 
 def whole_word(column: str, needle: str) -> Column:

@@ -58,13 +58,11 @@ def csv_quote(cell: Column) -> Column:
 
 def octal_escape(text: Column, keep: str = "\t") -> Column:
     """Control characters as # and three octal digits, so that one record stays one line."""
-
-    def one(c: Column) -> Column:
-        code = F.ascii(c)
-        control = ((code < 32) | ((code >= 127) & (code < 160))) & ~c.isin(*keep)
-        return F.when(control, F.concat(F.lit("#"), F.lpad(F.conv(code.cast("string"), 10, 8), 3, "0"))).otherwise(c)
-
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    out = text
+    for code in [*range(32), *range(127, 160)]:
+        if chr(code) not in keep:
+            out = F.replace(out, F.lit(chr(code)), F.lit(f"#{code:03o}"))
+    return F.when(text.rlike("[\\x00-\\x1f\\x7f-\\x9f]"), out).otherwise(text)
 
 
 def neutral(text: Column) -> Column:

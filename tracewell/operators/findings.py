@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import list_words
@@ -36,9 +36,14 @@ def finding(df: DataFrame, rule: str, severity: Column | int, category: str, tit
     return df.select(F.lit(rule).alias("rule"), level.cast("int").alias("severity"), F.lit(category).alias("category"), F.col(device).alias("device"), title.alias("title"), "first", "last", F.col("count").cast("bigint").alias("count"), "evidence")
 
 
-def about(order: str = "t", most: int = 50) -> list[Column]:
-    """The aggregates of every finding; its evidence is the ids of the first so many rows, kept small while they are gathered."""
-    return [F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("count"), F.slice(F.array_sort(F.collect_list("id")), 1, most).alias("evidence")]
+def about(rows: DataFrame, keys: list[str], *more: Column, most: int = 50) -> DataFrame:
+    """(keys, first, last, count, more..., evidence) of each group; its evidence is the least so many ids.
+
+    Ids are ranked, which tasks do for their own rows before anything is shuffled, and only those that count are gathered."""
+    sums = rows.groupBy(*keys).agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("count"), *more)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+    few = rows.select(*keys, "id").withColumn("_place", place).where(F.col("_place") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list("id")).alias("evidence"))
+    return sums.join(few, keys)
 
 
 @rule("link.flap")
@@ -46,7 +51,7 @@ def link_flap(log: DataFrame, window: int = 5 * DAY, least: int = 3) -> DataFram
     """At least so many errors of one device in any window."""
     downs = log.where("program = 'error'")
     found = burst(downs, "host", window).where(F.col("most") >= least)
-    rows = downs.join(found.select("host", "most"), "host").groupBy("host", "most").agg(*about())
+    rows = about(downs.join(found.select("host", "most"), "host"), ["host", "most"])
     return finding(rows, "link.flap", BAD, "link", F.concat(F.lit("down "), F.col("most").cast("string"), F.lit(" times in a window")))
 
 
@@ -54,7 +59,7 @@ def link_flap(log: DataFrame, window: int = 5 * DAY, least: int = 3) -> DataFram
 def link_down(log: DataFrame, now: int, after: int = HOUR) -> DataFrame:
     """The last event of a device is an error, and that is long ago."""
     last = last_state(log, "host", "program").where((F.col("program") == "error") & (F.lit(now) - F.col("t") > after)).select("host")
-    rows = log.where("program = 'error'").join(last, "host").groupBy("host").agg(*about())
+    rows = about(log.where("program = 'error'").join(last, "host"), ["host"])
     return finding(rows, "link.down", WARN, "link", F.lit("down since its last line"))
 
 
@@ -63,7 +68,7 @@ def login_failures(log: DataFrame, window: int = 5 * DAY, many: int = 4) -> Data
     """Failures of one address: a burst is bad, two or more at any time are worth a note."""
     failed = log.where("program = 'error'")
     most = burst(failed, "address", window).where("events >= 2").select("address", "most")
-    rows = failed.join(most, "address").groupBy("address", "most").agg(*about())
+    rows = about(failed.join(most, "address"), ["address", "most"])
     return finding(rows, "login.failures", F.when(F.col("most") >= many, BAD).otherwise(INFO), "login", F.concat(F.col("count").cast("string"), F.lit(" failures")), "address")
 
 
@@ -73,18 +78,16 @@ def routing_neighbor(log: DataFrame) -> DataFrame:
     events = log.where("program in ('error', 'purchase')")
     starts = outage_starts(events.select("host", "t", "id", "program"), "host", F.col("program") == "purchase")
     still = last_state(events, "host", "program").select("host", (F.col("program") == "error").alias("still"))
-    rows = starts.groupBy("host").agg(*about()).join(still, "host").where("still or count >= 2")
+    rows = about(starts, ["host"]).join(still, "host").where("still or count >= 2")
     return finding(rows, "routing.neighbor", F.when(F.col("still"), BAD).otherwise(WARN), "routing", F.concat(F.col("count").cast("string"), F.lit(" outages")))
 
 
 @rule("config.change")
 def config_change(log: DataFrame, gap: int = HOUR) -> DataFrame:
     """Changes of a device; lines close to each other are one change."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("host").orderBy("t", "id")
     lines = log.where("program = 'signup'").withColumn("_new", F.when(F.col("t") - F.lag("t").over(w) <= gap, 0).otherwise(1))
-    rows = lines.groupBy("host").agg(F.sum("_new").alias("_changes"), *about())
+    rows = about(lines, ["host"], F.sum("_new").alias("_changes"))
     return finding(rows, "config.change", INFO, "config", F.concat(F.col("_changes").cast("string"), F.lit(" changes")))
 
 
@@ -96,7 +99,7 @@ def error_spike(log: DataFrame, times: float = 3.0, least_days: int = 10) -> Dat
     s = days.groupBy("host").agg(F.max("n").alias("peak"), F.max_by("day", F.struct("n", -F.col("day"))).alias("day"), F.sum("n").alias("total"), (F.max("day") - F.min("day") + 1).alias("span"))
     usual = (F.col("total") - F.col("peak")) / F.greatest(F.col("span") - 1, F.lit(1))
     s = s.where((F.col("span") >= least_days) & (F.col("peak") >= times * F.greatest(usual, F.lit(0.5)))).select("host", "day", "peak")
-    rows = problems.join(s, ["host", "day"]).groupBy("host", "peak").agg(*about())
+    rows = about(problems.join(s, ["host", "day"]), ["host", "peak"])
     return finding(rows, "syslog.errorSpike", WARN, "syslog", F.concat(F.col("peak").cast("string"), F.lit(" problems in a day")))
 
 
@@ -106,7 +109,7 @@ def log_rate(log: DataFrame, least: int = 4, hours: int = 2) -> DataFrame:
     keyed = log.withColumn("part", F.concat(F.lit("port "), F.col("port").cast("string"))).withColumn("hour", F.expr(f"t div {HOUR}"))
     busy = keyed.groupBy("part", "hour").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     many = busy.groupBy("part").agg(F.count("*").alias("hours")).where(F.col("hours") >= hours)
-    rows = keyed.join(busy.select("part", "hour"), ["part", "hour"], "left_semi").join(many, "part").groupBy("part", "hours").agg(*about())
+    rows = about(keyed.join(busy.select("part", "hour"), ["part", "hour"], "left_semi").join(many, "part"), ["part", "hours"])
     return finding(rows, "capacity.logRate", WARN, "capacity", F.concat(F.col("hours").cast("string"), F.lit(" busy hours")), "part")
 
 

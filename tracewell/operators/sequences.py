@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 SECOND = 1_000_000
 
@@ -20,21 +23,47 @@ def burst(df: DataFrame, keys, window: int, t: str = "t") -> DataFrame:
     return counted.groupBy(*keys).agg(F.max("_n").alias("most"), F.max_by(t, F.struct("_n", -F.col(t))).alias("until"), F.count("*").alias("events"))
 
 
+def folded(df: DataFrame, keys: list[str], order: list[str], step, schema) -> DataFrame:
+    """What step gives over each key's rows in order, one row at a time; a task holds the state of one key, and rows only of a batch.
+
+    step(state, row) gives (state, rows out); the state of a new key is None, and after a key's last row, step(state, None) is asked once more."""
+
+    def run(batches):
+        key, state = None, None
+        for b in batches:
+            out = []
+            names = b.schema.names
+            for values in zip(*(c.to_pylist() for c in b.columns)):
+                row = dict(zip(names, values))
+                own = tuple(row[k] for k in keys)
+                if own != key:
+                    if key is not None:
+                        out += [(*key, *r) for r in step(state, None)[1]]
+                    key, state = own, None
+                state, rows = step(state, row)
+                out += [(*key, *r) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*out)) or [()] * len(types), types)], names=[f.name for f in schema.fields])
+        if key is not None:
+            last = [(*key, *r) for r in step(state, None)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*last)) or [()] * len(types), types)], names=[f.name for f in schema.fields])
+
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def drop_repeated_states(df: DataFrame, keys, state: str, within: int, t: str = "t", tie: str = "id") -> DataFrame:
     """Drops an event whose state is that of the last kept event, if not more than `within` after it.
 
     What is kept depends on what was kept before, so it is a fold over each key's events."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    rows = F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(tie).alias("tie"), F.col(state).alias("state"))))
-    kind = f"array<struct<t:bigint,tie:{df.schema[tie].dataType.simpleString()},state:{df.schema[state].dataType.simpleString()}>>"
+    rows = df.select(*keys, t, tie, state)
 
-    def step(kept: Column, x: Column) -> Column:
-        last = F.element_at(kept, -1)
-        again = (F.size(kept) > 0) & (last["state"] == x["state"]) & (x["t"] - last["t"] <= within)
-        return F.when(again, kept).otherwise(F.concat(kept, F.array(x)))
+    def step(last, row):
+        if row is None or last is not None and last[1] == row[state] and row[t] - last[0] <= within:
+            return last, []
+        return (row[t], row[state]), [(row[t], row[tie], row[state])]
 
-    folded = df.groupBy(*keys).agg(rows.alias("_all")).select(*keys, F.explode(F.aggregate("_all", F.array().cast(kind), step)).alias("_e"))
-    return folded.select(*keys, F.col("_e.t").alias(t), F.col("_e.tie").alias(tie), F.col("_e.state").alias(state))
+    return folded(rows, keys, [t, tie], step, rows.schema)
 
 
 def outage_starts(df: DataFrame, keys, up: Column, t: str = "t", tie: str = "id") -> DataFrame:
@@ -69,14 +98,17 @@ def sessions(df: DataFrame, keys, idle: int, t: str = "t", tie: str = "id") -> D
 def fold_count(df: DataFrame, keys, request: Column, after_any: int, after_request: int, t: str = "t", tie: str = "id") -> DataFrame:
     """Occurrences of each key, where a line soon after the last line, or after a request, belongs to the same one."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    rows = F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(tie).alias("tie"), request.alias("asked"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("last"), F.lit(None).cast("bigint").alias("asked"))
+    rows = df.select(*keys, F.col(t).alias("_t"), F.col(tie).alias("_tie"), F.coalesce(request, F.lit(False)).alias("_asked"))
 
-    def step(a: Column, x: Column) -> Column:
-        same = F.coalesce(x["t"] - a["last"] <= after_any, F.lit(False)) | F.coalesce(x["t"] - a["asked"] <= after_request, F.lit(False))
-        return F.struct((a["n"] + F.when(same, 0).otherwise(1)).cast("bigint").alias("n"), x["t"].alias("last"), F.when(x["asked"], x["t"]).otherwise(F.when(same, a["asked"])).alias("asked"))
+    def step(state, row):
+        n, last, asked = state or (0, None, None)
+        if row is None:
+            return None, [(n,)]
+        now = row["_t"]
+        same = last is not None and now - last <= after_any or asked is not None and now - asked <= after_request
+        return (n + (not same), now, now if row["_asked"] else asked if same else None), []
 
-    return df.groupBy(*keys).agg(F.aggregate(rows, start, step)["n"].alias("occurrences"))
+    return folded(rows, keys, ["_t", "_tie"], step, T.StructType([*(rows.schema[k] for k in keys), T.StructField("occurrences", T.LongType())]))
 
 
 def planned_before(df: DataFrame, keys, planned: Column, within: int, t: str = "t", tie: str = "id") -> DataFrame:
@@ -118,10 +150,13 @@ def restarted(uptime: Column, before: Column, gap_ticks: Column) -> Column:
     return ((uptime < gap_ticks) | (uptime < before)) & ~(wrapped & (uptime < before))
 
 
-def upper_median(values: Column) -> Column:
-    """The upper of the two middle values."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+def upper_median(df: DataFrame, keys, value: str) -> DataFrame:
+    """(keys, median): the upper of the two middle values, from counts of each value, so that no task gathers a key's values."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    upto, all_ = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value)), F.sum("_n").over(Window.partitionBy(*keys))
+    picked = counted.withColumn("_upto", upto).withColumn("_all", all_).where(F.col("_upto") > F.floor(F.col("_all") / 2))
+    return picked.groupBy(*keys).agg(F.min(value).alias("median"))
 
 
 def sequence_before(a: Column, b: Column) -> Column:

@@ -78,7 +78,7 @@ def flood_hours(spark, sf_dir):
 
 @query("upper_median", "SELECT user_id, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY 1")
 def median(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(upper_median(F.col("value")).alias("median"))
+    return upper_median(table(spark, sf_dir, "events"), "user_id", "value")
 
 
 @query(
@@ -111,11 +111,13 @@ def worst_day(spark, sf_dir):
     return d.groupBy("port").agg(F.min_by("day", F.struct(-F.col("share"), F.col("day"))).alias("day"), F.round(F.max("share"), 6).alias("share"))
 
 
-@query("distinct_claims", f"{W} SELECT address, count(DISTINCT source) AS claims, list_sort(list(DISTINCT source))[1:3] AS first_three FROM log GROUP BY 1 HAVING count(DISTINCT source) >= 2")
+@query("distinct_claims", f"{W} SELECT port, count(DISTINCT source) AS claims, list_sort(list(DISTINCT source))[1:3] AS first_three FROM log GROUP BY 1 HAVING count(DISTINCT source) >= 2")
 def distinct_claims(spark, sf_dir):
-    """Addresses that more than one source claims."""
-    claims = log(spark, sf_dir).select("address", "source").distinct().groupBy("address").agg(F.count("*").alias("claims"), F.slice(F.array_sort(F.collect_list("source")), 1, 3).alias("first_three"))
-    return claims.where("claims >= 2")
+    """Ports that more than one source claims, with the first three."""
+    pairs = log(spark, sf_dir).select("port", "source").distinct()
+    first = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("port").orderBy("source"))).where("_r <= 3")
+    three = first.groupBy("port").agg(F.array_sort(F.collect_list("source")).alias("first_three"))
+    return pairs.groupBy("port").agg(F.count("*").alias("claims")).where("claims >= 2").join(three, "port")
 
 
 @query("summary", f"{W} SELECT count(*) AS lines, count(DISTINCT host) AS devices, count(DISTINCT address) AS addresses, min(t) AS first, max(t) AS last, count(*) FILTER (pid IS NULL) AS without_pid FROM log")

@@ -108,15 +108,15 @@ def retransmissions(spark, sf_dir):
 
 @query(
     "outer_join_pivot",
-    """WITH a AS (SELECT l_suppkey AS k, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END)::BIGINT AS a, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END)::BIGINT AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS r FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1),
-b AS (SELECT s_suppkey AS k, s_name, s_nationkey FROM supplier WHERE s_suppkey % 5 <> 0)
+    """WITH a AS (SELECT l_suppkey AS k, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END)::BIGINT AS a, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END)::BIGINT AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS r FROM lineitem GROUP BY 1),
+b AS (SELECT s_suppkey AS k, s_name, s_nationkey FROM supplier)
 SELECT coalesce(a.k, b.k) AS idx, s_name, coalesce(a, 0) AS a, coalesce(n, 0) AS n, coalesce(r, 0) AS r, coalesce(s_nationkey::BIGINT, a + n + r) AS shown FROM a FULL JOIN b ON a.k = b.k""",
 )
 def outer_join_pivot(spark, sf_dir):
     """Two tables of one index, columns from rows on one side, joined with either side missing."""
-    a = table(spark, sf_dir, "lineitem").where("l_suppkey % 3 <> 0").groupBy(F.col("l_suppkey").alias("idx")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.count(F.lit(1)))
+    a = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("idx")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.count(F.lit(1)))
     a = a.select("idx", *(F.coalesce(F.col(x), F.lit(0)).alias(x.lower()) for x in "ANR"))
-    b = table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("idx"), "s_name", "s_nationkey")
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"), "s_name", "s_nationkey")
     j = a.join(b, "idx", "full")
     zero = [F.coalesce(x, F.lit(0)).alias(x) for x in "anr"]
     return j.select("idx", "s_name", *zero, F.coalesce(F.col("s_nationkey").cast("bigint"), F.col("a") + F.col("n") + F.col("r")).alias("shown"))
@@ -138,23 +138,23 @@ PAGE_PATH = "split(regexp_replace(url, '^[a-z]+://', ''), '/')"
 
 @query(
     "longest_prefix",
-    "WITH p AS (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS path FROM pages), n AS (SELECT DISTINCT path[1:k] AS path FROM p, (VALUES (1), (2)) v(k) WHERE page_id % 3 = 0 AND len(path) >= k), x AS (SELECT page_id, n.path, row_number() OVER (PARTITION BY page_id ORDER BY len(n.path) DESC) AS r FROM p JOIN n ON p.path[1:len(n.path)] = n.path AND len(n.path) <= len(p.path)) SELECT page_id, array_to_string(path, '/') AS node FROM x WHERE r = 1",
+    "WITH p AS (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS path FROM pages), n AS (SELECT DISTINCT path[1:k] AS path FROM p, (VALUES (1), (2)) v(k) WHERE len(path) >= k), x AS (SELECT page_id, n.path, row_number() OVER (PARTITION BY page_id ORDER BY len(n.path) DESC) AS r FROM p JOIN n ON p.path[1:len(n.path)] = n.path AND len(n.path) <= len(p.path)) SELECT page_id, array_to_string(path, '/') AS node FROM x WHERE r = 1",
 )
 def longest_prefix(spark, sf_dir):
     """Each page with the most specific node of a dictionary that begins its path."""
     p = table(spark, sf_dir, "pages").select("page_id", F.expr(PAGE_PATH).alias("path"))
     node = F.explode(F.filter(F.array(F.slice("path", 1, 1), F.slice("path", 1, 2)), lambda x: F.size(x) > 0))
-    nodes = p.where("page_id % 3 = 0").select(node.alias("node")).distinct()
+    nodes = p.select(node.alias("node")).distinct()
     return c.longest_prefix(p, F.col("path"), nodes, "node", "page_id").select("page_id", F.array_join("node", "/").alias("node"))
 
 
 @query(
     "prefix_roots",
-    "WITH p AS (SELECT DISTINCT path FROM (SELECT string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS path FROM pages UNION ALL SELECT string_split(regexp_replace(url, '^[a-z]+://', ''), '/')[1:2] FROM pages WHERE page_id % 4 = 0)) SELECT array_to_string(path, '/') AS root FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE len(q.path) < len(p.path) AND p.path[1:len(q.path)] = q.path)",
+    "WITH p AS (SELECT DISTINCT path FROM (SELECT string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS path FROM pages UNION ALL SELECT string_split(regexp_replace(url, '^[a-z]+://', ''), '/')[1:2] FROM pages)) SELECT array_to_string(path, '/') AS root FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE len(q.path) < len(p.path) AND p.path[1:len(q.path)] = q.path)",
 )
 def prefix_roots(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.expr(PAGE_PATH).alias("path"))
-    both = p.select("path").union(p.where("page_id % 4 = 0").select(F.slice("path", 1, 2)))
+    both = p.select("path").union(p.select(F.slice("path", 1, 2)))
     return c.roots(both, "path").select(F.array_join("path", "/").alias("root"))
 
 
@@ -198,8 +198,11 @@ def last_identity(spark, sf_dir):
 
 @query("set_difference", f"{W}, a AS (SELECT port, list_sort(list(DISTINCT source) FILTER (severity <= 4)) AS bad, list(DISTINCT source) FILTER (program = 'signup') AS fresh FROM log GROUP BY 1) SELECT port, list_filter(bad, lambda x: NOT list_contains(fresh, x)) AS others FROM a")
 def set_difference(spark, sf_dir):
-    a = log(spark, sf_dir).groupBy("port").agg(F.collect_set(F.when(F.col("severity") <= 4, F.col("source"))).alias("bad"), F.collect_set(F.when(F.col("program") == "signup", F.col("source"))).alias("fresh"))
-    return a.select("port", F.array_sort(F.array_except("bad", "fresh")).alias("others"))
+    """Per port the sources with problems that never signed up: distinct pairs and an anti-join, so that no task holds a port's sources but for the answer."""
+    rows = log(spark, sf_dir)
+    fresh = rows.where("program = 'signup'").select("port", "source").distinct()
+    others = rows.where("severity <= 4").select("port", "source").distinct().join(fresh, ["port", "source"], "left_anti")
+    return rows.select("port").distinct().join(others.groupBy("port").agg(F.array_sort(F.collect_list("source")).alias("others")), "port", "left").select("port", F.coalesce("others", F.array().cast("array<bigint>")).alias("others"))
 
 
 @query("late_orders", "SELECT o_orderkey, count(*) AS lines, max(date_diff('day', o_orderdate, l_shipdate))::BIGINT AS slowest FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate > o_orderdate + INTERVAL 60 DAY GROUP BY 1")

@@ -28,9 +28,9 @@ _text_filter("filter_nor", lambda: p.nor(p.word("text", "que"), p.word("text", "
 _text_filter(
     "filter_nested",
     lambda: (p.word("text", "the") & ~(p.word("text", "que") | p.word("source", "src1"))) | p.matches("text", "lic?ense"),
-    "(contains(lower(text), 'the') AND NOT (contains(lower(text), 'que') OR contains(lower(source), 'src1'))) OR regexp_matches(left(text, 16384), 'lic?ense', 'i')",
+    "(contains(lower(text), 'the') AND NOT (contains(lower(text), 'que') OR contains(lower(source), 'src1'))) OR regexp_matches(text, 'lic?ense', 'i')",
 )
-_text_filter("filter_regex", lambda: p.matches("text", "th[ae]n?[a-z]+ing"), "regexp_matches(left(text, 16384), 'th[ae]n?[a-z]+ing', 'i')")
+_text_filter("filter_regex", lambda: p.matches("text", "th[ae]n?[a-z]+ing"), "regexp_matches(text, 'th[ae]n?[a-z]+ing', 'i')")
 _text_filter("filter_whole_word", lambda: p.whole_word("text", "license"), "regexp_matches(text, '(^|[^A-Za-z0-9])license([^A-Za-z0-9./:]|[./:]([^0-9]|$)|$)', 'i')")
 _text_filter("filter_whole_address", lambda: p.sure(F.col("text").rlike(r"(?<![0-9.])[0-9]{1,3}(\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])")), r"regexp_matches(text, '(^|[^0-9.])[0-9]{1,3}(\.[0-9]{1,3}){3}($|[^0-9.]|\.($|[^0-9]))')")
 

@@ -72,10 +72,10 @@ def vendor_detect(spark, sf_dir):
 
 @query(
     "vendor_fields",
-    f"""{W} SELECT id, CASE id % 7 WHEN 0 THEN 'lldpd' WHEN 1 THEN 'ev,' || k WHEN 2 THEN host WHEN 3 THEN 'LINK_STATE' END AS what, CASE id % 7 WHEN 0 THEN 'neighbour of ' || host || '|left' WHEN 1 THEN 'high' WHEN 2 THEN 'notice' WHEN 3 THEN 'Interface ' || host || ' has gone' END AS detail FROM log WHERE id % 7 < 4""",
+    f"""{W} SELECT id, CASE id % 7 WHEN 0 THEN 'lldpd' WHEN 1 THEN 'ev,' || k WHEN 2 THEN host WHEN 3 THEN 'LINK_STATE' END AS what, CASE id % 7 WHEN 0 THEN 'neighbour of ' || host || '|left' WHEN 1 THEN 'high' WHEN 2 THEN 'notice' WHEN 3 THEN 'Interface ' || host || ' has gone' END AS detail FROM log""",
 )
 def vendor_fields(spark, sf_dir):
-    rows = _vendor_lines(spark, sf_dir).where("id % 7 < 4").withColumn("vendor", s.vendor(F.col("line")))
+    rows = _vendor_lines(spark, sf_dir).withColumn("vendor", s.vendor(F.col("line")))
     line = F.col("line")
     cx, vrp, kv, pan = s.aos_cx(line), s.vrp(line), s.key_values(line), s.pan_os(line)
     is_ = lambda v: F.col("vendor") == v

@@ -38,11 +38,12 @@ def byte_words(spark, sf_dir):
 
 @query(
     "list_words",
-    f"{W}, l AS (SELECT host, list_sort(list(DISTINCT program)) AS p FROM log WHERE id % 40 = source % 40 OR severity = 3 GROUP BY 1) SELECT host, CASE len(p) WHEN 1 THEN p[1] WHEN 2 THEN p[1] || ' and ' || p[2] WHEN 3 THEN p[1] || ', ' || p[2] || ' and ' || p[3] ELSE p[1] || ', ' || p[2] || ', ' || p[3] || ' and ' || (len(p) - 3) || ' more' END AS words FROM l",
+    f"{W}, l AS (SELECT host, t // 86400000000 AS day, list_sort(list(DISTINCT program)) AS p FROM log GROUP BY 1, 2) SELECT host, day, CASE len(p) WHEN 1 THEN p[1] WHEN 2 THEN p[1] || ' and ' || p[2] WHEN 3 THEN p[1] || ', ' || p[2] || ' and ' || p[3] ELSE p[1] || ', ' || p[2] || ', ' || p[3] || ' and ' || (len(p) - 3) || ' more' END AS words FROM l",
 )
 def list_words(spark, sf_dir):
-    rows = log(spark, sf_dir).where("id % 40 = source % 40 or severity = 3").groupBy("host").agg(F.array_sort(F.collect_set("program")).alias("p"))
-    return rows.select("host", x.list_words(F.col("p")).alias("words"))
+    """The programs of each device and day, in words."""
+    rows = log(spark, sf_dir).groupBy("host", F.expr("t div 86400000000").alias("day")).agg(F.array_sort(F.collect_set("program")).alias("p"))
+    return rows.select("host", "day", x.list_words(F.col("p")).alias("words"))
 
 
 @query("csv_guard", "SELECT event_id, CASE WHEN left(c, 1) IN ('=', '+', '-', '@') THEN '''' || c ELSE c END AS cell FROM (SELECT event_id, ['=', '+', '-', '@', 'a', '1'][event_id % 6 + 1] || event_type AS c FROM events)")
@@ -51,19 +52,19 @@ def csv_guard(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", x.csv_guard(F.concat(first, "event_type")).alias("cell"))
 
 
-@query("csv_lines", """SELECT doc_id, CASE WHEN regexp_matches(t, '[,"\r\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END || ',' || source AS line FROM (SELECT doc_id, source, left(text, 80) AS t FROM documents)""")
+@query("csv_lines", """SELECT doc_id, CASE WHEN regexp_matches(t, '[,"\r\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END || ',' || source AS line FROM (SELECT doc_id, source, text AS t FROM documents)""")
 def csv_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(x.csv_quote(F.substring("text", 1, 80)), F.lit(","), "source").alias("line"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(x.csv_quote(F.col("text")), F.lit(","), "source").alias("line"))
 
 
-@query("control_escape", "SELECT doc_id, replace(left(text, 200), chr(10), '#012') AS line FROM documents")
+@query("control_escape", "SELECT doc_id, replace(replace(text, chr(10), '#012'), chr(13), '#015') AS line FROM documents")
 def control_escape(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", x.octal_escape(F.substring("text", 1, 200)).alias("line"))
+    return table(spark, sf_dir, "documents").select("doc_id", x.octal_escape(F.col("text")).alias("line"))
 
 
-@query("markdown_escape", r"SELECT doc_id, regexp_replace(left(text, 200), '([*_`\[\]<>|\\])', '\\\1', 'g') AS line FROM documents")
+@query("markdown_escape", r"SELECT doc_id, regexp_replace(text, '([*_`\[\]<>|\\])', '\\\1', 'g') AS line FROM documents")
 def markdown_escape(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", x.markdown_escape(F.substring("text", 1, 200)).alias("line"))
+    return table(spark, sf_dir, "documents").select("doc_id", x.markdown_escape(F.col("text")).alias("line"))
 
 
 @query("excerpt", "SELECT doc_id, CASE WHEN length(trim(text)) > 90 THEN rtrim(left(trim(text), 89)) || '…' ELSE trim(text) END AS words FROM documents")
@@ -110,11 +111,17 @@ def interface_names(spark, sf_dir):
 
 @query("natural_order", f"{W} SELECT host, row_number() OVER (ORDER BY source) AS place FROM (SELECT DISTINCT host, source FROM log)")
 def natural_order(spark, sf_dir):
-    """Hosts in the order in which people count: sw2 before sw10. One row a host is ranked."""
+    """Hosts in the order in which people count, sw2 before sw10, with their places.
+
+    Places are counted in two steps, so that no task ranks all hosts: how many stand in each lot of a thousand neighbours, and the place inside a lot."""
     from pyspark.sql import Window
 
-    hosts = log(spark, sf_dir).select("host").distinct()
-    return hosts.withColumn("place", F.row_number().over(Window.orderBy(a.natural_key("host"))))
+    key = a.natural_key("host")
+    hosts = log(spark, sf_dir).select("host").distinct().select("host", key.alias("key"), F.substring(key, 1, F.greatest(F.length(key) - 3, F.lit(0))).alias("lot"))
+    lots = hosts.groupBy("lot").agg(F.count("*").alias("n"))
+    before = lots.select("lot", (F.sum("n").over(Window.orderBy("lot")) - F.col("n")).alias("before"))  # a row for a thousand hosts
+    placed = hosts.withColumn("inside", F.row_number().over(Window.partitionBy("lot").orderBy("key")))
+    return placed.join(before, "lot").select("host", (F.col("before") + F.col("inside")).alias("place"))
 
 
 @query("oid_order", "SELECT event_id, [1, 3, 6, event_id % 12, event_id] AS oid, list_concat([1, 3, 6], [event_id % 12]) < [1, 3, 6, 5, 0] AS before FROM events")

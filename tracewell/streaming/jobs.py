@@ -6,19 +6,14 @@ with another trigger. Results and checkpoints go to the folder of checkpoints, w
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = _own.setdefault("folder", tempfile.mkdtemp(prefix="streams-"))
+    """A new folder in that of checkpoints, or else in the warehouse: both are shared by a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{folder.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
