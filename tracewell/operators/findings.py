@@ -30,10 +30,10 @@ def rule(name: str):
     return add
 
 
-def finding(df: DataFrame, rule: str, severity: Column | int, category: str, title: Column, device: str = "host") -> DataFrame:
+def finding(df: DataFrame, rule: Column | str, severity: Column | int, category: str, title: Column, device: str = "host") -> DataFrame:
     """Rows of (device, first, last, count, evidence) as findings."""
     level = severity if isinstance(severity, Column) else F.lit(severity)
-    return df.select(F.lit(rule).alias("rule"), level.cast("int").alias("severity"), F.lit(category).alias("category"), F.col(device).alias("device"), title.alias("title"), "first", "last", F.col("count").cast("bigint").alias("count"), "evidence")
+    return df.select((rule if isinstance(rule, Column) else F.lit(rule)).alias("rule"), level.cast("int").alias("severity"), F.lit(category).alias("category"), F.col(device).alias("device"), title.alias("title"), "first", "last", F.col("count").cast("bigint").alias("count"), "evidence")
 
 
 def about(rows: DataFrame, keys: list[str], *more: Column, most: int = 50) -> DataFrame:

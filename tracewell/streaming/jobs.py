@@ -6,16 +6,10 @@ with another trigger. Results and checkpoints go to the folder of checkpoints, w
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in that of checkpoints, or else in the warehouse: both are shared by a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{folder.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
+from ..sources.stored import shared_folder
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -25,7 +19,7 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What the stream appends until its input ends."""
     spark = stream.sparkSession
-    out = shared_folder(spark)
+    out = shared_folder(spark, "streams")
     job = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
     job.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
