@@ -45,17 +45,18 @@ def mac_spellings(address: Column) -> Column:
 
 #: Short interface names and what they stand for.
 INTERFACES = {
-    "gi": "GigabitEthernet", "gig": "GigabitEthernet", "ge": "GigabitEthernet", "te": "TenGigabitEthernet", "ten": "TenGigabitEthernet",
-    "fa": "FastEthernet", "et": "Ethernet", "eth": "Ethernet", "po": "Port-channel", "vl": "Vlan", "lo": "Loopback", "tu": "Tunnel",
-    "hu": "HundredGigE", "fo": "FortyGigabitEthernet", "twe": "TwentyFiveGigE",
+    "gi": "GigabitEthernet", "gig": "GigabitEthernet", "ge": "GigabitEthernet", "fa": "FastEthernet",
+    "te": "TenGigabitEthernet", "ten": "TenGigabitEthernet", "tw": "TwoGigabitEthernet", "fi": "FiveGigabitEthernet",
+    "twe": "TwentyFiveGigE", "fo": "FortyGigabitEthernet", "hu": "HundredGigE", "po": "Port-channel",
+    "eth": "Ethernet", "et": "Ethernet", "xge": "XGigabitEthernet",
 }
 
 
 def interface_name(text: str | Column) -> Column:
-    """Gi1/0/5 as GigabitEthernet1/0/5; eth, et and ge only before a slot."""
+    """Gi1/0/5 and gigabitethernet1/0/5 as GigabitEthernet1/0/5; eth, et and ge only before a slot."""
     text = _column(text)
     short, rest = F.lower(F.regexp_extract(text, "^([A-Za-z]+)([0-9].*)$", 1)), F.regexp_extract(text, "^([A-Za-z]+)([0-9].*)$", 2)
-    names = F.create_map(*(F.lit(x) for pair in INTERFACES.items() for x in pair))
+    names = F.create_map(*(F.lit(x) for pair in (INTERFACES | {v.lower(): v for v in INTERFACES.values()}).items() for x in pair))
     full = F.element_at(names, short)
     slot = ~short.isin("eth", "et", "ge") | rest.contains("/")
     return F.when(full.isNotNull() & slot, F.concat(full, rest)).otherwise(text)

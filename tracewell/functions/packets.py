@@ -1,90 +1,233 @@
-"""Frames as columns: Ethernet, VLAN, ARP, IPv4, TCP, UDP, ICMP and DNS heads read from binary with native expressions."""
+"""Frames as columns, in one pass over the bytes of a batch: Ethernet and VLAN tags, ARP, IPv4 and IPv6, TCP with options, UDP, ICMP, DNS and DHCP.
+
+Every field is read for all frames of a batch at once; a part that is not there, or that a frame ends before, is null. Frames are built with native expressions.
+"""
 
 from __future__ import annotations
 
+import ipaddress
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FLAGS = ("FIN", "SYN", "RST", "PSH", "ACK", "URG", "ECE", "CWR")
 #: Ports by service name.
 SERVICES = {"ftp": 21, "ssh": 22, "telnet": 23, "smtp": 25, "dns": 53, "dhcp": 67, "http": 80, "ntp": 123, "snmp": 161, "ldap": 389, "https": 443, "syslog": 514, "radius": 1812}
 
 
-def number(data: Column, at, size: int) -> Column:
-    """An unsigned big-endian number of `size` bytes at a place (from 0); null past the end."""
-    at = at if isinstance(at, Column) else F.lit(at)
-    part = F.substring(data, at + 1, F.lit(size))
-    return F.when(F.octet_length(part) == size, F.conv(F.hex(part), 16, 10).cast("bigint"))
+FIELDS = [
+    ("src_mac", T.StringType()), ("dst_mac", T.StringType()), ("vlan", T.LongType()), ("tags", T.LongType()), ("ether_type", T.LongType()), ("source", T.StringType()), ("destination", T.StringType()),
+    ("proto", T.LongType()), ("ttl", T.LongType()), ("identification", T.LongType()), ("sport", T.LongType()), ("dport", T.LongType()), ("seq", T.LongType()), ("ack", T.LongType()),
+    ("flags", T.LongType()), ("window", T.LongType()), ("mss", T.LongType()), ("window_scale", T.LongType()), ("payload_length", T.LongType()), ("icmp_type", T.LongType()), ("icmp_code", T.LongType()),
+    ("arp_request", T.BooleanType()), ("dns_id", T.LongType()), ("dns_response", T.BooleanType()), ("dns_rcode", T.LongType()), ("dns_name", T.StringType()), ("dhcp_type", T.LongType()),
+    ("dhcp_xid", T.LongType()), ("dhcp_client", T.StringType()), ("dhcp_server", T.StringType()), ("dhcp_lease", T.LongType()),
+]
+#: Tags of VLANs that a frame may carry one after another, and headers between IPv6 and its transport.
+MOST_TAGS, MOST_EXTENSIONS = 4, 8
+VLAN_TAGS, IPV6_EXTENSIONS = (0x8100, 0x88A8, 0x9100), (0, 43, 60)
+
+
+class Frames:
+    """The bytes of a batch's frames, read at one place of each at a time."""
+
+    def __init__(self, column: pa.Array):
+        column = column.cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        raw = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+        self.start, self.size = offsets[:-1], np.diff(offsets)
+        self.raw = np.r_[raw[: offsets[-1]], np.zeros(32, np.uint8)]
+
+    def number(self, at, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Unsigned big-endian numbers of so many bytes at a place of each frame, and whether the frame has them."""
+        at = np.broadcast_to(np.asarray(at), self.start.shape)
+        there = (at >= 0) & (at + size <= self.size)
+        first = np.where(there, self.start + at, 0)
+        out = np.zeros(len(first), np.int64)
+        for i in range(size):
+            out = out << 8 | self.raw[first + i]
+        return out, there
+
+    def bytes_(self, i: int, at: int, size: int) -> bytes:
+        return self.raw[self.start[i] + at : self.start[i] + min(at + size, self.size[i])].tobytes()
+
+
+def _texts(values: np.ndarray, there: np.ndarray, text) -> np.ndarray:
+    """text of each different value, for the rows that have one."""
+    out = np.full(len(values), None, object)
+    different, which = np.unique(values[there], return_inverse=True, axis=0)
+    words = np.array([text(v) for v in different], object)
+    out[there] = words[which.ravel()] if len(words) else out[there]
+    return out
+
+
+def _mac(n: int) -> str:
+    h = f"{int(n):012x}"
+    return ":".join(h[i : i + 2] for i in range(0, 12, 2))
 
 
-def address(data: Column, at) -> Column:
-    n = number(data, at, 4)
-    byte = lambda s: F.shiftright(n, s).bitwiseAND(255).cast("string")
-    return F.when(n.isNotNull(), F.concat_ws(".", byte(24), byte(16), byte(8), byte(0)))
+def dns_name(data: bytes) -> str | None:
+    """The name of the first question: labels of up to 63 bytes, with dots between them; null if it does not end."""
+    out, at = [], 12
+    while at < len(data):
+        n = data[at]
+        if n == 0:
+            return ".".join(out)
+        if n > 63 or at + 1 + n > len(data):
+            return None
+        out.append(data[at + 1 : at + 1 + n].decode("latin-1"))
+        at += 1 + n
+    return None
 
 
-def mac(data: Column, at: int) -> Column:
-    h = F.lower(F.hex(F.substring(data, at + 1, 6)))
-    return F.when(F.length(h) == 12, F.regexp_replace(F.regexp_replace(h, "(..)", "$1:"), ":$", ""))
+def dhcp_options(data: bytes) -> dict[int, bytes]:
+    out, at = {}, 0
+    while at + 1 < len(data) and data[at] != 255:
+        if data[at] == 0:
+            at += 1
+            continue
+        out.setdefault(data[at], data[at + 2 : at + 2 + data[at + 1]])
+        at += 2 + data[at + 1]
+    return out
 
 
-def once(value: Column, then) -> Column:
-    """then(value), with value worked out once a row however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def fields(frames: Frames) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Each field's values, and where it is there."""
+    number, n = frames.number, len(frames.start)
+    every = np.ones(n, bool)
+    out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for name, at in (("dst_mac", 0), ("src_mac", 6)):
+        value, ok = number(at, 6)
+        out[name] = (_texts(value, ok, _mac), ok)
+    # Tags of VLANs: the first one counts, the others are stepped over.
+    kind, ok = number(12, 2)
+    l3, tags, vlan = np.full(n, 14), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for k in range(MOST_TAGS):
+        tagged = ok & np.isin(kind, VLAN_TAGS)
+        if not tagged.any():
+            break
+        tag, has = number(l3, 2)
+        vlan = np.where(tagged & (k == 0), tag & 4095, vlan)
+        inner, ok_inner = number(l3 + 2, 2)
+        tags, l3 = tags + tagged, l3 + 4 * tagged
+        kind, ok = np.where(tagged, inner, kind), np.where(tagged, has & ok_inner, ok)
+    out["vlan"], out["tags"], out["ether_type"] = (vlan, tags > 0), (tags, every), (kind, ok)
+    # IPv4
+    head, has = number(l3, 1)
+    size = (head & 15) * 4
+    four = ok & has & (kind == 0x0800) & (head >> 4 == 4) & (size >= 20)
+    total, _ = number(l3 + 2, 2)
+    part, _ = number(l3 + 6, 2)
+    ttl, ttl_ok = number(l3 + 8, 1)
+    proto, proto_ok = number(l3 + 9, 1)
+    ident, ident_ok = number(l3 + 4, 2)
+    # IPv6, and the headers before its transport.
+    six = ok & has & (kind == 0x86DD) & (head >> 4 == 6)
+    length6, _ = number(l3 + 4, 2)
+    next6, next_ok = number(l3 + 6, 1)
+    hops, hops_ok = number(l3 + 7, 1)
+    l4 = np.where(six, l3 + 40, l3 + size)
+    whole = four & (part & 8191 == 0)  # later fragments have no transport head
+    whole6 = six & next_ok
+    for _ in range(MOST_EXTENSIONS):
+        more = whole6 & (np.isin(next6, IPV6_EXTENSIONS) | (next6 == 44))
+        if not more.any():
+            break
+        following, f_ok = number(l4, 1)
+        span, s_ok = number(l4 + 1, 1)
+        place, p_ok = number(l4 + 2, 2)
+        piece = more & (next6 == 44)
+        whole6 &= ~more | (f_ok & s_ok)
+        whole6 &= ~piece | (p_ok & (place >> 3 == 0))
+        l4 = np.where(more, l4 + np.where(piece, 8, (span + 1) * 8), l4)
+        next6 = np.where(more, following, next6)
+    proto = np.where(six, next6, proto)
+    is_ip = (four & proto_ok) | (six & next_ok)
+    first = (whole & proto_ok) | whole6
+    rest = np.where(six, length6 - (l4 - l3 - 40), total - size)  # bytes from the transport head on
+    out["proto"], out["ttl"] = (proto, is_ip), (np.where(six, hops, ttl), np.where(six, hops_ok, four & ttl_ok))
+    out["identification"] = (ident, four & ident_ok)
+    arp = ok & (kind == 0x0806)
+    request, r_ok = number(l3 + 6, 2)
+    out["arp_request"] = (request == 1, arp & r_ok)
+    for name, at4, at_arp, at6 in (("source", 12, 14, 8), ("destination", 16, 24, 24)):
+        value, v_ok = number(l3 + np.where(arp, at_arp, at4), 4)
+        text = _texts(value, (four | arp) & v_ok, lambda v: ".".join(str(int(v) >> s & 255) for s in (24, 16, 8, 0)))
+        high, h_ok = number(l3 + at6, 8)
+        low, w_ok = number(l3 + at6 + 8, 8)
+        long_ = six & h_ok & w_ok
+        if long_.any():
+            both = np.stack([high, low], 1).astype(np.uint64)
+            text = np.where(long_, _texts(both, long_, lambda v: str(ipaddress.IPv6Address((int(v[0]) << 64) | int(v[1])))), text)
+        out[name] = (text, ((four | arp) & v_ok) | long_)
+    # Transport
+    tcp, udp = first & (proto == 6), first & (proto == 17)
+    icmp = first & ((four & (proto == 1)) | (six & (proto == 58)))
+    for name, at, width, who in (("sport", 0, 2, tcp | udp), ("dport", 2, 2, tcp | udp), ("seq", 4, 4, tcp), ("ack", 8, 4, tcp), ("flags", 13, 1, tcp), ("window", 14, 2, tcp), ("icmp_type", 0, 1, icmp), ("icmp_code", 1, 1, icmp)):
+        value, v_ok = number(l4 + at, width)
+        out[name] = (value, who & v_ok)
+    data, d_ok = number(l4 + 12, 1)
+    tcp_head = (data >> 4) * 4
+    udp_size, u_ok = number(l4 + 4, 2)
+    out["payload_length"] = (np.where(tcp, rest - tcp_head, udp_size - 8), (tcp & d_ok) | (udp & u_ok))
+    # Options of TCP, one of each frame at a time.
+    mss, scale = (np.zeros(n, np.int64), np.zeros(n, bool)), (np.zeros(n, np.int64), np.zeros(n, bool))
+    at, open_ = l4 + 20, tcp & d_ok & (tcp_head > 20)
+    while open_.any():
+        code, c_ok = number(at, 1)
+        long_, g_ok = number(at + 1, 1)
+        open_ = open_ & c_ok & (code != 0) & (at < l4 + tcp_head)
+        for kept, kind_, width in ((mss, 2, 2), (scale, 3, 1)):
+            value, v_ok = number(at + 2, width)
+            mine = open_ & (code == kind_) & v_ok
+            kept[0][mine] = value[mine]
+            kept[1][mine] = True
+        open_ = open_ & ((code == 1) | (g_ok & (long_ >= 2)))
+        at = at + np.where(code == 1, 1, np.maximum(long_, 1))
+    out["mss"], out["window_scale"] = mss, scale
+    # DNS heads, and DHCP with its options: a small helper reads what is left of those frames.
+    sport, dport = out["sport"][0], out["dport"][0]
+    dns = udp & out["dport"][1] & ((sport == 53) | (dport == 53))
+    ident, i_ok = number(l4 + 8, 2)
+    bits, b_ok = number(l4 + 10, 2)
+    out["dns_id"], out["dns_response"], out["dns_rcode"] = (ident, dns & i_ok), (bits >> 15 == 1, dns & b_ok), (bits & 15, dns & b_ok)
+    names = np.full(n, None, object)
+    for i in np.flatnonzero(dns & b_ok):
+        names[i] = dns_name(frames.bytes_(i, int(l4[i]) + 8, 600))
+    out["dns_name"] = (names, np.array([x is not None for x in names], bool))
+    dhcp = udp & out["dport"][1] & np.isin(sport, (67, 68)) & np.isin(dport, (67, 68))
+    cookie, k_ok = number(l4 + 8 + 236, 4)
+    dhcp &= k_ok & (cookie == 0x63825363)
+    xid, _ = number(l4 + 12, 4)
+    client, _ = number(l4 + 36, 6)
+    kinds, leases, servers = np.zeros((2, n), np.int64), np.zeros((2, n), np.int64), np.full(n, None, object)
+    for i in np.flatnonzero(dhcp):
+        options = dhcp_options(frames.bytes_(i, int(l4[i]) + 248, 1200))
+        for kept, code in ((kinds, 53), (leases, 51)):
+            if code in options:
+                kept[:, i] = int.from_bytes(options[code], "big"), 1
+        if len(options.get(54, b"")) == 4:
+            servers[i] = ".".join(map(str, options[54]))
+    out["dhcp_xid"], out["dhcp_client"] = (xid, dhcp), (_texts(client, dhcp, _mac), dhcp)
+    out["dhcp_type"], out["dhcp_lease"] = (kinds[0], kinds[1] > 0), (leases[0], leases[1] > 0)
+    out["dhcp_server"] = (servers, np.array([x is not None for x in servers], bool))
+    return out
 
 
 def decoded(df: DataFrame, data: str = "data") -> DataFrame:
-    """df with the columns of decode in place of the frame. As a generator it works each frame out once, whatever is
-    then filtered or computed from the columns."""
-    rest = [c for c in df.columns if c != data]
-    return df.select(*rest, F.inline(F.array(decode(F.col(data)))))
-
-
-def decode(data: Column) -> Column:
-    """A struct of what an Ethernet frame says; a part that is not there is null."""
-    return once(data, _decode)
-
-
-def _decode(data: Column) -> Column:
-    tag = number(data, 12, 2).isin(0x8100, 0x88A8, 0x9100)
-    link = F.struct(tag.alias("tag"), F.when(tag, 18).otherwise(14).alias("l3"), F.when(tag, number(data, 16, 2)).otherwise(number(data, 12, 2)).alias("kind"))
-
-    def network(x: Column) -> Column:
-        head = number(data, x["l3"], 1)
-        is_ip = (x["kind"] == 0x0800) & (F.shiftright(head, 4) == 4)
-        whole = number(data, x["l3"] + 6, 2).bitwiseAND(8191) == 0  # later fragments have no transport head
-        size = head.bitwiseAND(15) * 4
-        proto = number(data, x["l3"] + 9, 1)
-        return F.struct(x["tag"].alias("tag"), x["l3"].alias("l3"), x["kind"].alias("kind"), F.when(is_ip, proto).alias("proto"), F.when(is_ip & whole, proto).alias("first"), size.alias("head"), (x["l3"] + size).cast("int").alias("l4"))
-
-    def parts(x: Column) -> Column:
-        l3, l4 = x["l3"], x["l4"]
-        is_ip, arp = x["proto"].isNotNull(), x["kind"] == 0x0806
-        tcp, udp, icmp = x["first"] == 6, x["first"] == 17, x["first"] == 1
-        tcp_head = F.shiftright(number(data, l4 + 12, 1), 4) * 4
-        return F.struct(
-            mac(data, 6).alias("src_mac"),
-            mac(data, 0).alias("dst_mac"),
-            F.when(x["tag"], number(data, 14, 2).bitwiseAND(4095)).alias("vlan"),
-            x["kind"].alias("ether_type"),
-            F.when(is_ip, address(data, l3 + 12)).when(arp, address(data, l3 + 14)).alias("source"),
-            F.when(is_ip, address(data, l3 + 16)).when(arp, address(data, l3 + 24)).alias("destination"),
-            x["proto"].alias("proto"),
-            F.when(is_ip, number(data, l3 + 8, 1)).alias("ttl"),
-            F.when(is_ip, number(data, l3 + 4, 2)).alias("identification"),
-            F.when(tcp | udp, number(data, l4, 2)).alias("sport"),
-            F.when(tcp | udp, number(data, l4 + 2, 2)).alias("dport"),
-            F.when(tcp, number(data, l4 + 4, 4)).alias("seq"),
-            F.when(tcp, number(data, l4 + 8, 4)).alias("ack"),
-            F.when(tcp, number(data, l4 + 13, 1)).alias("flags"),
-            F.when(tcp, number(data, l4 + 14, 2)).alias("window"),
-            F.when(tcp, number(data, l3 + 2, 2) - x["head"] - tcp_head).when(udp, number(data, l4 + 4, 2) - 8).alias("payload_length"),
-            F.when(icmp, number(data, l4, 1)).alias("icmp_type"),
-            F.when(icmp, number(data, l4 + 1, 1)).alias("icmp_code"),
-            F.when(arp, number(data, l3 + 6, 2) == 1).alias("arp_request"),
-        )
-
-    return once(once(link, network), parts)
+    """df with the columns of FIELDS in place of the frame. A null frame has none of them."""
+    rest = [f for f in df.schema.fields if f.name != data]
+
+    def run(batches):
+        for b in batches:
+            column = b.column(b.schema.get_field_index(data))
+            got = fields(Frames(column.fill_null(b"")))
+            arrays = [pa.array(got[n][0].astype(object) if k == T.StringType() else got[n][0], {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.BooleanType(): pa.bool_()}[k], mask=~got[n][1]) for n, k in FIELDS]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in rest), *arrays], names=[*(f.name for f in rest), *(n for n, _ in FIELDS)])
+
+    return df.mapInArrow(run, T.StructType([*rest, *(T.StructField(n, k) for n, k in FIELDS)]))
 
 
 def flag_label(flags: Column) -> Column:
@@ -108,3 +251,30 @@ def tcp_frame(source: Column, destination: Column, sport: Column, dport: Column,
     ip = F.concat(F.lit("4500"), hex_of(size + 40, 2), F.lit("0001"), F.lit("4000"), F.lit("4006"), F.lit("0000"), hex_of(source, 4), hex_of(destination, 4))
     tcp = F.concat(hex_of(sport, 2), hex_of(dport, 2), hex_of(seq, 4), hex_of(ack, 4), F.lit("50"), hex_of(flags, 1), F.lit("2000"), F.lit("0000"), F.lit("0000"))
     return F.unhex(F.concat(eth, ip, tcp, F.hex(payload)))
+
+
+def udp_frame(source: Column, destination: Column, sport: Column, dport: Column, payload: Column) -> Column:
+    """An Ethernet frame with IPv4 and UDP heads (checksums 0) and the payload, which is text in hex; addresses are numbers."""
+    size = (F.length(payload) / 2).cast("int")
+    ip = F.concat(F.lit("4500"), hex_of(size + 28, 2), F.lit("0001"), F.lit("0000"), F.lit("4011"), F.lit("0000"), hex_of(source, 4), hex_of(destination, 4))
+    return F.unhex(F.concat(F.lit("0200000000020200000000010800"), ip, hex_of(sport, 2), hex_of(dport, 2), hex_of(size + 8, 2), F.lit("0000"), payload))
+
+
+def dns_payload(ident: Column, response: Column, rcode: Column, *labels: Column) -> Column:
+    """A DNS message with one question, as text in hex."""
+    name = [x for l in labels for x in (hex_of(F.octet_length(l), 1), F.hex(l.cast("binary")))]
+    return F.concat(hex_of(ident, 2), hex_of(F.when(response, 0x8180).otherwise(0x0100) + rcode, 2), F.lit("0001000000000000"), *name, F.lit("0000010001"))
+
+
+def dhcp_payload(kind: Column, xid: Column, client: Column, server: Column, lease: Column) -> Column:
+    """A DHCP message, as text in hex: its type, and the server and the lease where they are not null. The client is a number of 48 bits."""
+    option = lambda code, value, size: F.coalesce(F.concat(F.lit(f"{code:02x}{size:02x}"), hex_of(value, size)), F.lit(""))
+    head = F.concat(F.lit("01010600"), hex_of(xid, 4), F.lit("00" * 20), hex_of(client, 6), F.lit("00" * 202), F.lit("63825363"))
+    return F.concat(head, option(53, kind, 1), F.lit("00"), option(54, server, 4), option(51, lease, 4), F.lit("ff"))
+
+
+def ipv6_frame(source: Column, destination: Column, sport: Column, dport: Column, flags: Column, mss: Column) -> Column:
+    """A TCP segment in IPv6 behind two VLAN tags and a hop-by-hop header, with options; addresses are text in hex."""
+    options = F.concat(F.lit("0204"), hex_of(mss, 2), F.lit("01030307"))
+    tcp = F.concat(hex_of(sport, 2), hex_of(dport, 2), F.lit("0000000100000000"), F.lit("70"), hex_of(flags, 1), F.lit("200000000000"), options)
+    return F.unhex(F.concat(F.lit("020000000002020000000001"), F.lit("88a8000a"), F.lit("81000014"), F.lit("86dd"), F.lit("60000000"), F.lit("0024"), F.lit("0040"), source, destination, F.lit("0600000000000000"), tcp))

@@ -147,3 +147,77 @@ def packet_flags(spark, sf_dir):
 def packet_port_filter(spark, sf_dir):
     https = k.SERVICES["https"]
     return k.decoded(frames(spark, sf_dir)).where(((F.col("sport") == https) | (F.col("dport") == https)) & k.has(F.col("flags"), "SYN") & ~k.has(F.col("flags"), "ACK")).select("id")
+
+
+# ---- messages in frames -----------------------------------------------------------------------------------------
+
+
+@query(
+    "dns_decode",
+    f"WITH {LOG_SQL} SELECT id, id % 65536 AS dns_id, id % 2 = 1 AS dns_response, CASE WHEN id % 2 = 1 THEN k % 4 ELSE 0 END::BIGINT AS dns_rcode, host || '.example' AS dns_name, CASE WHEN id % 2 = 1 THEN 53 ELSE 40000 + source % 1000 END AS sport FROM log",
+)
+def dns_decode(spark, sf_dir):
+    """Queries and answers in UDP frames."""
+    return k.decoded(dns_frames(spark, sf_dir)).select("id", "dns_id", "dns_response", "dns_rcode", "dns_name", "sport")
+
+
+def dns_frames(spark, sf_dir):
+    e = log(spark, sf_dir)
+    answer = F.col("id") % 2 == 1
+    client, server = F.lit(167772160) + F.col("source"), F.lit(2886729728) + F.col("source") % 3
+    port = F.lit(40000) + F.col("source") % 1000
+    way = lambda a, b: F.when(answer, b).otherwise(a)
+    payload = k.dns_payload(F.col("id") % 65536, answer, F.when(answer, F.col("k") % 4).otherwise(0), F.col("host"), F.lit("example"))
+    return e.select("id", "t", k.udp_frame(way(client, server), way(server, client), way(port, F.lit(53)), way(F.lit(53), port), payload).alias("data"))
+
+
+@query(
+    "dns_failure_share",
+    f"WITH {LOG_SQL} SELECT (2886729728 + source % 3)::BIGINT AS server, count(*) AS answers, count(*) FILTER (k % 4 <> 0) AS failed, count(*) >= 10 AND count(*) FILTER (k % 4 <> 0) >= 0.3 * count(*) AS reported FROM log WHERE id % 2 = 1 GROUP BY 1",
+)
+def dns_failure_share(spark, sf_dir):
+    """Servers with three in ten answers failed, of ten at least, from decoded frames."""
+    from ..functions.addresses import ipv4_number
+
+    answers = k.decoded(dns_frames(spark, sf_dir)).where("dns_response")
+    s_ = answers.groupBy("source").agg(F.count("*").alias("answers"), F.count_if(F.col("dns_rcode") != 0).alias("failed"))
+    return s_.select(ipv4_number("source").alias("server"), "answers", "failed", ((F.col("answers") >= 10) & (F.col("failed") >= 0.3 * F.col("answers"))).alias("reported"))
+
+
+@query(
+    "dhcp_decode",
+    f"WITH {LOG_SQL} SELECT id, id % 6 + 1 AS dhcp_type, (id * 77) % 4294967296 AS dhcp_xid, lower('02:00:' || lpad(to_hex(source // 16777216 % 256), 2, '0') || ':' || lpad(to_hex(source // 65536 % 256), 2, '0') || ':' || lpad(to_hex(source // 256 % 256), 2, '0') || ':' || lpad(to_hex(source % 256), 2, '0')) AS dhcp_client, CASE WHEN id % 2 = 1 THEN '10.0.0.' || k % 3 END AS dhcp_server, CASE WHEN id % 2 = 1 THEN 60 * (k % 10) END::BIGINT AS dhcp_lease FROM log",
+)
+def dhcp_decode(spark, sf_dir):
+    """Messages of clients and servers, the latter with server and lease."""
+    return k.decoded(dhcp_frames(spark, sf_dir)).select("id", "dhcp_type", "dhcp_xid", F.lower("dhcp_client").alias("dhcp_client"), "dhcp_server", "dhcp_lease")
+
+
+def dhcp_frames(spark, sf_dir):
+    e = log(spark, sf_dir)
+    served = F.col("id") % 2 == 1
+    payload = k.dhcp_payload(F.col("id") % 6 + 1, F.col("id") * 77 % (1 << 32), F.lit(0x020000000000) + F.col("source"), F.when(served, F.lit(167772160) + F.col("k") % 3), F.when(served, 60 * (F.col("k") % 10)))
+    return e.select("id", "t", k.udp_frame(F.lit(0), F.lit((1 << 32) - 1), F.when(served, 67).otherwise(68), F.when(served, 68).otherwise(67), payload).alias("data"))
+
+
+@query(
+    "dhcp_short_lease",
+    f"WITH {LOG_SQL} SELECT '10.0.0.' || k % 3 AS dhcp_server, min(60 * (k % 10))::BIGINT AS shortest, count(*) AS leases FROM log WHERE id % 2 = 1 AND id % 6 + 1 = 2 AND 60 * (k % 10) < 300 GROUP BY 1",
+)
+def dhcp_short_lease(spark, sf_dir):
+    """Servers that offer less than five minutes."""
+    offers = k.decoded(dhcp_frames(spark, sf_dir)).where("dhcp_type = 2 and dhcp_lease < 300")
+    return offers.groupBy("dhcp_server").agg(F.min("dhcp_lease").alias("shortest"), F.count("*").alias("leases"))
+
+
+@query(
+    "ipv6_decode",
+    f"WITH {LOG_SQL} SELECT id, lower('fd00::' || CASE WHEN source % 65536 > 0 THEN to_hex(source % 65536) ELSE '' END) AS source, 'fd00::1:0' AS destination, 10::BIGINT AS vlan, 2::BIGINT AS tags, 6::BIGINT AS proto, 64::BIGINT AS ttl, (1000 + id % 400)::BIGINT AS mss, 7::BIGINT AS window_scale, 0::BIGINT AS payload_length, 443::BIGINT AS dport FROM log",
+)
+def ipv6_decode(spark, sf_dir):
+    """Segments in IPv6 behind two tags and a header between, with options."""
+    e = log(spark, sf_dir)
+    text = F.concat(F.lit("fd00" + "0" * 20), k.hex_of(F.col("source") % 65536, 4))
+    frames_ = e.select("id", k.ipv6_frame(text, F.lit("fd00" + "0" * 20 + "00010000"), F.lit(50000), F.lit(443), F.lit(2), F.lit(1000) + F.col("id") % 400).alias("data"))
+    d = k.decoded(frames_)
+    return d.select("id", F.lower("source").alias("source"), "destination", "vlan", "tags", "proto", "ttl", "mss", "window_scale", "payload_length", "dport")

@@ -102,11 +102,17 @@ def mac_forms(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", a.mac(F.upper(spelt)).alias("mac"))
 
 
-@query("interface_names", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'GigabitEthernet1/0/' || event_id % 48 WHEN 1 THEN 'TenGigabitEthernet1/' || event_id % 48 WHEN 2 THEN 'eth' || event_id % 48 ELSE 'Ethernet1/' || event_id % 48 END AS name FROM events")
+#: Short and full spellings, and what they are brought to.
+SPELLINGS = {
+    "Gi1/0/": "GigabitEthernet1/0/", "te1/": "TenGigabitEthernet1/", "eth": "eth", "et1/": "Ethernet1/", "Tw1/0/": "TwoGigabitEthernet1/0/", "fi1/0/": "FiveGigabitEthernet1/0/", "XGE0/0/": "XGigabitEthernet0/0/",
+    "gigabitethernet1/0/": "GigabitEthernet1/0/", "ge": "ge", "GE0/0/": "GigabitEthernet0/0/", "PORT-CHANNEL": "PORT-CHANNEL", "po": "Port-channel", "Vl": "Vl", "mgmt/": "mgmt/",
+}
+
+
+@query("interface_names", f"SELECT event_id, {list(SPELLINGS.values())}[event_id % {len(SPELLINGS)} + 1] || event_id % 48 AS name FROM events")
 def interface_names(spark, sf_dir):
-    n = (F.col("event_id") % 48).cast("string")
-    short = F.element_at(F.array(F.lit("Gi1/0/"), F.lit("te1/"), F.lit("eth"), F.lit("et1/")), (F.col("event_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", a.interface_name(F.concat(short, n)).alias("name"))
+    spelt = F.element_at(F.array(*map(F.lit, SPELLINGS)), (F.col("event_id") % len(SPELLINGS) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", a.interface_name(F.concat(spelt, (F.col("event_id") % 48).cast("string"))).alias("name"))
 
 
 @query("natural_order", f"{W} SELECT host, row_number() OVER (ORDER BY source) AS place FROM (SELECT DISTINCT host, source FROM log)")
