@@ -101,6 +101,22 @@ def findings_report(spark, sf_dir):
 # ---- conversations ----------------------------------------------------------------------------------------------
 
 
+ADDRESS = "({0} // 16777216) || '.' || ({0} // 65536 % 256) || '.' || ({0} // 256 % 256) || '.' || ({0} % 256)"
+PAIR = "PARTITION BY client, cport, server, sport_ ORDER BY t, id"
+PAST = f"({PAIR} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+#: The conversations of pkt, by windows of its own: SYN is 2, SYN and ACK 18, RST and ACK 20.
+FLOW_SQL = f"""{PACKET_SQL},
+s1 AS (SELECT *, t - lag(t) OVER ({PAIR}) AS gap, max(CASE WHEN flags = 20 THEN t END) OVER {PAST} AS ended,
+  last_value(CASE WHEN flags = 2 THEN seq END IGNORE NULLS) OVER {PAST} AS syn_seq, last_value(CASE WHEN flags = 2 THEN t END IGNORE NULLS) OVER {PAST} AS syn_t FROM pkt),
+s2 AS (SELECT *, sum(CASE WHEN gap IS NOT NULL AND flags = 2 AND (syn_seq IS NULL OR syn_seq <> seq) AND (gap > 60000000 OR ended >= coalesce(syn_t, 0)) THEN 1 ELSE 0 END) OVER ({PAIR} ROWS UNBOUNDED PRECEDING)::BIGINT AS conversation,
+  payload + CASE WHEN flags IN (2, 18) THEN 1 ELSE 0 END AS size FROM s1),
+s3 AS (SELECT *, size > 0 AND coalesce(seq + size <= max(seq + size) OVER (PARTITION BY client, cport, server, sport_, conversation, back ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS again FROM s2),
+g AS (SELECT client AS c, cport::BIGINT AS client_port, server AS s, sport_::BIGINT AS server_port, conversation, count(*) AS packets, count(*) FILTER (again) AS lost, count(*) FILTER (flags = 2) AS syns, min(t) FILTER (flags = 18) AS synack,
+  max(t) FILTER (flags = 2) AS syn, min(t) FILTER (flags = 20) AS rst, count(*) FILTER (flags NOT IN (2, 20)) AS more, min(t) AS first, max(t) AS last FROM s3 GROUP BY 1, 2, 3, 4, 5),
+h AS (SELECT *, syns > 0 AND synack IS NULL AND rst IS NULL AND more = 0 AS never_answered, syns > 0 AND synack IS NULL AND rst IS NOT NULL AND more = 0 AS refused, lost >= 3 AND lost / packets >= 0.02 AS resent FROM g),
+flow AS (SELECT *, {ADDRESS.format("c")} AS client, {ADDRESS.format("s")} AS server, list_filter([CASE WHEN never_answered THEN 'never answered' END, CASE WHEN refused THEN 'refused' END, CASE WHEN rst IS NOT NULL AND NOT refused THEN 'reset' END, CASE WHEN resent THEN 'retransmissions' END], lambda x: x IS NOT NULL) AS why FROM h)"""
+
+
 def conversations(spark, sf_dir):
     return fl.flows(k.decoded(frames(spark, sf_dir)).where("proto = 6"))
 
@@ -120,21 +136,24 @@ def flow_counters(spark, sf_dir):
     return keyed.groupBy("client", "client_port", "server", "server_port").agg(*(F.sum(x).alias(x) for x in ("packets", "bytes", "data_segments", "syns")), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
-@query("flow_health")
+@query(
+    "flow_health",
+    f"WITH {FLOW_SQL} SELECT client, client_port, server, server_port, conversation, packets, lost, syns, CASE WHEN syn < synack THEN synack - syn END AS handshake_us, never_answered, refused, rst IS NOT NULL AS reset, CASE WHEN never_answered OR resent THEN 'bad' WHEN len(why) > 0 THEN 'warn' ELSE 'ok' END AS health, array_to_string(why, ', ') AS reasons, first, last FROM flow",
+)
 def flow_health(spark, sf_dir):
-    """Conversations with their outcome; the tests hold it against a step-by-step replay."""
+    """Conversations with their outcome; the tests hold it against a step-by-step replay as well."""
     c = conversations(spark, sf_dir)
-    return c.select(F.col("client.ip").alias("client"), F.col("client.port").alias("client_port"), F.col("server.ip").alias("server"), F.col("server.port").alias("server_port"), "conversation", "packets", "syns", "handshake_us", "never_answered", "refused", "reset", "health", F.array_join("reasons", ", ").alias("reasons"), "first", "last")
+    return c.select(F.col("client.ip").alias("client"), F.col("client.port").alias("client_port"), F.col("server.ip").alias("server"), F.col("server.port").alias("server_port"), "conversation", "packets", "lost", "syns", "handshake_us", "never_answered", "refused", "reset", "health", F.array_join("reasons", ", ").alias("reasons"), "first", "last")
 
 
-@query("tcp_refused")
+@query("tcp_refused", f"WITH {FLOW_SQL} SELECT server, server_port AS port, count(DISTINCT client) AS clients, sum(syns)::BIGINT AS tries, CASE WHEN count(DISTINCT client) >= 3 THEN 3 WHEN sum(syns) >= 3 OR count(DISTINCT client) >= 2 THEN 2 ELSE 1 END AS severity FROM flow WHERE refused GROUP BY 1, 2")
 def tcp_refused(spark, sf_dir):
     """Servers and ports that refuse: three clients are bad, three tries or two clients warn, else a note."""
     g = conversations(spark, sf_dir).where("refused").groupBy(F.col("server.ip").alias("server"), F.col("server.port").alias("port")).agg(F.countDistinct("client.ip").alias("clients"), F.sum("syns").alias("tries"))
     return g.withColumn("severity", F.when(F.col("clients") >= 3, 3).when((F.col("tries") >= 3) | (F.col("clients") >= 2), 2).otherwise(1))
 
 
-@query("tcp_unanswered")
+@query("tcp_unanswered", f"WITH {FLOW_SQL} SELECT server, server_port AS port, count(DISTINCT client) AS clients, sum(syns)::BIGINT AS tries FROM flow WHERE never_answered GROUP BY 1, 2 HAVING sum(syns) >= 3 OR count(DISTINCT client) >= 3")
 def tcp_unanswered(spark, sf_dir):
     """Servers and ports whose connection requests stay unanswered: three attempts or three clients."""
     g = conversations(spark, sf_dir).where("never_answered").groupBy(F.col("server.ip").alias("server"), F.col("server.port").alias("port")).agg(F.countDistinct("client.ip").alias("clients"), F.sum("syns").alias("tries"))
