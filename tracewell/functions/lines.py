@@ -156,4 +156,6 @@ def parsed(df: DataFrame, raw: str = "raw", received: str = "received") -> DataF
     cut = F.concat(F.slice("_all", 1, MOST_FIELDS), F.array(F.struct(F.lit("truncated_fields").alias("key"), (n - MOST_FIELDS).cast("string").alias("value"))))
     rows = rows.withColumn("facility", s.facility(F.col("_pri"))).withColumn("severity", F.coalesce(said, s.severity(F.col("_pri"))))
     rows = rows.withColumn("fields", F.when(n > MOST_FIELDS, cut).otherwise(F.col("_all")))
-    return rows.drop("_pri", "_rest", "_before", "_named", "_kind", "_body", "_own", "_all")
+    # As a generator: a filter on a column is not pushed below it, where it would be worked out from the line once more for each use.
+    out = ("facility", "severity", "device_t", "host", "program", "pid", "vendor", "message", "fields")
+    return rows.select(*(c for c in df.columns if c not in out), F.inline(F.array(F.struct(*out))))

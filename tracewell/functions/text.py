@@ -92,3 +92,24 @@ def hex_dump(data: Column) -> Column:
     rows = F.when(size > 0, F.sequence(F.lit(0), F.floor((size - 1) / 16).cast("int"))).otherwise(F.array().cast("array<int>"))
     line = lambda i: F.concat(F.lpad(F.lower(F.hex(i * 16)), 4, "0"), F.lit("  "), F.trim(F.regexp_replace(F.lower(F.hex(F.substring(data, i * 16 + 1, F.lit(16)))), "(..)", "$1 ")))
     return F.array_join(F.transform(rows, line), "\n")
+
+
+def ms_words(tenths: Column) -> Column:
+    """Tenths of milliseconds (whole): 3.5 ms below 10 ms, 120 ms below a second, 1.25 s below ten, else 14.0 s; cut and not rounded."""
+    n = tenths.cast("bigint")
+    part = lambda unit, keep: (F.floor(n / unit) % keep).cast("bigint").cast("string")
+    whole = lambda unit: F.floor(n / unit).cast("bigint").cast("string")
+    small, large = F.concat(whole(10), F.lit("."), part(1, 10), F.lit(" ms")), F.concat(whole(10_000), F.lit("."), part(1000, 10), F.lit(" s"))
+    return F.when(n < 100, small).when(n < 10_000, F.concat(whole(10), F.lit(" ms"))).when(n < 100_000, F.concat(whole(10_000), F.lit("."), F.lpad(part(100, 100), 2, "0"), F.lit(" s"))).otherwise(large)
+
+
+def quoted(word: Column) -> Column:
+    """A word as a filter takes it: in quotes unless it is one plain word and no operator."""
+    plain = word.rlike("^[A-Za-z0-9._:\\-]+$") & ~F.upper(word).isin("AND", "OR", "NOT", "NOR")
+    return F.when(plain, word).otherwise(F.concat(F.lit('"'), F.replace(word, F.lit('"'), F.lit("")), F.lit('"')))
+
+
+def day_file(stamp: Column, arrival: Column) -> Column:
+    """The file of a line: that of its own day if it arrives on it or on the next, else that of its arrival."""
+    own = F.datediff(arrival, stamp).between(0, 1)
+    return F.concat(F.date_format(F.when(own, stamp).otherwise(arrival), "yyyy-MM-dd"), F.lit(".log"))
