@@ -192,6 +192,19 @@ def test_grams_and_index():
         assert code.tolist() == want and row.tolist() == [i for i, t in enumerate(texts) for _ in t]
         all_ = np.unique(np.r_[code, -code - 1])
         assert (all_[asking.Index(all_)(code)] == code).all()
+    rng = np.random.default_rng(5)
+    tally, out = asking.Tally(1 << 13), []
+    many = [rng.integers(-(2**62), 2**62, 50_000) for _ in range(3)] + [rng.integers(0, 99, 5000)]
+    for x in [*many, many[0]]:
+        out += [b for b in tally.add(x)]
+    out += [b for b in tally.add(np.array([7, 1000]), 0)] + list(tally.rest())
+    got = Counter()
+    for b in out:
+        for g, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            got[g] += c
+    want = Counter(np.concatenate([*many, many[0]]).tolist())
+    want[1000] += 0
+    assert got == want and len(out) > 1
 
 
 # ---- 3 ----------------------------------------------------------------------------------------------------------

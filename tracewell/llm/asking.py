@@ -33,13 +33,21 @@ def shard_of(code, shards: int):
 
 def grams(buf: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The code of the n-gram of order bytes that ends at each byte, and its row; a text begins after line ends."""
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    place = np.arange(len(buf)) - offsets[:-1][row]
-    code = buf.astype(np.int64)
-    for back in range(1, order):
-        earlier = np.r_[np.zeros(min(back, len(buf)), np.uint8), buf[:-back]].astype(np.int64)
-        code |= np.where(place >= back, earlier, 10) << (8 * back)
-    return code, row
+    code, wide = buf.astype(np.int64), 1
+    back = lambda x, n: np.r_[np.zeros(min(n, len(x)), np.int64), x[:-n]]
+    while 2 * wide <= order:
+        code |= back(code, wide) << (8 * wide)
+        wide *= 2
+    if wide < order:
+        code |= (back(code, wide) & mask(order - wide)) << (8 * wide)
+    # The first places of a row, over the end of the row before.
+    at = (offsets[:-1, None] + np.arange(order - 1))
+    at, place = at[at < offsets[1:, None]], np.broadcast_to(np.arange(order - 1), at.shape)[at < offsets[1:, None]]
+    own = buf[at].astype(np.int64)
+    for n in range(1, order):
+        own |= np.where(place >= n, buf[np.maximum(at - n, 0)].astype(np.int64), 10) << (8 * n)
+    code[at] = own
+    return code, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
 def mask(k: int) -> int:
@@ -79,52 +87,97 @@ def squeezed(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 3)
 
 
-def counted(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The different codes, and the sums of their counts."""
-    codes, counts = np.concatenate(codes), np.concatenate(counts)
-    by = np.argsort(codes, kind="stable")
-    codes = codes[by]
-    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, int)
-    return codes[first], np.add.reduceat(counts[by], first) if len(first) else counts
+NONE = np.int64(-(1 << 63))
+
+
+class Bag:
+    """Different codes with counts: an open-addressed table, where to add or find a code costs a read or two and no sort."""
+
+    def __init__(self, codes: np.ndarray | None = None):
+        self.bits, self.held = 12, 0
+        self.code, self.count = np.full(1 << 12, NONE), np.zeros(1 << 12, np.int64)
+        if codes is not None:
+            self.add(codes, 0)
+
+    def slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """The slot of each code; those that are new take one."""
+        out, todo, at, mask = self.slot(codes), np.arange(len(codes)), None, (1 << self.bits) - 1
+        at = out.copy()
+        while len(todo):
+            mine = codes[todo]
+            free = self.code[at] == NONE
+            self.code[at[free]] = mine[free]  # of several for one slot the last stays
+            go = self.code[at] != mine
+            out[todo[~go]] = at[~go]
+            todo, at = todo[go], (at[go] + 1) & mask
+        return out
+
+    def add(self, codes: np.ndarray, count: int) -> None:
+        for low in range(0, len(codes), 1 << 18):
+            part = codes[low : low + (1 << 18)]
+            while 2 * (self.held + len(part)) > 1 << self.bits:  # at most half full
+                codes_, counts_ = self.all()
+                self.held = len(codes_)
+                if 2 * (self.held + len(part)) <= 1 << self.bits:
+                    break
+                self.bits += 1
+                self.code, self.count = np.full(1 << self.bits, NONE), np.zeros(1 << self.bits, np.int64)
+                self.count[self.places(codes_)] = counts_
+            at = self.places(part)
+            self.held += len(part)  # a bound; counted exactly before the table grows
+            if count:
+                np.add.at(self.count, at, count)
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        there = self.code != NONE
+        return self.code[there], self.count[there]
 
 
 class Tally:
     """Counts of codes that a task holds until there are many."""
 
-    def __init__(self, most: int = 1 << 19):
-        self.most, self.codes, self.counts = most, [], []
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.bag = most, Bag()
 
-    def add(self, codes: np.ndarray, counts: np.ndarray):
-        self.codes.append(codes)
-        self.counts.append(counts)
-        if sum(map(len, self.codes)) > 2 * self.most:
-            codes, counts = counted(self.codes, self.counts)
-            self.codes, self.counts = [codes], [counts]
-            if len(codes) > self.most:
-                yield from self.rest()
+    def add(self, codes: np.ndarray, count: int = 1):
+        self.bag.add(codes, count)
+        if self.bag.bits > self.most.bit_length() and len(self.bag.all()[0]) > self.most:
+            yield from self.rest()
 
     def rest(self):
-        if self.codes:
-            codes, counts = counted(self.codes, self.counts)
-            self.codes, self.counts = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts.astype(np.int64))], names=["g", "c"])
+        codes, counts = self.bag.all()
+        self.bag = Bag()
+        if len(codes):
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["g", "c"])
+
+
+class Index:
+    """Places of codes in an array of different ones."""
+
+    def __init__(self, codes: np.ndarray):
+        self.bag = Bag(codes)
+        self.bag.count[self.bag.places(codes)] = np.arange(len(codes))
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each; all of them are there."""
+        return self.bag.count[self.bag.places(codes)]
 
 
 def answered(ready: DataFrame, text: str, blocks: int, table: DataFrame, codes_of: Callable, add: Callable, schema: T.StructType) -> DataFrame:
-    """add(rows, codes, values) for each block of ready (with the column _block and packed texts).
+    """add(rows, index, values) for each block of ready (with the column _block and packed texts).
 
-    codes_of(texts) gives the codes of a batch of texts; table (g: long, v: double) has all of them. values are in the order of the different codes: as
-    floats, those of negative codes (which come first) as whole numbers."""
+    codes_of(texts) gives the codes of a batch of texts; table (g: long, v: double) has all of them. index gives the places of codes in values, which come
+    with the precision of single floats; those of negative codes are whole numbers and exact."""
     shards = table.count() // SHARD + 12
 
-    def block_codes(group: pa.Table) -> np.ndarray:
-        codes = np.zeros(0, np.int64)
-        for b in unpacked(group.select([text]).to_batches(), text):
-            codes = np.union1d(codes, codes_of(b.column(0)))
-        return codes
-
     def ask(group: pa.Table) -> pa.Table:
-        codes = block_codes(group)
+        bag = Bag()
+        for b in unpacked(group.select([text]).to_batches(), text):
+            bag.add(codes_of(b.column(0)), 0)
+        codes = np.sort(bag.all()[0])
         shard = shard_of(codes, shards)
         by = np.argsort(shard, kind="stable")
         ends = np.searchsorted(shard[by], np.arange(shards + 1))
@@ -143,22 +196,20 @@ def answered(ready: DataFrame, text: str, blocks: int, table: DataFrame, codes_o
             got = v[np.searchsorted(g, codes)]
             whole = np.searchsorted(codes, 0)
             out.append(squeezed(got[:whole].astype(np.int64), got[whole:].astype(np.float32)))
-        return pa.table({"shard": questions.column("shard"), "block": questions.column("block"), "values": pa.array(out, pa.binary())})
+        return pa.table({"block": questions.column("block"), "codes": questions.column("codes"), "values": pa.array(out, pa.binary())})
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
-        codes = block_codes(group)
-        shard, values = shard_of(codes, shards), np.zeros(len(codes))
-        for s, raw in zip(answers.column("shard").to_pylist(), answers.column("values").to_pylist()):
-            at = np.flatnonzero(shard == s)
-            whole = np.searchsorted(codes[at], 0)
-            raw = zstandard.decompress(raw)
-            values[at[:whole]] = np.frombuffer(raw, np.int64, whole)
-            values[at[whole:]] = np.frombuffer(raw, np.float32, offset=8 * whole)
-        out = add(group, codes, values)
+        codes, values = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for raw, got in zip(answers.column("codes").to_pylist(), answers.column("values").to_pylist()):
+            codes.append(np.cumsum(np.frombuffer(zstandard.decompress(raw), np.int64)))
+            whole = np.searchsorted(codes[-1], 0)
+            got = zstandard.decompress(got)
+            values += [np.frombuffer(got, np.int64, whole).astype(float), np.frombuffer(got, np.float32, offset=8 * whole).astype(float)]
+        out = add(group, Index(np.concatenate(codes)), np.concatenate(values))
         release()
         return out
 
     questions = ready.groupBy("_block").applyInArrow(ask, "shard int, block int, codes binary").withColumn("lot", (F.col("block") / LOT).cast("int"))
     held = table.select("g", "v", shard_of(F.col("g"), shards).alias("shard")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // LOT))))
-    answers = questions.groupBy("shard", "lot").cogroup(held.groupBy("shard", "lot")).applyInArrow(answer, "shard int, block int, values binary")
+    answers = questions.groupBy("shard", "lot").cogroup(held.groupBy("shard", "lot")).applyInArrow(answer, "block int, codes binary, values binary")
     return ready.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -28,15 +27,16 @@ _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
-#: Rows of text in a batch between the JVM and Python, where the session has Spark's default: that of 10,000 rows holds some
-#: 40 MB of usual texts four times over (twice on either side).
-BATCH_ROWS = 1000
+#: Rows and bytes of a batch between the JVM and Python, where the session has Spark's defaults: a batch of 10,000 rows holds some
+#: 40 MB of usual texts four times over (twice on either side), and one of long texts far more.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Smaller batches for sessions that have not chosen; others keep theirs."""
+    for key, usual, mine in (("spark.sql.execution.arrow.maxRecordsPerBatch", {"10000", None}, BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", {"64MB", "67108864b", "67108864", "256MB", "-1", None}, BATCH_BYTES)):
+        if spark.conf.get(key, None) in usual:
+            spark.conf.set(key, str(mine))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,28 +44,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder that spark.checkpoint.dir names; a session without one (tests) gets its own."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder of checkpoints: compressed, and read column by column."""
+    """df as a Parquet table in the folder of checkpoints, or else in the warehouse (a cluster shares both): compressed, and read column by column."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = _own.setdefault("folder", tempfile.mkdtemp(prefix="checkpoints-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_own: dict[str, str] = {}
-
-
 def crc_mod5(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5: the folds that op2 and op4 hold out by."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5

@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from .asking import BLOCK, Tally, answered, grams, mask, packed_texts, unpacked
 from .common import LOWER, chunks, crc_mod5, gathered, prefix_hash, release, small_batches, span_hash, table, text_bytes, word_spans, written
 
-#: Bytes of context; a symbol and its context are a code of 56 bits.
-ORDER = 6
+#: Bytes of context; a symbol and its context are a code of 48 bits.
+ORDER = 5
 #: The part of a count that each different symbol of a context hands to the escape.
 ESCAPE = 0.25
 SPACE, END = 32, 10
@@ -64,9 +64,8 @@ def counts(docs: DataFrame) -> DataFrame:
             code, of = grams(buf, offsets, ORDER + 1)
             for got, at in ((code, of), (word, row)):
                 learnt = ~held[at]
-                yield from tally.add(*np.unique(got[learnt], return_counts=True))
-                other = np.unique(got[~learnt])
-                yield from tally.add(other, np.zeros(len(other), np.int64))
+                yield from tally.add(got[learnt])
+                yield from tally.add(got[~learnt], 0)
         yield from tally.rest()
         release()
 
@@ -115,17 +114,17 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         buf, offsets, word, _ = sequence(*text_bytes(column))
         return np.r_[word, grams(buf, offsets, ORDER + 1)[0]]
 
-    def add(group: pa.Table, codes: np.ndarray, values: np.ndarray) -> pa.Table:
+    def add(group: pa.Table, index, values: np.ndarray) -> pa.Table:
         out = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
         for b in unpacked(group.select(["_text"]).to_batches(), "_text"):
             n = b.num_rows
             buf, offsets, word, row = sequence(*text_bytes(b.column(0)))
             code, of = grams(buf, offsets, ORDER + 1)
-            count = values[np.searchsorted(codes, word)]
+            count = values[index(word)]
             out["n_tokens"].append(np.bincount(row, minlength=n) + 1)
             out["n_known"].append(np.bincount(row, count > 0, n) + (texts > 0))
             out["base_score"].append(np.bincount(row, np.log10((count + 0.5) / rest), n) + np.log10((texts + 0.5) / rest))
-            out["score"].append(-np.bincount(of, values[np.searchsorted(codes, code)], n))
+            out["score"].append(-np.bincount(of, values[index(code)], n))
         whole = ("n_tokens", "n_known")
         return pa.table({"_id": group.column("_id")} | {k: pa.array(np.concatenate(v or [np.zeros(0)]).astype(np.int64 if k in whole else float)) for k, v in out.items()})
 

@@ -51,7 +51,7 @@ def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         tally = Tally()
         for b in unpacked(batches, "_text") if packed else chunks(batches, "_text"):
-            yield from tally.add(*np.unique(grams(*text_bytes(b.column(0)), ORDER)[0], return_counts=True))
+            yield from tally.add(grams(*text_bytes(b.column(0)), ORDER)[0])
         yield from tally.rest()
         release()
 
@@ -126,13 +126,13 @@ def with_perplexity(docs: DataFrame, model: DataFrame, key: str = "doc_id", text
     def codes_of(texts):
         return grams(*text_bytes(texts), ORDER)[0]
 
-    def add(group: pa.Table, codes: np.ndarray, values: np.ndarray) -> pa.Table:
+    def add(group: pa.Table, index, values: np.ndarray) -> pa.Table:
         n, bits, words, texts = [], [], [], []
         for b in unpacked(group.select(["_text"]).to_batches(), "_text"):
             buf, offsets = text_bytes(b.column(0))
             code, row = grams(buf, offsets, ORDER)
             n.append(np.diff(offsets))
-            bits.append(np.bincount(row, values[np.searchsorted(codes, code)], b.num_rows))
+            bits.append(np.bincount(row, values[index(code)], b.num_rows))
             words.append(np.bincount(row, ~SPACE[buf], b.num_rows))
             texts.append(b.column(0))
         n, bits, words = (np.concatenate(x or [np.zeros(0)]) for x in (n, bits, words))
