@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import packets as k
 from ..operators import findings as f
 from ..operators import flows as fl
+from ..sources.stored import stored
 from ..sources.views import LOG_SQL, log
 from .parsers import PACKET_SQL, frames
 from .registry import query
@@ -43,7 +44,9 @@ W = f"WITH {LOG_SQL}, {FINDINGS_SQL}"
 
 
 def found(spark, sf_dir):
-    return f.analyse(log(spark, sf_dir), NOW)
+    """The findings of all rules over a log that is read once: what the rules need of it is stored."""
+    rows = log(spark, sf_dir).select("id", "t", "host", "address", "program", "severity", "port")
+    return f.analyse(stored(rows), NOW)
 
 
 for _name in f.RULES:
