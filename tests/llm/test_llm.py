@@ -270,6 +270,15 @@ def test_deobfuscation(spark):
         assert len(runs) == 1 and {"idiot", "stupid"} & set(toxicity.restore(runs, model)[0].split()), toxicity.restore(runs, model)
 
 
+def test_letters_said_once():
+    """The outright scores of letters alone against the lattice."""
+    rng = random.Random(14)
+    model = np.log(np.random.default_rng(8).dirichlet(np.ones(28), (28, 28))).astype(np.float32)
+    tokens = ["aab", "bookkeeper", "ééa", "xx", "committee"] + ["".join(rng.choice("aabé") * rng.choice((1, 1, 2)) for _ in range(5)) for _ in range(40)]
+    tokens = [t for t in tokens if len(toxicity.DOUBLES.findall(t)) <= 5]
+    assert toxicity.said_once(tokens, model) == toxicity.viterbi(tokens, model)
+
+
 def test_viterbi_finds_the_likeliest_path():
     """Against all paths of short tokens under a random model."""
     model = np.log(np.random.default_rng(7).dirichlet(np.ones(28), (28, 28))).astype(np.float32)

@@ -1,10 +1,10 @@
 """Toxicity of text that hides its words: noisy-channel deobfuscation, then a score of what is restored.
 
 Each token is read through a channel: a character may stand for itself, for the letters that it looks like
-(leetspeak), or for nothing (a sign between letters, or one more of a repeated letter). Tokens of one or two letters or look-alike signs in a row are
+(leetspeak), or for nothing (a sign between letters, or one more of a repeated letter). Single letters or look-alike signs in a row are
 read together as well, and each gap between them may be an edge of words or nothing (spacing). That makes a lattice of letters and edges, and a Viterbi search finds the
 likeliest path under a character trigram model of all documents. Only a token of letters alone, no two alike in a row, has one
-path, itself; so has a token without any letter. Words cut into pieces of three letters and more are not put together.
+path, itself; so has a token without any letter. Words cut into pieces of two letters and more are not put together.
 
 The score is logistic in the restored words' evidence: words and beginnings of words that are much commoner in
 toxic training texts. Labels are read for training rows only (crc32 of the id modulo 5 is not 0), at most
@@ -40,9 +40,10 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: a gap for nothing, between single characters or beside more than one.
 LOOK, NOTHING, UNSEEN, AGAIN, JOIN, JOIN_MORE = -1.5, -3.0, -8.0, -5.0, -1.0, -6.0
 TRIM = ".,;:?!\"'()[]{}<>«»“”‘’…"
-DOUBLE = re.compile(r"(.)\1")
+DOUBLE, DOUBLES, TRIPLE = re.compile(r"(.)\1"), re.compile(r"(?=(.)\1)"), re.compile(r"(.)\1\1")
 LETTER = re.compile(r"[^\W\d_]")
-_SHORT = "(?:[^\\W\\d_]|[" + re.escape("".join(LOOKS)) + "]){1,2}"
+MEANINGLESS = re.compile(r"[^\w \t" + re.escape("".join(LOOKS)) + "]+|_")
+_SHORT = "(?:[^\\W\\d_]|[" + re.escape("".join(LOOKS)) + "])"
 SPACED = re.compile(rf"(?<!\S){_SHORT}(?:[ \t]+{_SHORT}){{2,}}(?!\S)")
 
 #: Codes of observed characters: 0-25 a-z, 26 another letter, 27 a sign that looks like nothing, then LOOKS; 61 a gap beside more than one character, 62 another gap; 63 past the end; 64 more if said again.
@@ -118,16 +119,50 @@ def viterbi(tokens: list[str], model: np.ndarray) -> list[str]:
     return ["".join(reversed(x)) for x in out]
 
 
+def said_once(tokens: list[str], model: np.ndarray) -> list[str]:
+    """The likeliest reading of tokens of letters alone, where each repeated letter counts or does not: all paths of such a lattice, scored outright."""
+    words, owner, cost = [], [], []
+    for i, t in enumerate(tokens):
+        again = [j for j in range(1, len(t)) if t[j] == t[j - 1]]
+        for chosen in range(1 << len(again)):
+            gone = {j for b, j in enumerate(again) if chosen >> b & 1}
+            words.append("".join(c for j, c in enumerate(t) if j not in gone) if gone else t)
+            owner.append(i)
+            cost.append(AGAIN * len(gone))
+    size = np.array([len(w) for w in words])
+    codes = np.full((len(words), size.max() + 3), EDGE)
+    flat = np.array([CODE.get(c, 26) for c in "".join(words)])
+    flat[flat >= 26] = OTHER
+    inside = np.arange(codes.shape[1] - 3) < size[:, None]
+    codes[:, 2:-1][inside] = flat
+    step = model[codes[:, :-2], codes[:, 1:-1], codes[:, 2:]]
+    total = np.where(np.arange(step.shape[1]) <= size[:, None], step, 0).sum(1) + np.array(cost)
+    by = np.lexsort((-total, owner))
+    best = by[np.r_[True, np.diff(np.array(owner)[by]) > 0]]
+    return [words[k] for k in best]
+
+
 def restore(tokens: list[str], model: np.ndarray) -> list[str]:
     """What the tokens (lower-case) say."""
     out = [t.strip(TRIM) for t in tokens]
     by: dict[int, list[int]] = {}
+    plain: list[int] = []
     for i, (t, whole) in enumerate(zip(out, tokens)):
         if t.isalpha() and not DOUBLE.search(t) or not t:
             continue
-        if LETTER.search(t):
+        if t.isalpha() and len(DOUBLES.findall(t)) <= 3 and not TRIPLE.search(t):
+            plain.append(i)
+        elif LETTER.search(t):
+            letters = MEANINGLESS.sub("", t)
+            if letters.isalpha() and not DOUBLE.search(letters):  # its signs can only stand for nothing: one path
+                out[i] = letters
+                continue
             out[i] = whole.lstrip("\"'.,;:?").rstrip("\"'.,;:?!)") or whole  # signs that can be letters stay
             by.setdefault((len(out[i]) + 1) // 2, []).append(i)
+    for k in range(0, len(plain), 2000):
+        part = plain[k : k + 2000]
+        for i, said in zip(part, said_once([out[i] for i in part], model)):
+            out[i] = said
     for width, group in by.items():
         step = max(1, 800 // width)
         for k in range(0, len(group), step):
