@@ -4,12 +4,12 @@ Pages become WARC response records; a file holds ``FILE_RECORDS`` of them in ord
 where their predecessors end. A record's leaf is the SHA-256 of its offset, length and bytes' digest; ``FANOUT``
 neighbours in order of offset make the next node, up to one root for each file. Two replicas are compared root
 by root, and only the children of mismatching nodes are looked at on the way down; the mismatching leaves
-are the corrupt records.
+are the corrupt records. The levels of both trees are written once, each from the one below, so that the descent reads stored nodes.
 
 A null url or html is an empty one. Repeated page_ids stay apart (ordered by url and html as well); equal rows are
 interchangeable, so their order does not matter. A record present in one replica only mismatches. A page with a null
 id belongs to file -1, whose records are split into files by a hash of their contents. An empty table gives
-an empty audit. Extra columns are not part of a record.
+an empty audit. Extra columns are not part of a record. Very long pages are hashed as a whole.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import table, written
 
 FILE_RECORDS, FANOUT = 4096, 16
 
@@ -40,12 +40,13 @@ def records(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
 
 
 def tree(leaves: DataFrame, fanout: int = FANOUT, depth: int = 3) -> list[DataFrame]:
-    """The levels of each file's tree, leaves first: (file, pos, hash). The last has one node a file."""
-    level = leaves.select("file", F.col("seq").cast("long").alias("pos"), F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256).alias("hash"))
+    """The levels of each file's tree, leaves first: (replica, file, pos, hash), each stored. The last has one node a file."""
+    level = leaves.select("replica", "file", F.col("seq").cast("long").alias("pos"), F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256).alias("hash"))
     out = [level]
     for _ in range(depth):
         children = F.array_sort(F.collect_list(F.struct("pos", "hash")))  # fanout of them at most
-        level = level.groupBy("file", F.floor(F.col("pos") / fanout).alias("up")).agg(F.sha2(F.array_join(F.transform(children, lambda c: c["hash"]), ""), 256).alias("hash")).select("file", F.col("up").alias("pos"), "hash")
+        level = level.groupBy("replica", "file", F.floor(F.col("pos") / fanout).alias("up")).agg(F.sha2(F.array_join(F.transform(children, lambda c: c["hash"]), ""), 256).alias("hash"))
+        level = written(level.select("replica", "file", F.col("up").alias("pos"), "hash"))
         out.append(level)
     return out
 
@@ -58,32 +59,30 @@ def levels(file_records: int, fanout: int) -> int:
     return k
 
 
-def mismatches(a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """(file, pos): the leaves that differ, found from the roots down."""
+def mismatches(nodes: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
+    """(file, pos): the leaves that differ between the two replicas, found from the roots down."""
     open_ = None
-    for x, y in zip(reversed(a), reversed(b)):
+    for level in reversed(nodes):
         if open_ is not None:  # only the children of nodes that differ
-            parents = open_.select("file", F.col("pos").alias("up"))
-            x, y = (z.withColumn("up", F.floor(F.col("pos") / fanout)).join(parents, ["file", "up"], "left_semi").drop("up") for z in (x, y))
-        both = x.join(y.withColumnRenamed("hash", "other"), ["file", "pos"], "full")
-        open_ = both.where(~F.col("hash").eqNullSafe(F.col("other"))).select("file", "pos")
+            level = level.withColumn("up", F.floor(F.col("pos") / fanout)).join(open_.withColumnRenamed("pos", "up"), ["file", "up"], "left_semi")
+        both = level.groupBy("file", "pos").agg(F.count("*").alias("n"), F.min("hash").alias("a"), F.max("hash").alias("b"))
+        open_ = both.where("n < 2 or a <> b").select("file", "pos")
+        if level is not nodes[0]:
+            open_ = written(open_)
     return open_
 
 
 def audit(first: DataFrame, second: DataFrame, file_records: int = FILE_RECORDS, fanout: int = FANOUT) -> DataFrame:
     """Each record of the first replica's pages with intact: whether the second has it, at the same place."""
-    depth = levels(file_records, fanout)
-    a, b = checkpointed(records(first, file_records)), checkpointed(records(second, file_records))
-    depth = max(depth, levels(_most(a), fanout), levels(_most(b), fanout))
-    bad = mismatches(tree(a, fanout, depth), tree(b, fanout, depth), fanout).withColumn("_bad", F.lit(True))
-    joined = a.join(bad.withColumnRenamed("pos", "seq"), ["file", "seq"], "left")
+    replica = lambda pages, n: records(pages, file_records).withColumn("replica", F.lit(n))
+    rows = written(replica(first, 1).unionByName(replica(second, 2)))
+    most = (rows.agg(F.max("seq")).first()[0] or 0) + 1
+    depth = max(levels(file_records, fanout), levels(most, fanout))
+    bad = mismatches(tree(rows, fanout, depth), fanout).withColumn("_bad", F.lit(True))
+    joined = rows.where("replica = 1").join(bad.withColumnRenamed("pos", "seq"), ["file", "seq"], "left")
     return joined.select("page_id", "file", F.col("seq").cast("long").alias("seq"), "offset", "length", F.col("digest").alias("record_sha256"), F.col("_bad").isNull().alias("intact"))
 
 
-def _most(rows: DataFrame) -> int:
-    return (rows.agg(F.max("seq")).first()[0] or 0) + 1
-
-
 def damaged(pages: DataFrame) -> DataFrame:
     """A second replica of pages with faults: the first character is another where page_id leaves 7 modulo 97, and a letter is turned where it leaves 11 modulo 101."""
     html = F.col("html")
