@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import chunks, release
 
 #: Bytes of text in a block, codes in a shard of the table, blocks that one copy of a shard answers.
-BLOCK, SHARD, LOT = 8 << 20, 1 << 20, 256
+BLOCK, SHARD, LOT = 6 << 20, 1 << 20, 256
 #: Odd numbers of 20 bits that spread codes over shards.
 ODD, ODDER = 742_039, 968_137
 
@@ -139,7 +139,7 @@ class Bag:
 class Tally:
     """Counts of codes that a task holds until there are many."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 19):
         self.most, self.bag = most, Bag()
 
     def add(self, codes: np.ndarray, count: int = 1):

@@ -36,7 +36,7 @@ from .common import LOWER, chunks, mix, prefix_hash, small_batches, span_hash, t
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 24, 5
 #: A piece is cut into about BLOCKS blocks, of LEAST_BLOCK members at least and of MOST_BLOCK members and BLOCK_BYTES of sets at most.
-BLOCKS, LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 16, 64, 4096, 8 << 20
+BLOCKS, LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 16, 64, 4096, 4 << 20
 #: Pieces with more sets are compared by bands; sets that are compared with one leader in a task.
 LARGE, FOLLOWERS = 16_384, 1024
 #: A set is hot if more than one in SHARE of all texts has it, and at least so many.
@@ -170,7 +170,7 @@ def confirmed(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int
     of, column = of[by], column[by]
     place_a, place_b = np.full(len(sets), -1), np.full(len(sets), -1)
     place_a[a], place_b[b] = np.arange(len(a)), np.arange(len(b))
-    wide = max(256, 8_000_000 // max(1, len(a) + len(b)))
+    wide = max(256, 2_000_000 // max(1, len(a) + len(b)))
     for low in range(0, int(shared.sum()), wide):
         i, j = np.searchsorted(column, (low, low + wide))
         x, y = np.zeros((len(a), wide), np.float32), np.zeros((len(b), wide), np.float32)
