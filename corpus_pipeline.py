@@ -3,11 +3,16 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns a DataFrame; the
 runner writes it as Parquet and reads it again for the next. All but the last return the columns of documents.
 
-1. quality classifier: texts whose perplexity is above their language's threshold go;
-2. MinHash near-duplicates at a similarity of 0.8: one document of each group stays, the one with the smallest id (rows alike in all columns are one);
-3. suffix-array dedup: bytes that repeat 50 bytes of a smaller document go (a character cut in part goes whole), n_chars follows;
-4. mixing: each document as often as its source's target weight asks;
-5. byte-pair encoding: ids and their number, and a digest of the text that they decode to.
+1. quality classifier: texts whose perplexity is above their language's threshold go. Null, empty and blank texts go as well; a null language is one of its own;
+   rows with a null id are judged but are never trusted;
+2. MinHash near-duplicates at a similarity of 0.8: one document of each group stays, the one with the smallest id (rows alike in all columns are one). Null and empty texts, and
+   rows with a null id, are copies of nothing and stay;
+3. suffix-array dedup: bytes that repeat 50 bytes of a smaller document go (a character cut in part goes whole), n_chars follows. Null texts become empty; texts of which
+   nothing is left stay as empty rows; rows with a null id stay whole;
+4. mixing: each document as often as its source's target weight asks; a null source is one of its own, a null id draws as an empty one;
+5. byte-pair encoding: ids and their number, and a digest of the text that they decode to; null and empty texts have no ids.
+
+Empty tables stay empty through all stages. Very long texts are never cut.
 """
 
 from __future__ import annotations

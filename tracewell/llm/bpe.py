@@ -5,9 +5,13 @@ part with the next one. A step looks for the smallest rank in the whole row, del
 those two parts, and looks up only the two ranks beside it anew; it ends when no pair has a rank. All words
 of like length that a task has not met before take their steps together, as rows of one numpy matrix.
 
-Texts are whole. A null text is an empty one and has no tokens. The special token's own string is one token
+A word beyond 256 bytes takes all merges of the smallest rank in one pass (``Vocabulary.long_word``), as a boundary at a time would cost the square of its length;
+the ids are the same, since a merge of rank r makes a part that only merges learnt after r can use, so that no smaller rank appears before the last pair of rank r is gone.
+
+Texts are whole, however long. A null or empty text has no tokens. The special token's own string is one token
 when it stands in a text, as in the vocabulary's library. Repeated rows are encoded row by row; extra columns
-pass through ``encode``/``decode`` untouched, and an output column replaces an input column of its name.
+pass through ``encode``/``decode`` untouched, and an output column replaces an input column of its name. Rows with a null id are rows like others. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ of that array with common prefix l is a substring of l words that occurs more th
 repeat that starts at a word is the larger of its two neighbours' values. Their spans are united; a text is
 kept if they cover little of it and the longest is short.
 
-A null or empty text, or one without words, has no words and fails the base rule (fewer than 10 words).
+A null or empty text, or one without words, has no words and fails the base rule (fewer than 10 words). Texts are measured whole: a task works on about a megabyte of
+text at a time, or on one longer text with log2(its repeats) arrays of its words. Repeated rows are measured each, rows with a null id too. A text exactly at a limit
+passes. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
