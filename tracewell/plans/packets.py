@@ -33,7 +33,7 @@ _packet_filter("packets_vlan", lambda: pf.vlan("<", 100), "vlan < 100")
 _packet_filter("packets_without_vlan", lambda: ~pf.vlan(">", 0), "vlan IS NULL")
 _packet_filter("packets_mac", lambda: pf.mac("00:00:01") & pf.flags("syn,ack"), "flags = 18")
 _packet_filter("packets_flags", lambda: pf.flags("syn"), "flags IN (2, 18)")
-_packet_filter("packets_conversation", lambda: p.conversation(("10.0.0.8", 49160), ("172.16.4.4", 80)), "client = 167772168 AND cport = 49160 AND server = 2886730756 AND sport_ = 80")
+_packet_filter("packets_conversation", lambda: p.conversation(("10.0.0.8", 49160), ("172.16.0.4", 80)), "client = 167772168 AND cport = 49160 AND server = 2886729732 AND sport_ = 80")
 
 
 @query("packets_host", f"WITH {LOG_SQL} SELECT id FROM log WHERE contains(host, 'w1')")
