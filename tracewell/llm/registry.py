@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fixity, lm, minhash, mixing, neighbours, parsing, perplexity, quality_rules, toxicity
+from . import bpe, fixity, lm, minhash, mixing, neighbours, parsing, perplexity, quality_rules, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_warc_fixity": fixity.op8_warc_fixity,
         "op9_poisson_mix": mixing.op9_poisson_mix,
         "op10_quality_classifier": perplexity.op10_quality_classifier,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
