@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fixity, lm, minhash, mixing, neighbours, parsing, perplexity, quality_rules, toxicity, whitening, winnowing
+from . import bpe, fixity, lm, minhash, mixing, negatives, neighbours, parsing, perplexity, quality_rules, toxicity, whitening, winnowing
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_warc_fixity": fixity.op8_warc_fixity,
         "op9_poisson_mix": mixing.op9_poisson_mix,
         "op10_quality_classifier": perplexity.op10_quality_classifier,
+        "op11_hard_negatives": negatives.op11_hard_negatives,
         "op12_winnowing": winnowing.op12_winnowing,
         "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_fixity": fixity.OP8_SQL, "op9_poisson_mix": mixing.OP9_SQL, "op12_winnowing": winnowing.OP12_SQL}
+    return {"op8_warc_fixity": fixity.OP8_SQL, "op9_poisson_mix": mixing.OP9_SQL, "op11_hard_negatives": negatives.OP11_SQL, "op12_winnowing": winnowing.OP12_SQL}
