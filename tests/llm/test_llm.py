@@ -140,22 +140,24 @@ def ppm(sequences, order):
             symbols.setdefault(g[:-1], {})[g[-1]] = n
 
     def p(context, s):
-        below = p(context[1:], s) if context else 1 / 256
+        below = lambda x: p(context[1:], x) if context else 1 / 256
         met = symbols.get(context)
         if met is None:
-            return below
+            return below(s)
         total = sum(met.values())
-        if s in met:
-            return (met[s] - lm.ESCAPE) / total
-        rest = 1 - sum(p(context[1:], x) if context else 1 / 256 for x in met)
-        return lm.ESCAPE * len(met) / total * below / max(rest, 1e-9)
+        own = (met[s] - lm.DISCOUNT) / total if s in met else 0
+        if met.get(s, 0) >= lm.OFTEN:
+            return own
+        rest = 1 - sum(below(x) for x in met if met[x] >= lm.OFTEN)
+        return own + lm.DISCOUNT * len(met) / total * below(s) / max(rest, 1e-9)
 
     return p
 
 
 @pytest.mark.parametrize("which", ["odd", "real"])
 def test_lm_score_equals_loops(spark, request, monkeypatch, which):
-    monkeypatch.setattr(asking, "LOT", 1)
+    monkeypatch.setattr(asking, "SHARD", 1 << 10)
+    monkeypatch.setattr(asking, "PACK", 1 << 9)
     monkeypatch.setattr(lm, "BLOCK", 1 << 14)
     rows = request.getfixturevalue(which).limit(40).collect()
     fold = lambda i: 0 if i is None else zlib.crc32(str(i).encode()) % 5
@@ -174,7 +176,7 @@ def test_lm_score_equals_loops(spark, request, monkeypatch, which):
     docs = spark.createDataFrame(rows, DOCS).withColumn("_text", F.lit("x")).withColumn("g", F.lit(1))
     got = sorted((repr(r["doc_id"]), r["score"]) for r in lm.score(docs).collect())
     assert len(got) == len(want)
-    assert all(x[0] == y[0] and abs(x[1] - y[1]) < 1e-5 * (1 + abs(y[1])) for x, y in zip(got, sorted(want)))
+    assert all(x[0] == y[0] and abs(x[1] - y[1]) < 1e-9 * (1 + abs(y[1])) for x, y in zip(got, sorted(want)))
 
 
 def test_ppm_is_a_distribution():
@@ -599,7 +601,8 @@ def test_classifier_equals_loops(spark, request, labels, monkeypatch, which):
     some = labels if which == "real" else spark.createDataFrame([(i, 1, 0) for i in (0, 3, 4, 5, 8, 12)] + [(5, 1, 0), (6, 0, 0), (None, 1, 0)], LABELS)
     monkeypatch.setattr(perplexity, "LEAST_TRUSTED", 3)
     monkeypatch.setattr(perplexity, "BLOCK", 1 << 14)
-    monkeypatch.setattr(asking, "LOT", 2)
+    monkeypatch.setattr(asking, "SHARD", 1 << 10)
+    monkeypatch.setattr(asking, "PACK", 1 << 9)
     docs = df.collect()
     good = {r["doc_id"] for r in some.collect() if r["quality"] == 1} - {None}
     p = kneser_ney(Counter(g for r in docs if r["doc_id"] in good for g in byte_ngrams(r["text"])))

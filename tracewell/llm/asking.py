@@ -1,8 +1,8 @@
 """Documents that need numbers from a table that grows with them: blocks of documents ask its shards.
 
-Texts go in blocks, compressed, and travel once. A block asks for its different codes only, packed by shard; the shards answer in the same
-order, and the block works with an array of numbers. Nothing of the table is broadcast, and no row is made for each place of a text. A
-shard that has many blocks to answer does so in lots, with a copy of its part of the table for each.
+Texts go in blocks, compressed. A block asks for its different codes only, packed by shard; the shards answer in the same
+order, and the block works with an array of numbers. Nothing of the table is broadcast, and no row is made for each place of a text. The table moves once: a
+shard's rows are sorted before the questions that it gets, and it answers those one after the other as they stream past.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from .common import chunks, release
 
-#: Bytes of text in a block, codes in a shard of the table, blocks that one copy of a shard answers.
-BLOCK, SHARD, LOT = 6 << 20, 1 << 20, 256
+#: Bytes of text in a block, codes in a shard of the table, rows of the table that a task packs together.
+BLOCK, SHARD, PACK = 6 << 20, 1 << 20, 1 << 19
 #: Odd numbers of 20 bits that spread codes over shards.
 ODD, ODDER = 742_039, 968_137
 
@@ -166,50 +166,95 @@ class Index:
         return self.bag.count[self.bag.places(codes)]
 
 
-def answered(ready: DataFrame, text: str, blocks: int, table: DataFrame, codes_of: Callable, add: Callable, schema: T.StructType) -> DataFrame:
+def by_shard(codes: np.ndarray, shards: int, shard) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts codes by shard and code, and where each shard's part of it ends."""
+    of = shard(codes, shards)
+    order = np.lexsort((codes, of))
+    return order, np.searchsorted(of[order], np.arange(shards + 1))
+
+
+def packed_table(table: DataFrame, shards: int, shard) -> DataFrame:
+    """(shard, block: -1, codes, numbers): the table (g, v) in pieces, one for each task and shard or more."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def pack():
+            g, v = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+            order, ends = by_shard(g, shards, shard)
+            rows = [(s, squeezed(np.diff(g[order[a:b]], prepend=0)), squeezed(v[order[a:b]])) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([-1] * len(rows), pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["shard", "block", "codes", "numbers"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PACK:
+                yield pack()
+        if held:
+            yield pack()
+        release()
+
+    return table.select("g", "v").mapInArrow(run, "shard int, block int, codes binary, numbers binary")
+
+
+def unsqueezed(raw: bytes, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), kind)
+
+
+def answered(ready: DataFrame, text: str, blocks: int, table: DataFrame, codes_of: Callable, add: Callable, schema: T.StructType, solve: Callable | None = None, shard: Callable = shard_of) -> DataFrame:
     """add(rows, index, values) for each block of ready (with the column _block and packed texts).
 
-    codes_of(texts) gives the codes of a batch of texts; table (g: long, v: double) has all of them. index gives the places of codes in values, which come
-    with the precision of single floats; those of negative codes are whole numbers and exact."""
+    codes_of(texts) gives the codes of a batch of texts; table (g: long, v: double or long) has all of them. index gives the places of codes in values,
+    which are doubles: a shard's v, or solve(g, v) of all its rows by rising g. shard(codes, shards) says which shard has a code."""
     shards = table.count() // SHARD + 12
+    number = np.float64 if dict(table.dtypes)["v"] == "double" else np.int64
 
-    def ask(group: pa.Table) -> pa.Table:
+    def codes_by_shard(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         bag = Bag()
         for b in unpacked(group.select([text]).to_batches(), text):
             bag.add(codes_of(b.column(0)), 0)
-        codes = np.sort(bag.all()[0])
-        shard = shard_of(codes, shards)
-        by = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[by], np.arange(shards + 1))
+        codes = bag.all()[0]
+        order, ends = by_shard(codes, shards, shard)
+        return codes[order], ends
+
+    def ask(group: pa.Table) -> pa.Table:
+        codes, ends = codes_by_shard(group)
         block = group.column("_block")[0].as_py()
-        rows = [(s, block, squeezed(np.diff(codes[by[a:b]], prepend=0))) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
+        rows = [(s, block, squeezed(np.diff(codes[a:b], prepend=0)), None) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
+        release()
+        return pa.table({n: pa.array([r[i] for r in rows], kind) for i, (n, kind) in enumerate((("shard", pa.int32()), ("block", pa.int32()), ("codes", pa.binary()), ("numbers", pa.binary())))})
+
+    def answer(batches):
+        at, parts, g, v = None, [], None, None
+        for batch in batches:
+            out = []
+            for s, block, codes, numbers in zip(*(batch.column(i) for i in range(4))):
+                if s.as_py() != at:
+                    at, parts, g, v = s.as_py(), [], None, None
+                codes = np.cumsum(unsqueezed(codes.as_buffer()))
+                if block.as_py() < 0:
+                    parts.append((codes, unsqueezed(numbers.as_buffer(), number)))
+                    continue
+                if g is None:
+                    g, v = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+                    parts = []
+                    order = np.argsort(g, kind="stable")
+                    g, v = g[order], v[order]
+                    v = solve(g, v) if solve else v
+                out.append((block.as_py(), at, squeezed(v[np.searchsorted(g, codes)].astype(np.float64))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["block", "shard", "numbers"])
         release()
-        return pa.table({n: pa.array([r[i] for r in rows], kind) for i, (n, kind) in enumerate((("shard", pa.int32()), ("block", pa.int32()), ("codes", pa.binary())))})
-
-    def answer(questions: pa.Table, held: pa.Table) -> pa.Table:
-        g, v = held.column("g").to_numpy(), held.column("v").to_numpy()
-        by = np.argsort(g)
-        g, v = g[by], v[by]
-        out = []
-        for raw in questions.column("codes").to_pylist():
-            codes = np.cumsum(np.frombuffer(zstandard.decompress(raw), np.int64))
-            got = v[np.searchsorted(g, codes)]
-            whole = np.searchsorted(codes, 0)
-            out.append(squeezed(got[:whole].astype(np.int64), got[whole:].astype(np.float32)))
-        return pa.table({"block": questions.column("block"), "codes": questions.column("codes"), "values": pa.array(out, pa.binary())})
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
-        codes, values = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for raw, got in zip(answers.column("codes").to_pylist(), answers.column("values").to_pylist()):
-            codes.append(np.cumsum(np.frombuffer(zstandard.decompress(raw), np.int64)))
-            whole = np.searchsorted(codes[-1], 0)
-            got = zstandard.decompress(got)
-            values += [np.frombuffer(got, np.int64, whole).astype(float), np.frombuffer(got, np.float32, offset=8 * whole).astype(float)]
-        out = add(group, Index(np.concatenate(codes)), np.concatenate(values))
+        codes, _ = codes_by_shard(group)
+        answers = answers.take(pa.array(np.argsort(answers.column("shard").to_numpy())))
+        values = np.concatenate([np.zeros(0), *(unsqueezed(raw, np.float64) for raw in answers.column("numbers").to_pylist())])
+        out = add(group, Index(codes), values)
         release()
         return out
 
-    questions = ready.groupBy("_block").applyInArrow(ask, "shard int, block int, codes binary").withColumn("lot", (F.col("block") / LOT).cast("int"))
-    held = table.select("g", "v", shard_of(F.col("g"), shards).alias("shard")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // LOT))))
-    answers = questions.groupBy("shard", "lot").cogroup(held.groupBy("shard", "lot")).applyInArrow(answer, "block int, codes binary, values binary")
+    questions = ready.groupBy("_block").applyInArrow(ask, "shard int, block int, codes binary, numbers binary")
+    met = packed_table(table, shards, shard).unionAll(questions).repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    answers = met.mapInArrow(answer, "block int, shard int, numbers binary")
     return ready.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
