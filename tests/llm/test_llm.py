@@ -156,7 +156,7 @@ def ppm(sequences, order):
 
 @pytest.mark.parametrize("which", ["odd", "real"])
 def test_lm_score_equals_loops(spark, request, monkeypatch, which):
-    monkeypatch.setattr(asking, "SHARD", 1 << 10)
+    monkeypatch.setattr(lm, "SHARD_BYTES", 1 << 12)
     monkeypatch.setattr(asking, "PACK", 1 << 9)
     monkeypatch.setattr(lm, "BLOCK", 1 << 14)
     rows = request.getfixturevalue(which).limit(40).collect()
@@ -193,7 +193,10 @@ def test_grams_and_index():
         want = [int.from_bytes((b"\n" * order + t.encode())[k + 1 : k + 1 + order], "big") for t in texts for k in range(len(t))]
         assert code.tolist() == want and row.tolist() == [i for i, t in enumerate(texts) for _ in t]
         all_ = np.unique(np.r_[code, -code - 1])
-        assert (all_[asking.Index(all_)(code)] == code).all()
+        places = asking.Places(len(all_))
+        at = places(np.r_[code, -code - 1])
+        met, of = places.met()
+        assert sorted(met) == all_.tolist() and (places.bag.code[at] == np.r_[code, -code - 1]).all() and (places.bag.code[of] == met).all()
     rng = np.random.default_rng(5)
     tally, out = asking.Tally(1 << 13), []
     many = [rng.integers(-(2**62), 2**62, 50_000) for _ in range(3)] + [rng.integers(0, 99, 5000)]
@@ -601,7 +604,7 @@ def test_classifier_equals_loops(spark, request, labels, monkeypatch, which):
     some = labels if which == "real" else spark.createDataFrame([(i, 1, 0) for i in (0, 3, 4, 5, 8, 12)] + [(5, 1, 0), (6, 0, 0), (None, 1, 0)], LABELS)
     monkeypatch.setattr(perplexity, "LEAST_TRUSTED", 3)
     monkeypatch.setattr(perplexity, "BLOCK", 1 << 14)
-    monkeypatch.setattr(asking, "SHARD", 1 << 10)
+    monkeypatch.setattr(perplexity, "SHARD", 1 << 10)
     monkeypatch.setattr(asking, "PACK", 1 << 9)
     docs = df.collect()
     good = {r["doc_id"] for r in some.collect() if r["quality"] == 1} - {None}

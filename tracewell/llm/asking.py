@@ -154,16 +154,21 @@ class Tally:
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["g", "c"])
 
 
-class Index:
-    """Places of codes in an array of different ones."""
+class Places:
+    """Places of codes in an array, for at most so many different ones: a table that never grows, so that a code's place is known when it is first met."""
 
-    def __init__(self, codes: np.ndarray):
-        self.bag = Bag(codes)
-        self.bag.count[self.bag.places(codes)] = np.arange(len(codes))
+    def __init__(self, most: int):
+        self.bag = Bag()
+        self.bag.bits = max(12, (2 * most + 1).bit_length())
+        self.bag.code, self.bag.count = np.full(1 << self.bag.bits, NONE), np.zeros(1 << self.bag.bits, np.int64)
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
-        """The place of each; all of them are there."""
-        return self.bag.count[self.bag.places(codes)]
+        return np.concatenate([np.zeros(0, np.int32), *(self.bag.places(codes[at : at + (1 << 18)]).astype(np.int32) for at in range(0, len(codes), 1 << 18))])
+
+    def met(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different codes and their places."""
+        at = np.flatnonzero(self.bag.code != NONE)
+        return self.bag.code[at], at
 
 
 def by_shard(codes: np.ndarray, shards: int, shard) -> tuple[np.ndarray, np.ndarray]:
@@ -201,29 +206,83 @@ def unsqueezed(raw: bytes, kind=np.int64) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(raw), kind)
 
 
-def answered(ready: DataFrame, text: str, blocks: int, table: DataFrame, codes_of: Callable, add: Callable, schema: T.StructType, solve: Callable | None = None, shard: Callable = shard_of) -> DataFrame:
-    """add(rows, index, values) for each block of ready (with the column _block and packed texts).
+QUESTION = "shard int, block int, codes binary, numbers binary"
 
-    codes_of(texts) gives the codes of a batch of texts; table (g: long, v: double or long) has all of them. index gives the places of codes in values,
-    which are doubles: a shard's v, or solve(g, v) of all its rows by rising g. shard(codes, shards) says which shard has a code."""
-    shards = table.count() // SHARD + 12
-    number = np.float64 if dict(table.dtypes)["v"] == "double" else np.int64
 
-    def codes_by_shard(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        bag = Bag()
-        for b in unpacked(group.select([text]).to_batches(), text):
-            bag.add(codes_of(b.column(0)), 0)
-        codes = bag.all()[0]
-        order, ends = by_shard(codes, shards, shard)
-        return codes[order], ends
+def asked(ready: DataFrame, text: str, shards: int, codes_of: Callable, shard: Callable = shard_of, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(shard, block, codes, numbers): each block's different codes by shard, with their counts where codes_of says what counts.
+
+    codes_of(batch), of a batch with the texts and the columns named, gives the codes and what goes with them; or three arrays, of which the last says which codes count."""
 
     def ask(group: pa.Table) -> pa.Table:
-        codes, ends = codes_by_shard(group)
+        bag, counted = Bag(), False
+        for b in unpacked(group.select([text, *columns]).to_batches(), text):
+            codes, _, *counts = codes_of(b)
+            if counts:
+                counted = True
+                bag.add(codes[counts[0]], 1)
+                codes = codes[~counts[0]]
+            bag.add(codes, 0)
+        codes, counts = bag.all()
+        order, ends = by_shard(codes, shards, shard)
         block = group.column("_block")[0].as_py()
-        rows = [(s, block, squeezed(np.diff(codes[a:b], prepend=0)), None) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
+        rows = [(s, block, squeezed(np.diff(codes[at], prepend=0)), squeezed(counts[at].astype(np.int32)) if counted else None) for s, at in ((s, order[a:b]) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b)]
         release()
         return pa.table({n: pa.array([r[i] for r in rows], kind) for i, (n, kind) in enumerate((("shard", pa.int32()), ("block", pa.int32()), ("codes", pa.binary()), ("numbers", pa.binary())))})
 
+    return ready.groupBy("_block").applyInArrow(ask, QUESTION)
+
+
+def merged(questions: DataFrame, shards: int) -> DataFrame:
+    """(shard, block: -1, codes, numbers): the different codes of all blocks with the sums of their counts, a row or a few for each shard."""
+
+    def run(batches):
+        at, held = None, []
+
+        def pack(some):
+            g, c = (np.concatenate([x[i] for x in some]) for i in (0, 1))
+            order = np.argsort(g, kind="stable")
+            g, c = g[order], c[order]
+            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            return g[first], np.add.reduceat(c, first)
+
+        def row(g, c):
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([-1], pa.int32()), pa.array([squeezed(np.diff(g, prepend=0))], pa.binary()), pa.array([squeezed(c)], pa.binary())], names=["shard", "block", "codes", "numbers"])
+
+        for batch in batches:
+            for s, codes, numbers in zip(*(batch.column(i) for i in (0, 2, 3))):
+                if s.as_py() != at:
+                    if held:
+                        yield row(*pack(held))
+                    at, held = s.as_py(), []
+                held.append((np.cumsum(unsqueezed(codes.as_buffer())), unsqueezed(numbers.as_buffer(), np.int32).astype(np.int64)))
+                if len(held) > 1 and sum(len(x[0]) for x in held[1:]) > max(PACK, len(held[0][0])):
+                    held = [pack(held)]
+        if held:
+            yield row(*pack(held))
+        release()
+
+    return questions.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, QUESTION)
+
+
+def unpacked_table(df: DataFrame, number=np.int64) -> DataFrame:
+    """(g, v): the rows of packed codes and numbers."""
+
+    def run(batches):
+        for batch in batches:
+            for codes, numbers in zip(batch.column(2), batch.column(3)):
+                g, v = np.cumsum(unsqueezed(codes.as_buffer())), unsqueezed(numbers.as_buffer(), number)
+                for at in range(0, len(g), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(g[at : at + (1 << 16)]), pa.array(v[at : at + (1 << 16)])], names=["g", "v"])
+
+    return df.mapInArrow(run, "g long, v long")
+
+
+def answered(ready: DataFrame, text: str, shards: int, table: DataFrame, questions: DataFrame, codes_of: Callable, add: Callable, schema: T.StructType, solve: Callable | None = None, shard: Callable = shard_of, number=np.int64) -> DataFrame:
+    """add(rows, parts) for each block of ready (with the column _block and packed texts): parts has, for each batch of its texts, what codes_of gave with its codes, and the codes' values.
+
+    Values are doubles: a shard's numbers in table (packed), or solve(codes, numbers) of all its rows by rising code."""
+
     def answer(batches):
         at, parts, g, v = None, [], None, None
         for batch in batches:
@@ -241,20 +300,28 @@ def answered(ready: DataFrame, text: str, blocks: int, table: DataFrame, codes_o
                     order = np.argsort(g, kind="stable")
                     g, v = g[order], v[order]
                     v = solve(g, v) if solve else v
-                out.append((block.as_py(), at, squeezed(v[np.searchsorted(g, codes)].astype(np.float64))))
+                out.append((block.as_py(), at, len(codes), squeezed(v[np.searchsorted(g, codes)].astype(np.float64))))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["block", "shard", "numbers"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["block", "shard", "size", "numbers"])
         release()
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
-        codes, _ = codes_by_shard(group)
+        places = Places(int(np.sum(answers.column("size").to_numpy())))
+        parts = []
+        for b in unpacked(group.select([text]).to_batches(), text):
+            codes, more, *_ = codes_of(b)
+            parts.append((more, places(codes)))
+        codes, at = places.met()
+        order, _ = by_shard(codes, shards, shard)
+        values = np.zeros(len(places.bag.code))
         answers = answers.take(pa.array(np.argsort(answers.column("shard").to_numpy())))
-        values = np.concatenate([np.zeros(0), *(unsqueezed(raw, np.float64) for raw in answers.column("numbers").to_pylist())])
-        out = add(group, Index(codes), values)
+        values[at[order]] = np.concatenate([np.zeros(0), *(unsqueezed(raw, np.float64) for raw in answers.column("numbers").to_pylist())])
+        del places, codes, at, order
+        out = add(group, ((more, values[p]) for more, p in parts))
         release()
         return out
 
-    questions = ready.groupBy("_block").applyInArrow(ask, "shard int, block int, codes binary, numbers binary")
-    met = packed_table(table, shards, shard).unionAll(questions).repartition(shards, "shard").sortWithinPartitions("shard", "block")
-    answers = met.mapInArrow(answer, "block int, shard int, numbers binary")
+    plain = questions.select("shard", "block", "codes", F.lit(None).cast("binary").alias("numbers"))
+    met = table.unionAll(plain).repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    answers = met.mapInArrow(answer, "block int, shard int, size long, numbers binary")
     return ready.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)

@@ -11,7 +11,7 @@ starts after line ends). The trie is learnt from all training texts, with no lim
   14.11 with all met symbols excluded and a discount of a quarter, in contexts of five bytes.
 
 A text's score is the sum of its symbols' log10 probabilities under the trie as learnt (a pretrained code length). The probability of
-a symbol depends on its n-gram of ORDER + 1 bytes only, so the n-grams of all texts are counted in each task and then in shards, and blocks of documents ask the shards for the different n-grams that they hold.
+a symbol depends on its n-gram of ORDER + 1 bytes only. Texts are dealt to blocks; a block asks shards for the different n-grams that it holds and says how often its training texts have each, so that one pass counts and asks.
 A shard has all n-grams whose context ends with the same two bytes, hence all that orders two and up need; a table of 256 * 256 probabilities has the orders below. So a shard works
 out its own probabilities, order by order, in arrays. Tokens go the same way, under 62-bit hashes, for the base score.
 
@@ -28,14 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .asking import BLOCK, ODD, Tally, answered, grams, mask, packed_texts, shard_of, unpacked
-from .common import LOWER, chunks, crc_mod5, gathered, prefix_hash, release, small_batches, span_hash, table, text_bytes, word_spans, written
+from .asking import BLOCK, ODD, answered, asked, grams, mask, merged, packed_texts, shard_of, unpacked_table
+from .common import LOWER, crc_mod5, gathered, prefix_hash, small_batches, span_hash, table, text_bytes, word_spans, written
 
 #: Bytes of context; a symbol and its context are a code of 56 bits.
 ORDER = 6
 #: The part of a count that each different symbol of a context hands to the escape; how often a symbol is met before shorter contexts exclude it.
 DISCOUNT, OFTEN = 0.75, 6
 SPACE, END = 32, 10
+#: Bytes of text for each shard of n-grams and words.
+SHARD_BYTES = 32 << 20
 
 
 def sequence(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,25 +56,6 @@ def sequence(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, np.r_[0, np.cumsum(np.bincount(of, size, rows).astype(np.int64))], word, row
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(g, c): every n-gram and every word of docs (_text, _held), and how often it stands in training texts."""
-
-    def run(batches):
-        tally = Tally()
-        for b in chunks(batches, "_text"):
-            held = b.column(1).to_numpy(zero_copy_only=False)
-            buf, offsets, word, row = sequence(*text_bytes(b.column(0)))
-            code, of = grams(buf, offsets, ORDER + 1)
-            for got, at in ((code, of), (word, row)):
-                learnt = ~held[at]
-                yield from tally.add(got[learnt])
-                yield from tally.add(got[~learnt], 0)
-        yield from tally.rest()
-        release()
-
-    return docs.select("_text", "_held").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-
-
 def mixed(n: np.ndarray, low: np.ndarray, total: np.ndarray, kinds: np.ndarray, excluded: np.ndarray) -> np.ndarray:
     """The probability of symbols met n times in contexts of total counts, kinds different symbols, and the share of excluded ones in the order below, where each has low."""
     escape = DISCOUNT * kinds / np.maximum(total, 1)
@@ -82,7 +65,7 @@ def mixed(n: np.ndarray, low: np.ndarray, total: np.ndarray, kinds: np.ndarray,
 
 def short_orders(found: DataFrame) -> np.ndarray:
     """p[x, s]: the probability of s after x from orders one and none, by the different n-grams of three bytes that training texts have."""
-    pairs = found.where("g >= 0 and c > 0").select(F.col("g").bitwiseAND(mask(3)).alias("g")).distinct().groupBy(F.col("g").bitwiseAND(mask(2)).alias("g")).agg(F.count("*").alias("n")).collect()  # 65,536 rows at most
+    pairs = found.where("g >= 0 and v > 0").select(F.col("g").bitwiseAND(mask(3)).alias("g")).distinct().groupBy(F.col("g").bitwiseAND(mask(2)).alias("g")).agg(F.count("*").alias("n")).collect()  # 65,536 rows at most
     n = np.zeros((256, 256))
     for g, c in pairs:
         n[g >> 8, g & 255] = c
@@ -122,40 +105,44 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     held = F.coalesce(crc_mod5(key), F.lit(0)) == 1
     ready = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), held.alias("_held"))
     size = ready.agg(F.sum(F.octet_length("_text")).alias("n"), F.count_if(~F.col("_held")).alias("texts")).first()
-    texts, blocks = size["texts"], (size["n"] or 0) // BLOCK + 1
-    found = written(counts(ready))
-    words = found.where("g < 0")
-    sums = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    texts, blocks, shards = size["texts"], (size["n"] or 0) // BLOCK + 1, (size["n"] or 0) // SHARD_BYTES + 12
+    placed = packed_texts(ready.withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("int")), "_text")
+
+    def codes_of(batch: pa.RecordBatch):
+        """A batch's words and n-grams; the number of words and the rows of both; and which are of training texts."""
+        buf, offsets, word, row = sequence(*text_bytes(batch.column(0)))
+        code, of = grams(buf, offsets, ORDER + 1)
+        more = (batch.num_rows, len(word), np.r_[row, of].astype(np.int32))
+        if batch.num_columns == 1:
+            return np.r_[word, code], more
+        return np.r_[word, code], more, ~batch.column(1).to_numpy(zero_copy_only=False)[more[2]]
+
+    questions = written(asked(placed, "_text", shards, codes_of, shard_by_context, ("_held",)))
+    packed = written(merged(questions, shards))
+    found = unpacked_table(packed)
+    sums = found.where("g < 0").agg(F.sum("v").alias("n"), F.count_if(F.col("v") > 0).alias("v")).first()
     train, different = (sums["n"] or 0) + texts, sums["v"] + (texts > 0)
     short = docs.sparkSession.sparkContext.broadcast(short_orders(found))  # 256 * 256 numbers
     rest = train + 0.5 * (different + 1)
 
-    def codes_of(column):
-        buf, offsets, word, _ = sequence(*text_bytes(column))
-        return np.r_[word, grams(buf, offsets, ORDER + 1)[0]]
-
     def solve(g: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Counts of words; log10 of n-grams' probabilities, positive."""
         whole = np.searchsorted(g, 0)
         return np.r_[c[:whole].astype(float), -np.log10(predicted(g[whole:], c[whole:], short.value, ORDER)) if whole < len(g) else np.zeros(0)]
 
-    def add(group: pa.Table, index, values: np.ndarray) -> pa.Table:
+    def add(group: pa.Table, parts) -> pa.Table:
         out = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for b in unpacked(group.select(["_text"]).to_batches(), "_text"):
-            n = b.num_rows
-            buf, offsets, word, row = sequence(*text_bytes(b.column(0)))
-            code, of = grams(buf, offsets, ORDER + 1)
-            count = values[index(word)]
+        for (n, words, rows), values in parts:
+            row, of, count = rows[:words], rows[words:], values[:words]
             out["n_tokens"].append(np.bincount(row, minlength=n) + 1)
             out["n_known"].append(np.bincount(row, count > 0, n) + (texts > 0))
             out["base_score"].append(np.bincount(row, np.log10((count + 0.5) / rest), n) + np.log10((texts + 0.5) / rest))
-            out["score"].append(-np.bincount(of, values[index(code)], n))
+            out["score"].append(-np.bincount(of, values[words:], n))
         whole = ("n_tokens", "n_known")
         return pa.table({"_id": group.column("_id")} | {k: pa.array(np.concatenate(v or [np.zeros(0)]).astype(np.int64 if k in whole else float)) for k, v in out.items()})
 
-    placed = ready.drop("_held").withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("int"))
     schema = T.StructType([T.StructField("_id", docs.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    out = answered(packed_texts(placed, "_text"), "_text", blocks, found.select("g", F.col("c").alias("v")), codes_of, add, schema, solve, shard_by_context)
+    out = answered(placed, "_text", shards, packed, questions, codes_of, add, schema, solve, shard_by_context)
     out = out.withColumnRenamed("_id", key)
     return out.select(key, held.alias("held_out"), "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .asking import BLOCK, Tally, answered, grams, mask, packed_texts, unpacked
+from .asking import BLOCK, SHARD, Tally, answered, asked, grams, mask, packed_table, packed_texts, shard_of, unpacked
 from .common import SPACE, chunks, release, small_batches, small_table, table, text_bytes, written
 
 ORDER = 5
@@ -123,24 +123,27 @@ def with_perplexity(docs: DataFrame, model: DataFrame, key: str = "doc_id", text
     fields = [T.StructField(f"_{i}", docs.schema[c].dataType) for i, c in enumerate(carry) if c != text]
     ready = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(carry) if c != text), F.col(text).alias("_text"), F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("int").alias("_block"))
 
-    def codes_of(texts):
-        return grams(*text_bytes(texts), ORDER)[0]
+    def codes_of(batch: pa.RecordBatch):
+        """A batch's n-grams; the texts, their sizes, what of them is no space, and the n-grams' rows."""
+        buf, offsets = text_bytes(batch.column(0))
+        code, row = grams(buf, offsets, ORDER)
+        return code, (batch.column(0) if whole else None, np.diff(offsets), np.bincount(row, ~SPACE[buf], batch.num_rows), row.astype(np.int32))
 
-    def add(group: pa.Table, index, values: np.ndarray) -> pa.Table:
+    def add(group: pa.Table, parts) -> pa.Table:
         n, bits, words, texts = [], [], [], []
-        for b in unpacked(group.select(["_text"]).to_batches(), "_text"):
-            buf, offsets = text_bytes(b.column(0))
-            code, row = grams(buf, offsets, ORDER)
-            n.append(np.diff(offsets))
-            bits.append(np.bincount(row, values[index(code)], b.num_rows))
-            words.append(np.bincount(row, ~SPACE[buf], b.num_rows))
-            texts.append(b.column(0))
+        for (text_, size, dark, row), values in parts:
+            n.append(size)
+            bits.append(np.bincount(row, values, len(size)))
+            words.append(dark)
+            texts.append(text_)
         n, bits, words = (np.concatenate(x or [np.zeros(0)]) for x in (n, bits, words))
         out = {f.name: group.column(f.name) for f in fields} | ({"_text": pa.chunked_array(texts, pa.string())} if whole else {})
         return pa.table(out | {"n_symbols": pa.array(n.astype(np.int64)), "perplexity": pa.array(np.exp2(bits / np.maximum(n, 1)), mask=words == 0)})
 
     schema = T.StructType([*fields, *([T.StructField("_text", docs.schema[text].dataType)] if whole else []), T.StructField("n_symbols", T.LongType()), T.StructField("perplexity", T.DoubleType())])
-    found = answered(packed_texts(ready, "_text"), "_text", blocks, model.select("g", (-F.log2("p")).alias("v")), codes_of, add, schema)
+    placed, shards = packed_texts(ready, "_text"), model.count() // SHARD + 12
+    held = packed_table(model.select("g", (-F.log2("p")).alias("v")), shards, shard_of)
+    found = answered(placed, "_text", shards, held, asked(placed, "_text", shards, codes_of), codes_of, add, schema, number=np.float64)
     return found.select(*(F.col("_text" if c == text else f"_{i}").alias(c) for i, c in enumerate(carry)), "n_symbols", "perplexity")
 
 
