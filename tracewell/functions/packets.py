@@ -21,7 +21,7 @@ SERVICES = {"ftp": 21, "ssh": 22, "telnet": 23, "smtp": 25, "dns": 53, "dhcp": 6
 FIELDS = [
     ("src_mac", T.StringType()), ("dst_mac", T.StringType()), ("vlan", T.LongType()), ("tags", T.LongType()), ("ether_type", T.LongType()), ("source", T.StringType()), ("destination", T.StringType()),
     ("proto", T.LongType()), ("ttl", T.LongType()), ("identification", T.LongType()), ("sport", T.LongType()), ("dport", T.LongType()), ("seq", T.LongType()), ("ack", T.LongType()),
-    ("flags", T.LongType()), ("window", T.LongType()), ("mss", T.LongType()), ("window_scale", T.LongType()), ("payload_length", T.LongType()), ("icmp_type", T.LongType()), ("icmp_code", T.LongType()),
+    ("flags", T.LongType()), ("window", T.LongType()), ("mss", T.LongType()), ("window_scale", T.LongType()), ("sack_blocks", T.LongType()), ("ts_value", T.LongType()), ("ts_echo", T.LongType()), ("payload_at", T.LongType()), ("payload_length", T.LongType()), ("icmp_type", T.LongType()), ("icmp_code", T.LongType()),
     ("arp_request", T.BooleanType()), ("dns_id", T.LongType()), ("dns_response", T.BooleanType()), ("dns_rcode", T.LongType()), ("dns_name", T.StringType()), ("dhcp_type", T.LongType()),
     ("dhcp_xid", T.LongType()), ("dhcp_client", T.StringType()), ("dhcp_server", T.StringType()), ("dhcp_lease", T.LongType()),
 ]
@@ -172,21 +172,24 @@ def fields(frames: Frames) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     tcp_head = (data >> 4) * 4
     udp_size, u_ok = number(l4 + 4, 2)
     out["payload_length"] = (np.where(tcp, rest - tcp_head, udp_size - 8), (tcp & d_ok) | (udp & u_ok))
+    out["payload_at"] = (np.where(tcp, l4 + tcp_head, l4 + 8), (tcp & d_ok) | (udp & u_ok))
     # Options of TCP, one of each frame at a time.
-    mss, scale = (np.zeros(n, np.int64), np.zeros(n, bool)), (np.zeros(n, np.int64), np.zeros(n, bool))
+    mss, scale, sack, stamp, echo = ((np.zeros(n, np.int64), np.zeros(n, bool)) for _ in range(5))
     at, open_ = l4 + 20, tcp & d_ok & (tcp_head > 20)
     while open_.any():
         code, c_ok = number(at, 1)
         long_, g_ok = number(at + 1, 1)
         open_ = open_ & c_ok & (code != 0) & (at < l4 + tcp_head)
-        for kept, kind_, width in ((mss, 2, 2), (scale, 3, 1)):
-            value, v_ok = number(at + 2, width)
+        for kept, kind_, place, width in ((mss, 2, 2, 2), (scale, 3, 2, 1), (stamp, 8, 2, 4), (echo, 8, 6, 4)):
+            value, v_ok = number(at + place, width)
             mine = open_ & (code == kind_) & v_ok
             kept[0][mine] = value[mine]
             kept[1][mine] = True
+        blocks = open_ & (code == 5) & g_ok & (long_ >= 10)
+        sack[0][blocks], sack[1][blocks] = (long_[blocks] - 2) // 8, True
         open_ = open_ & ((code == 1) | (g_ok & (long_ >= 2)))
         at = at + np.where(code == 1, 1, np.maximum(long_, 1))
-    out["mss"], out["window_scale"] = mss, scale
+    out["mss"], out["window_scale"], out["sack_blocks"], out["ts_value"], out["ts_echo"] = mss, scale, sack, stamp, echo
     # DNS heads, and DHCP with its options: a small helper reads what is left of those frames.
     sport, dport = out["sport"][0], out["dport"][0]
     dns = udp & out["dport"][1] & ((sport == 53) | (dport == 53))
@@ -244,12 +247,12 @@ def hex_of(n: Column, size: int) -> Column:
     return F.lpad(F.hex(n), 2 * size, "0")
 
 
-def tcp_frame(source: Column, destination: Column, sport: Column, dport: Column, seq: Column, ack: Column, flags: Column, payload: Column, vlan: Column | None = None) -> Column:
+def tcp_frame(source: Column, destination: Column, sport: Column, dport: Column, seq: Column, ack: Column, flags: Column, payload: Column, vlan: Column | None = None, window: Column | None = None) -> Column:
     """An Ethernet frame with IPv4 and TCP heads (checksums 0) and the payload's bytes; addresses are numbers."""
     size = F.octet_length(payload)
     eth = F.concat(F.lit("020000000002020000000001"), F.when(vlan.isNull(), F.lit("0800")).otherwise(F.concat(F.lit("8100"), hex_of(vlan, 2), F.lit("0800"))) if vlan is not None else F.lit("0800"))
     ip = F.concat(F.lit("4500"), hex_of(size + 40, 2), F.lit("0001"), F.lit("4000"), F.lit("4006"), F.lit("0000"), hex_of(source, 4), hex_of(destination, 4))
-    tcp = F.concat(hex_of(sport, 2), hex_of(dport, 2), hex_of(seq, 4), hex_of(ack, 4), F.lit("50"), hex_of(flags, 1), F.lit("2000"), F.lit("0000"), F.lit("0000"))
+    tcp = F.concat(hex_of(sport, 2), hex_of(dport, 2), hex_of(seq, 4), hex_of(ack, 4), F.lit("50"), hex_of(flags, 1), hex_of(window, 2) if window is not None else F.lit("2000"), F.lit("0000"), F.lit("0000"))
     return F.unhex(F.concat(eth, ip, tcp, F.hex(payload)))
 
 
