@@ -83,8 +83,14 @@ def unpacked(batches, text: str):
             yield from chunks([pa.RecordBatch.from_arrays([texts if i == at else part.column(i) for i in range(part.num_columns)], names=part.schema.names)], text)
 
 
-def squeezed(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 3)
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers of one width, compressed plane by plane: the first bytes of sorted codes are runs, and the last ones are letters."""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T).tobytes(), 3)
+
+
+def unsqueezed(raw: bytes, kind=np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 NONE = np.int64(-(1 << 63))
@@ -187,7 +193,7 @@ def packed_table(table: DataFrame, shards: int, shard) -> DataFrame:
         def pack():
             g, v = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
             order, ends = by_shard(g, shards, shard)
-            rows = [(s, squeezed(np.diff(g[order[a:b]], prepend=0)), squeezed(v[order[a:b]])) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
+            rows = [(s, squeezed(g[order[a:b]]), squeezed(v[order[a:b]])) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([-1] * len(rows), pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["shard", "block", "codes", "numbers"])
 
@@ -202,10 +208,6 @@ def packed_table(table: DataFrame, shards: int, shard) -> DataFrame:
     return table.select("g", "v").mapInArrow(run, "shard int, block int, codes binary, numbers binary")
 
 
-def unsqueezed(raw: bytes, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(raw), kind)
-
-
 QUESTION = "shard int, block int, codes binary, numbers binary"
 
 
@@ -226,7 +228,7 @@ def asked(ready: DataFrame, text: str, shards: int, codes_of: Callable, shard: C
         codes, counts = bag.all()
         order, ends = by_shard(codes, shards, shard)
         block = group.column("_block")[0].as_py()
-        rows = [(s, block, squeezed(np.diff(codes[at], prepend=0)), squeezed(counts[at].astype(np.int32)) if counted else None) for s, at in ((s, order[a:b]) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b)]
+        rows = [(s, block, squeezed(codes[at]), squeezed(counts[at].astype(np.int32)) if counted else None) for s, at in ((s, order[a:b]) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b)]
         release()
         return pa.table({n: pa.array([r[i] for r in rows], kind) for i, (n, kind) in enumerate((("shard", pa.int32()), ("block", pa.int32()), ("codes", pa.binary()), ("numbers", pa.binary())))})
 
@@ -247,7 +249,7 @@ def merged(questions: DataFrame, shards: int) -> DataFrame:
             return g[first], np.add.reduceat(c, first)
 
         def row(g, c):
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([-1], pa.int32()), pa.array([squeezed(np.diff(g, prepend=0))], pa.binary()), pa.array([squeezed(c)], pa.binary())], names=["shard", "block", "codes", "numbers"])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([-1], pa.int32()), pa.array([squeezed(g)], pa.binary()), pa.array([squeezed(c)], pa.binary())], names=["shard", "block", "codes", "numbers"])
 
         for batch in batches:
             for s, codes, numbers in zip(*(batch.column(i) for i in (0, 2, 3))):
@@ -255,7 +257,7 @@ def merged(questions: DataFrame, shards: int) -> DataFrame:
                     if held:
                         yield row(*pack(held))
                     at, held = s.as_py(), []
-                held.append((np.cumsum(unsqueezed(codes.as_buffer())), unsqueezed(numbers.as_buffer(), np.int32).astype(np.int64)))
+                held.append((unsqueezed(codes.as_buffer()), unsqueezed(numbers.as_buffer(), np.int32).astype(np.int64)))
                 if len(held) > 1 and sum(len(x[0]) for x in held[1:]) > max(PACK, len(held[0][0])):
                     held = [pack(held)]
         if held:
@@ -271,7 +273,7 @@ def unpacked_table(df: DataFrame, number=np.int64) -> DataFrame:
     def run(batches):
         for batch in batches:
             for codes, numbers in zip(batch.column(2), batch.column(3)):
-                g, v = np.cumsum(unsqueezed(codes.as_buffer())), unsqueezed(numbers.as_buffer(), number)
+                g, v = unsqueezed(codes.as_buffer()), unsqueezed(numbers.as_buffer(), number)
                 for at in range(0, len(g), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(g[at : at + (1 << 16)]), pa.array(v[at : at + (1 << 16)])], names=["g", "v"])
 
@@ -290,7 +292,7 @@ def answered(ready: DataFrame, text: str, shards: int, table: DataFrame, questio
             for s, block, codes, numbers in zip(*(batch.column(i) for i in range(4))):
                 if s.as_py() != at:
                     at, parts, g, v = s.as_py(), [], None, None
-                codes = np.cumsum(unsqueezed(codes.as_buffer()))
+                codes = unsqueezed(codes.as_buffer())
                 if block.as_py() < 0:
                     parts.append((codes, unsqueezed(numbers.as_buffer(), number)))
                     continue
