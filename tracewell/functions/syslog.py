@@ -127,7 +127,7 @@ def vrp(message: Column) -> Column:
 
 
 #: The columns of two record types that rules read, by place from 0.
-PAN_COLUMNS = {"TRAFFIC": {7: "src", 8: "dst", 11: "rule", 30: "action"}, "SYSTEM": {4: "subtype", 8: "eventid", 13: "severity"}}
+PAN_COLUMNS = {"TRAFFIC": {7: "src", 8: "dst", 11: "rule", 30: "action"}, "SYSTEM": {4: "subtype", 8: "eventid", 9: "object", 13: "severity", 14: "description"}}
 
 
 def pan_os(message: Column) -> Column:

@@ -59,6 +59,17 @@ KINDS = [
     Kind("iso", "stm", "<501102> <WARN> |stm| Disassoc from sta {address}: client gone", "aos-8", 4, 2),
     Kind("epoch", "ospfd", "OSPF neighbor {address} changed from Init to 2Way", fact="routing", subject="OSPF {address}", state="step"),
     Kind("bsd", "portd", "putting Gi1/0/{n} in err-disable state", fact="link", subject="Gi1/0/{n}", state="down"),
+    Kind("bare", "", 'date=2024-01-05 devname=FG1 devid=FGT60 logid=0100 type=event level=notice logdesc="Interface status changed" action=interface-stat-change status=DOWN interface=port{n}', "fortios", 5, 10, "link", "port{n}", "down"),
+    Kind("bare", "", 'date=2024-01-05 devname=FG1 devid=FGT60 logid=0101 type=event level=warning logdesc="Link monitor status" interface=wan{n} msg="Link Monitor changed state from dead to alive"', "fortios", 4, 9, "link", "wan{n}", "up"),
+    Kind("bare", "", '1,2024/01/05 10:00:00,0001,SYSTEM,general,0,2024/01/05 10:00:00,,link-change,ethernet1/{n},0,0,general,informational,"Port ethernet1/{n}: Down 1Gb/s-full duplex",1,0x0', "pan-os", 6, 5, "link", "ethernet1/{n}", "down"),
+    Kind("iso", "zebra", "interface eth{n} index 2 changed <UP,BROADCAST,RUNNING,MULTICAST>.", fact="link", subject="eth{n}", state="up"),
+    Kind("bsd", "ospfd", "OSPF neighbor {address} changed from FULL/DR to DOWN", fact="routing", subject="OSPF {address}", state="down"),
+    Kind("iso", "ospfd", "OSPF neighbor fe80::1:{n} changed from Init to 2-Way", fact="routing", subject="OSPF fe80::1:{n}", state="step"),
+    Kind("iso", "%TCP-6-BADAUTH", "Invalid MD5 digest from {address}(179) to 10.0.0.1(11003)", fact="routing", subject="BGP {address}", state="authFail"),
+    Kind("iso", "bgpd", "received NOTIFICATION from neighbor {address} 6/4 (Administrative Reset)", fact="routing", subject="BGP {address}", state="down"),
+    Kind("iso", "linkDown", "SNMPv2c trap 1.3.6.1.6.3.1.1.5.3 ifIndex.{n}={n} ifName.{n}=ge-0/0/{n} ifAdminStatus.{n}=1 ifOperStatus.{n}=2", fields=4, fact="link", subject="ge-0/0/{n}", state="down"),
+    Kind("iso", "ospfNbrStateChange", "SNMPv2c trap 1.3.6.1.2.1.14.16.2.2 1.3.6.1.2.1.14.10.1.6.{address}.0=8", fact="routing", subject="OSPF {address}", state="up"),
+    Kind("iso", "bgpBackwardTransition", "SNMPv2c trap 1.3.6.1.2.1.15.7.2 1.3.6.1.2.1.15.3.1.7.{address}=6", fact="routing", subject="BGP {address}", state="down"),
 ]
 #: A header's parts: whether a line has a priority, a time of whole seconds or microseconds, a host, a process.
 TIMED, HOSTED = {"iso", "bsd", "version", "year", "counter", "node"}, {"iso", "bsd", "version", "year", "counter", "epoch"}
