@@ -9,6 +9,7 @@ import ipaddress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ FIELDS = [
     ("src_mac", T.StringType()), ("dst_mac", T.StringType()), ("vlan", T.LongType()), ("tags", T.LongType()), ("ether_type", T.LongType()), ("source", T.StringType()), ("destination", T.StringType()),
     ("proto", T.LongType()), ("ttl", T.LongType()), ("identification", T.LongType()), ("sport", T.LongType()), ("dport", T.LongType()), ("seq", T.LongType()), ("ack", T.LongType()),
     ("flags", T.LongType()), ("window", T.LongType()), ("mss", T.LongType()), ("window_scale", T.LongType()), ("sack_blocks", T.LongType()), ("ts_value", T.LongType()), ("ts_echo", T.LongType()), ("payload_at", T.LongType()), ("payload_length", T.LongType()), ("icmp_type", T.LongType()), ("icmp_code", T.LongType()),
-    ("arp_request", T.BooleanType()), ("dns_id", T.LongType()), ("dns_response", T.BooleanType()), ("dns_rcode", T.LongType()), ("dns_name", T.StringType()), ("dhcp_type", T.LongType()),
+    ("arp_request", T.BooleanType()), ("dns_id", T.LongType()), ("dns_response", T.BooleanType()), ("dns_rcode", T.LongType()), ("dns_name", T.StringType()), ("dns_type", T.LongType()), ("dns_answers", T.ArrayType(T.StringType())), ("dhcp_type", T.LongType()),
     ("dhcp_xid", T.LongType()), ("dhcp_client", T.StringType()), ("dhcp_server", T.StringType()), ("dhcp_lease", T.LongType()),
 ]
 #: Tags of VLANs that a frame may carry one after another, and headers between IPv6 and its transport.
@@ -50,9 +51,6 @@ class Frames:
             out = out << 8 | self.raw[first + i]
         return out, there
 
-    def bytes_(self, i: int, at: int, size: int) -> bytes:
-        return self.raw[self.start[i] + at : self.start[i] + min(at + size, self.size[i])].tobytes()
-
 
 def _texts(values: np.ndarray, there: np.ndarray, text) -> np.ndarray:
     """text of each different value, for the rows that have one."""
@@ -68,28 +66,124 @@ def _mac(n: int) -> str:
     return ":".join(h[i : i + 2] for i in range(0, 12, 2))
 
 
-def dns_name(data: bytes) -> str | None:
-    """The name of the first question: labels of up to 63 bytes, with dots between them; null if it does not end."""
-    out, at = [], 12
-    while at < len(data):
-        n = data[at]
-        if n == 0:
-            return ".".join(out)
-        if n > 63 or at + 1 + n > len(data):
-            return None
-        out.append(data[at + 1 : at + 1 + n].decode("latin-1"))
-        at += 1 + n
-    return None
-
-
-def dhcp_options(data: bytes) -> dict[int, bytes]:
-    out, at = {}, 0
-    while at + 1 < len(data) and data[at] != 255:
-        if data[at] == 0:
-            at += 1
-            continue
-        out.setdefault(data[at], data[at + 2 : at + 2 + data[at + 1]])
-        at += 2 + data[at + 1]
+#: Fixed values of name messages: ports (also multicast and link-local ones), jumps of a name at most, answers read, types whose data is an address or a name.
+DNS_PORTS, MOST_JUMPS, MOST_ANSWERS = (53, 5353, 5355), 16, 8
+TYPE_A, TYPE_AAAA, NAME_TYPES = 1, 28, (2, 5, 12)
+
+
+def names(frames: Frames, at: np.ndarray, begin: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The names that begin at a place of each frame of who, and where each ends: labels with dots between, pointers followed from begin, for all frames a label at a time.
+
+    A name is null that does not end in its frame, has a label of another kind, or jumps more than MOST_JUMPS times, which a ring of pointers does."""
+    n = len(at)
+    at, open_, ended = at.copy(), who.copy(), np.zeros(n, bool)
+    after, jumps = np.full(n, -1), np.zeros(n, np.int64)
+    of, start, size = [], [], []
+    while open_.any():
+        length, there = frames.number(at, 1)
+        low, whole = frames.number(at + 1, 1)
+        open_ &= there
+        last = open_ & (length == 0)
+        after = np.where(last & (after < 0), at + 1, after)
+        ended |= last
+        jump = open_ & (length >= 192) & whole
+        after = np.where(jump & (after < 0), at + 2, after)
+        jumps += jump
+        label = open_ & (length > 0) & (length < 64) & (at + 1 + length <= frames.size)
+        rows = np.flatnonzero(label)
+        of.append(rows)
+        start.append(frames.start[rows] + at[rows] + 1)
+        size.append(length[rows])
+        at = np.where(jump, begin + ((length & 63) << 8 | low), at + 1 + length)
+        open_ = (jump & (jumps <= MOST_JUMPS)) | label
+    of, start, size = (np.concatenate(x or [np.zeros(0, np.int64)]).astype(np.int64) for x in (of, start, size))
+    order = np.argsort(of, kind="stable")
+    of, start, size = of[order], start[order], size[order]
+    # The labels' bytes, those beyond ASCII as two, and the labels of each frame joined.
+    ends = np.cumsum(size)
+    raw = frames.raw[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+    wide = raw >= 128
+    place = np.arange(len(raw)) + np.cumsum(wide) - wide
+    text = np.zeros(len(raw) + int(wide.sum()), np.uint8)
+    text[place] = np.where(wide, 192 | raw >> 6, raw)
+    text[place[wide] + 1] = 128 | raw[wide] & 63
+    bounds = np.r_[0, np.cumsum(1 + wide)][np.r_[0, ends]].astype(np.int32) if len(ends) else np.zeros(1, np.int32)
+    labels = pa.StringArray.from_buffers(len(ends), pa.py_buffer(bounds.tobytes()), pa.py_buffer(text.tobytes()))
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), labels)
+    out = pc.binary_join(lists, ".").to_numpy(zero_copy_only=False).astype(object)
+    out[~ended] = None
+    return out, ended, after
+
+
+def ipv4_text(value: np.ndarray, there: np.ndarray) -> np.ndarray:
+    return _texts(value, there, lambda v: ".".join(str(int(v) >> s & 255) for s in (24, 16, 8, 0)))
+
+
+def ipv6_text(high: np.ndarray, low: np.ndarray, there: np.ndarray) -> np.ndarray:
+    return _texts(np.stack([high, low], 1).astype(np.uint64), there, lambda v: str(ipaddress.IPv6Address((int(v[0]) << 64) | int(v[1]))))
+
+
+def dns_fields(frames: Frames, begin: np.ndarray, dns: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The message that begins at a place of each frame of dns: its head, its first question, and up to MOST_ANSWERS answers as text."""
+    number, n = frames.number, len(begin)
+    ident, i_ok = number(begin, 2)
+    bits, b_ok = number(begin + 2, 2)
+    asked, _ = number(begin + 4, 2)
+    answers, a_ok = number(begin + 6, 2)
+    name, named, at = names(frames, begin + 12, begin, dns & b_ok & a_ok & (asked > 0))
+    kind, k_ok = number(at, 2)
+    out = {"dns_id": (ident, dns & i_ok), "dns_response": (bits >> 15 == 1, dns & b_ok), "dns_rcode": (bits & 15, dns & b_ok), "dns_name": (name, named), "dns_type": (kind, named & k_ok)}
+    # Behind the first question come the others, then the answers.
+    at, ready = np.where(named, at + 4, begin + 12), dns & a_ok & (named | (asked == 0))
+    more = np.where(named, asked - 1, 0)
+    while (ready & (more > 0)).any():
+        now = ready & (more > 0)
+        _, ok, after = names(frames, at, begin, now)
+        ready &= ~now | ok
+        at, more = np.where(now & ok, after + 4, at), more - 1
+    texts = []
+    for k in range(MOST_ANSWERS):
+        now = ready & (answers > k)
+        if not now.any():
+            break
+        _, ok, after = names(frames, at, begin, now)
+        kind, _ = number(after, 2)
+        size, s_ok = number(after + 8, 2)
+        data = after + 10
+        now &= ok & s_ok & (data + size <= frames.size)
+        four, _ = number(data, 4)
+        high, _ = number(data, 8)
+        low, _ = number(data + 8, 8)
+        said = ipv4_text(four, now & (kind == TYPE_A) & (size == 4))
+        is_six, is_name = now & (kind == TYPE_AAAA) & (size == 16), now & np.isin(kind, NAME_TYPES)
+        said = np.where(is_six, ipv6_text(high, low, is_six), said) if is_six.any() else said
+        said = np.where(is_name, names(frames, data, begin, is_name)[0], said) if is_name.any() else said
+        texts.append(said)
+        ready, at = now | (ready & (answers <= k)), np.where(now, data + size, at)
+    lists = np.full(n, None, object)
+    for i in np.flatnonzero(dns & a_ok & (answers > 0)):
+        lists[i] = [t[i] for t in texts if t[i] is not None]
+    out["dns_answers"] = (lists, dns & a_ok & (answers > 0))
+    return out
+
+
+def dhcp_options(frames: Frames, at: np.ndarray, who: np.ndarray, wanted: tuple[int, ...]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The first value of each option wanted, as a number of up to eight bytes, and its size (0: not there), for all frames an option at a time, to the frames' ends."""
+    out = {code: (np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)) for code in wanted}
+    at, open_ = at.copy(), who.copy()
+    while open_.any():
+        code, there = frames.number(at, 1)
+        size, whole = frames.number(at + 1, 1)
+        open_ &= there & (code != 255) & (whole | (code == 0))
+        for kind, (value, held) in out.items():
+            mine = open_ & (code == kind) & (held == 0) & (at + 2 + size <= frames.size)
+            if mine.any():
+                number = np.zeros(len(at), np.int64)
+                for i in range(8):
+                    byte, _ = frames.number(at + 2 + i, 1)
+                    number = np.where(i < size, number << 8 | byte, number)
+                value[mine], held[mine] = number[mine], size[mine]
+        at = at + np.where(code == 0, 1, 2 + size)
     return out
 
 
@@ -154,13 +248,12 @@ def fields(frames: Frames) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     out["arp_request"] = (request == 1, arp & r_ok)
     for name, at4, at_arp, at6 in (("source", 12, 14, 8), ("destination", 16, 24, 24)):
         value, v_ok = number(l3 + np.where(arp, at_arp, at4), 4)
-        text = _texts(value, (four | arp) & v_ok, lambda v: ".".join(str(int(v) >> s & 255) for s in (24, 16, 8, 0)))
+        text = ipv4_text(value, (four | arp) & v_ok)
         high, h_ok = number(l3 + at6, 8)
         low, w_ok = number(l3 + at6 + 8, 8)
         long_ = six & h_ok & w_ok
         if long_.any():
-            both = np.stack([high, low], 1).astype(np.uint64)
-            text = np.where(long_, _texts(both, long_, lambda v: str(ipaddress.IPv6Address((int(v[0]) << 64) | int(v[1])))), text)
+            text = np.where(long_, ipv6_text(high, low, long_), text)
         out[name] = (text, ((four | arp) & v_ok) | long_)
     # Transport
     tcp, udp = first & (proto == 6), first & (proto == 17)
@@ -190,32 +283,21 @@ def fields(frames: Frames) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         open_ = open_ & ((code == 1) | (g_ok & (long_ >= 2)))
         at = at + np.where(code == 1, 1, np.maximum(long_, 1))
     out["mss"], out["window_scale"], out["sack_blocks"], out["ts_value"], out["ts_echo"] = mss, scale, sack, stamp, echo
-    # DNS heads, and DHCP with its options: a small helper reads what is left of those frames.
+    # DNS, and DHCP with its options.
     sport, dport = out["sport"][0], out["dport"][0]
-    dns = udp & out["dport"][1] & ((sport == 53) | (dport == 53))
-    ident, i_ok = number(l4 + 8, 2)
-    bits, b_ok = number(l4 + 10, 2)
-    out["dns_id"], out["dns_response"], out["dns_rcode"] = (ident, dns & i_ok), (bits >> 15 == 1, dns & b_ok), (bits & 15, dns & b_ok)
-    names = np.full(n, None, object)
-    for i in np.flatnonzero(dns & b_ok):
-        names[i] = dns_name(frames.bytes_(i, int(l4[i]) + 8, 600))
-    out["dns_name"] = (names, np.array([x is not None for x in names], bool))
+    dns = udp & out["dport"][1] & (np.isin(sport, DNS_PORTS) | np.isin(dport, DNS_PORTS))
+    out |= dns_fields(frames, l4 + 8, dns)
     dhcp = udp & out["dport"][1] & np.isin(sport, (67, 68)) & np.isin(dport, (67, 68))
     cookie, k_ok = number(l4 + 8 + 236, 4)
     dhcp &= k_ok & (cookie == 0x63825363)
     xid, _ = number(l4 + 12, 4)
     client, _ = number(l4 + 36, 6)
-    kinds, leases, servers = np.zeros((2, n), np.int64), np.zeros((2, n), np.int64), np.full(n, None, object)
-    for i in np.flatnonzero(dhcp):
-        options = dhcp_options(frames.bytes_(i, int(l4[i]) + 248, 1200))
-        for kept, code in ((kinds, 53), (leases, 51)):
-            if code in options:
-                kept[:, i] = int.from_bytes(options[code], "big"), 1
-        if len(options.get(54, b"")) == 4:
-            servers[i] = ".".join(map(str, options[54]))
+    options = dhcp_options(frames, l4 + 248, dhcp, (53, 51, 54))
     out["dhcp_xid"], out["dhcp_client"] = (xid, dhcp), (_texts(client, dhcp, _mac), dhcp)
-    out["dhcp_type"], out["dhcp_lease"] = (kinds[0], kinds[1] > 0), (leases[0], leases[1] > 0)
-    out["dhcp_server"] = (servers, np.array([x is not None for x in servers], bool))
+    for name, code in (("dhcp_type", 53), ("dhcp_lease", 51)):
+        out[name] = (options[code][0], options[code][1] > 0)
+    four = options[54][1] == 4
+    out["dhcp_server"] = (ipv4_text(options[54][0], four), four)
     return out
 
 
@@ -227,7 +309,8 @@ def decoded(df: DataFrame, data: str = "data") -> DataFrame:
         for b in batches:
             column = b.column(b.schema.get_field_index(data))
             got = fields(Frames(column.fill_null(b"")))
-            arrays = [pa.array(got[n][0].astype(object) if k == T.StringType() else got[n][0], {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.BooleanType(): pa.bool_()}[k], mask=~got[n][1]) for n, k in FIELDS]
+            kinds = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.BooleanType(): pa.bool_(), T.ArrayType(T.StringType()): pa.list_(pa.string())}
+            arrays = [pa.array(got[n][0] if k in (T.LongType(), T.BooleanType()) else got[n][0].astype(object), kinds[k], mask=~got[n][1]) for n, k in FIELDS]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in rest), *arrays], names=[*(f.name for f in rest), *(n for n, _ in FIELDS)])
 
     return df.mapInArrow(run, T.StructType([*rest, *(T.StructField(n, k) for n, k in FIELDS)]))
@@ -269,6 +352,17 @@ def dns_payload(ident: Column, response: Column, rcode: Column, *labels: Column)
     return F.concat(hex_of(ident, 2), hex_of(F.when(response, 0x8180).otherwise(0x0100) + rcode, 2), F.lit("0001000000000000"), *name, F.lit("0000010001"))
 
 
+def dns_answer_payload(ident: Column, labels: list[Column], alias: Column, address: Column) -> Column:
+    """An answer with one question, the alias of its name (a label before the name's own last one) and the alias's address, as text in hex; names are pointers where they can be."""
+    name = [x for l in labels for x in (hex_of(F.octet_length(l), 1), F.hex(l.cast("binary")))]
+    last = F.lit(12) + sum((F.octet_length(l) + 1 for l in labels[:-1]), F.lit(0))  # where the last label stands
+    behind = F.lit(12) + sum((F.octet_length(l) + 1 for l in labels), F.lit(0)) + 1 + 4
+    target = F.concat(hex_of(F.octet_length(alias), 1), F.hex(alias.cast("binary")), hex_of(F.lit(0xC000) + last, 2))
+    cname = F.concat(F.lit("c00c0005000100000e10"), hex_of(F.octet_length(alias) + 3, 2), target)
+    host = F.concat(hex_of(F.lit(0xC000) + behind + 12, 2), F.lit("0001000100000e100004"), hex_of(address, 4))
+    return F.concat(hex_of(ident, 2), F.lit("81800001000200000000"), *name, F.lit("0000010001"), cname, host)
+
+
 def dhcp_payload(kind: Column, xid: Column, client: Column, server: Column, lease: Column) -> Column:
     """A DHCP message, as text in hex: its type, and the server and the lease where they are not null. The client is a number of 48 bits."""
     option = lambda code, value, size: F.coalesce(F.concat(F.lit(f"{code:02x}{size:02x}"), hex_of(value, size)), F.lit(""))

@@ -161,6 +161,20 @@ def dns_decode(spark, sf_dir):
     return k.decoded(dns_frames(spark, sf_dir)).select("id", "dns_id", "dns_response", "dns_rcode", "dns_name", "sport")
 
 
+@query(
+    "dns_answers",
+    f"WITH {LOG_SQL} SELECT id, host || '.site.example' AS dns_name, 1::BIGINT AS dns_type, 'web' || k || '.example, 10.9.' || (k % 7) || '.' || (k % 250) AS answers FROM log",
+)
+def dns_answers(spark, sf_dir):
+    """Answers with an alias and its address, names given by pointers; one in three to a multicast port."""
+    e = log(spark, sf_dir)
+    address = F.lit(10 << 24) + F.lit(9 << 16) + (F.col("k") % 7) * 256 + F.col("k") % 250
+    payload = k.dns_answer_payload(F.col("id") % 65536, [F.col("host"), F.lit("site"), F.lit("example")], F.concat(F.lit("web"), F.col("k").cast("string")), address)
+    port = F.when(F.col("id") % 3 == 0, 5353).otherwise(53)
+    d = k.decoded(e.select("id", k.udp_frame(F.lit(2886729728), F.lit(167772160) + F.col("source"), port, F.lit(40000), payload).alias("data")))
+    return d.select("id", "dns_name", "dns_type", F.array_join("dns_answers", ", ").alias("answers"))
+
+
 def dns_frames(spark, sf_dir):
     e = log(spark, sf_dir)
     answer = F.col("id") % 2 == 1
