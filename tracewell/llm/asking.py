@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import chunks, release
 
 #: Bytes of text in a block, codes in a shard of the table, rows of the table that a task packs together.
-BLOCK, SHARD, PACK = 6 << 20, 1 << 20, 1 << 19
+BLOCK, SHARD, PACK = 8 << 20, 1 << 20, 1 << 19
 #: Odd numbers of 20 bits that spread codes over shards.
 ODD, ODDER = 742_039, 968_137
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -50,6 +51,11 @@ def written(df: DataFrame) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # The shuffles behind the table are not needed any more; Spark removes their files when the driver's JVM finds that nothing refers to them.
+    gc.collect()
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
