@@ -308,6 +308,27 @@ def test_viterbi_finds_the_likeliest_path():
         assert got == "".join(" " if x == 26 else "é" if x == 27 else chr(97 + x) for x in best)
 
 
+def test_long_tokens_are_read_in_pieces(monkeypatch):
+    """Pieces and spans give what the whole lattice gives; a token of a million characters is read in bounded memory."""
+    rng = random.Random(15)
+    model = np.log(np.random.default_rng(9).dirichlet(np.ones(28), (28, 28))).astype(np.float32)
+    tokens = ["".join(rng.choice("abcde1$0é|.") for _ in range(rng.choice([40, 300, 900]))) for _ in range(30)] + ["1$" * 200, "ab" * 200, "aab1" * 99, "a1" * 150 + "xy"]
+    whole = [toxicity.viterbi([t], model)[0] for t in tokens]
+    monkeypatch.setattr(toxicity, "SPAN", 37)
+    assert [toxicity.viterbi([t], model)[0] for t in tokens] == whole
+    monkeypatch.setattr(toxicity, "PIECE", 5)
+    assert [toxicity.long_viterbi(t, model) for t in tokens] == whole
+    monkeypatch.undo()
+    blob = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/".lower(), k=200_000))
+    import tracemalloc
+
+    tracemalloc.start()
+    said = toxicity.restore([blob], model)[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(said) > 100_000 and most < 300 << 20
+
+
 # ---- 5 ----------------------------------------------------------------------------------------------------------
 
 

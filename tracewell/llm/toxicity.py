@@ -32,6 +32,8 @@ from .common import chunks, crc_mod5, small_batches, table, text_bytes
 TRAIN_ROWS, LEAST_TOXIC, LEAST_EVIDENCE, LEAST_DIVERGENCE = 20_000, 4, 3.0, 8.0
 STEMS = (4, 5)
 KEPT, REMEMBERED = 200_000, 300_000
+#: Half the characters from which a token is cut into pieces, the least of a piece, and the characters whose ways back are held at once.
+LONG, PIECE, SPAN = 200, 32, 1024
 #: States of the character model: a-z, 26 between tokens, 27 a letter beyond ASCII.
 STATES, EDGE, OTHER = 28, 26, 27
 #: The letters that a sign can look like.
@@ -85,16 +87,10 @@ def observed(token: str) -> list[int]:
     return out
 
 
-def viterbi(tokens: list[str], model: np.ndarray) -> list[str]:
-    """The likeliest letters (and edges) of each token, all of like length at once. A state is the last two letters."""
-    n, width = len(tokens), max(map(len, tokens))
-    codes = np.full((n, width), PAST)
-    for i, t in enumerate(tokens):
-        codes[i, : len(t)] = observed(t)
-    to = np.ascontiguousarray(model.transpose(2, 0, 1))  # by the next letter
-    score = np.full((n, STATES, STATES), -np.inf, np.float32)
-    score[:, EDGE, EDGE] = 0
-    came = np.full((width, n, STATES, STATES), -1, np.int8)
+def advanced(codes: np.ndarray, score: np.ndarray, to: np.ndarray, remember: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """The scores of all states after the codes, and with remember the letter before last of each step's best way (-1: a character stood for nothing)."""
+    n, width = codes.shape
+    came = np.full((width, n, STATES, STATES), -1, np.int8) if remember else None
     for j in range(width):
         after = score + SKIP[codes[:, j]][:, None, None]
         for k in (0, 1):
@@ -106,19 +102,79 @@ def viterbi(tokens: list[str], model: np.ndarray) -> list[str]:
                 value = np.take_along_axis(steps, best[:, None, :], 1)[:, 0] + EMIT[codes[rows, j], k][:, None]
                 better = value > after[rows, :, x]
                 after[rows, :, x] = np.where(better, value, after[rows, :, x])
-                came[j, rows, :, x] = np.where(better, best, came[j, rows, :, x])
+                if remember:
+                    came[j, rows, :, x] = np.where(better, best, came[j, rows, :, x])
         score = after
-    at = (score + model[:, :, EDGE]).reshape(n, -1).argmax(1)
-    a, b, rows = at // STATES, at % STATES, np.arange(n)
+    return score, came
+
+
+def viterbi(tokens: list[str], model: np.ndarray, codes: list[np.ndarray] | None = None, begin: np.ndarray | None = None, ends: bool = True) -> list[str]:
+    """The likeliest letters (and edges) of each token, all of like length at once. A state is the last two letters.
+
+    Ways back are held for ``SPAN`` characters at a time: scores are kept at the spans' edges, and a span is gone through once more on the way back. begin has the states that
+    tokens begin in, if not at an edge; without ends they do not end at an edge either."""
+    n, width = len(tokens), max(map(len, tokens))
+    table = np.full((n, width), PAST)
+    for i, t in enumerate(tokens):
+        table[i, : len(t)] = observed(t) if codes is None else codes[i]
+    to = np.ascontiguousarray(model.transpose(2, 0, 1))  # by the next letter
+    score = np.full((n, STATES, STATES), -np.inf, np.float32)
+    rows = np.arange(n)
+    if begin is None:
+        score[:, EDGE, EDGE] = 0
+    else:
+        score[rows, begin[:, 0], begin[:, 1]] = 0
+    cuts = list(range(0, width, SPAN))
+    held = [score]
+    for at in cuts[:-1]:
+        held.append(advanced(table[:, at : at + SPAN], held[-1], to, False)[0])
+    last, came = advanced(table[:, cuts[-1] :], held[-1], to, True)
+    at = (last + model[:, :, EDGE] if ends else last).reshape(n, -1).argmax(1)
+    a, b = at // STATES, at % STATES
     out = [[] for _ in range(n)]
-    for j in range(width - 1, -1, -1):
-        back = came[j, rows, a, b]
-        for i in np.flatnonzero(back >= 0):
-            out[i].append(tokens[i][j] if b[i] == OTHER else " " if b[i] == EDGE else chr(97 + b[i]))
-        a, b = np.where(back >= 0, back, a), np.where(back >= 0, a, b)
+    for c in reversed(range(len(cuts))):
+        if c < len(cuts) - 1:
+            came = advanced(table[:, cuts[c] : cuts[c] + SPAN], held[c], to, True)[1]
+        held[c] = None
+        for j in range(len(came) - 1, -1, -1):
+            back = came[j, rows, a, b]
+            for i in np.flatnonzero(back >= 0):
+                out[i].append(tokens[i][cuts[c] + j] if b[i] == OTHER else " " if b[i] == EDGE else chr(97 + b[i]))
+            a, b = np.where(back >= 0, back, a), np.where(back >= 0, a, b)
     return ["".join(reversed(x)) for x in out]
 
 
+def long_viterbi(token: str, model: np.ndarray) -> str:
+    """A long token's likeliest letters: two letters in a row that are said once each leave one state, so that the token is cut behind them, and its pieces are read together."""
+    codes = np.asarray(observed(token))
+    sure = codes <= OTHER - 1  # a-z and letters beyond ASCII that are not said again: one way to read them
+    cut = np.flatnonzero(sure[1:] & sure[:-1]) + 2
+    cut = cut[cut < len(codes)]
+    kept, at = [], 0
+    for c in cut.tolist():
+        if c - at >= PIECE:
+            kept.append(c)
+            at = c
+    bounds = [0, *kept, len(codes)]
+    state = np.where(codes < 26, codes, OTHER)
+    out = [""] * (len(bounds) - 1)
+    inner = sorted(range(1, len(out) - 1), key=lambda i: bounds[i + 1] - bounds[i])
+    groups = [[0]] + [[len(out) - 1]] * (len(out) > 1) if len(out) > 1 else [[0]]
+    at = 0
+    while at < len(inner):
+        size = bounds[inner[at] + 1] - bounds[inner[at]]
+        most = max(1, 800 * 64 // max(64, 2 * size))
+        group = [i for i in inner[at : at + most] if bounds[i + 1] - bounds[i] <= 2 * size]
+        groups.append(group)
+        at += len(group)
+    for group in groups:
+        pieces = [token[bounds[i] : bounds[i + 1]] for i in group]
+        begin = None if group[0] == 0 else np.array([[state[bounds[i] - 2], state[bounds[i] - 1]] for i in group])
+        for i, said in zip(group, viterbi(pieces, model, [codes[bounds[i] : bounds[i + 1]] for i in group], begin, group[-1] == len(out) - 1)):
+            out[i] = said
+    return "".join(out)
+
+
 def said_once(tokens: list[str], model: np.ndarray) -> list[str]:
     """The likeliest reading of tokens of letters alone, where each repeated letter counts or does not: all paths of such a lattice, scored outright."""
     words, owner, cost = [], [], []
@@ -164,6 +220,10 @@ def restore(tokens: list[str], model: np.ndarray) -> list[str]:
         for i, said in zip(part, said_once([out[i] for i in part], model)):
             out[i] = said
     for width, group in by.items():
+        if width > LONG:
+            for i in group:
+                out[i] = long_viterbi(out[i], model) or out[i]
+            continue
         step = max(1, 800 // width)
         for k in range(0, len(group), step):
             part = group[k : k + step]
