@@ -74,3 +74,13 @@ def test_words_keep_the_tags_of_those_they_begin_with():
     _, tags = lexicon()
     assert {"temperature", "failed"} <= set(tags["overheat"]) and {"stp", "storm"} & set(tags["storm-control"]) == {"storm"}
     assert "restart" in tags["restarted"] and "restart_word" in tags["restarted"]
+
+
+def test_fields_of_very_long_lines(spark):
+    from tracewell.functions.lines import parsed
+
+    say = lambda n: "<13>Jan  5 10:00:00 h app: date=1 devname=F devid=FGT logid=1 type=t " + " ".join(f"k{i}=v{i}" for i in range(n))
+    rows = spark.createDataFrame([(n, say(n)) for n in (995, 996, 1200)], "n int, raw string").withColumn("received", F.expr("timestamp'2024-01-05 10:00:00'"))
+    got = {r["n"]: r["fields"] for r in parsed(rows).collect()}
+    assert [len(got[n]) for n in (995, 996, 1200)] == [1000, 1000, 1000]
+    assert tuple(got[995][-1]) == ("k994", "v994") and tuple(got[996][-1]) == ("truncated_fields", "2 more not kept") and tuple(got[1200][998]) == ("k993", "v993")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import syslog as s
 from .text import neutral
 
-#: Fields that a line keeps at most; one more says how many there were.
+#: Fields that a line has at most; of more, the last one says how many were not kept.
 MOST_FIELDS = 1000
 #: Bytes of host, program and process that a row keeps at most.
 HOST_BYTES, LABEL_BYTES = 255, 128
@@ -153,7 +153,8 @@ def parsed(df: DataFrame, raw: str = "raw", received: str = "received") -> DataF
     )
     rows = rows.withColumn("_all", F.concat(F.col("_before"), F.col("_own"), F.coalesce(fields, none)))
     n = F.size("_all")
-    cut = F.concat(F.slice("_all", 1, MOST_FIELDS), F.array(F.struct(F.lit("truncated_fields").alias("key"), (n - MOST_FIELDS).cast("string").alias("value"))))
+    note = F.concat((n - (MOST_FIELDS - 1)).cast("string"), F.lit(" more not kept"))
+    cut = F.concat(F.slice("_all", 1, MOST_FIELDS - 1), F.array(F.struct(F.lit("truncated_fields").alias("key"), note.alias("value"))))
     rows = rows.withColumn("facility", s.facility(F.col("_pri"))).withColumn("severity", F.coalesce(said, s.severity(F.col("_pri"))))
     rows = rows.withColumn("fields", F.when(n > MOST_FIELDS, cut).otherwise(F.col("_all")))
     # As a generator: a filter on a column is not pushed below it, where it would be worked out from the line once more for each use.
