@@ -729,3 +729,13 @@ def test_pipeline_stages_take_odd_rows(spark, odd, sf_dir):
     for name, stage in p.STAGES:
         for df in (odd, empty(spark)):
             assert stage(spark, df, sf_dir).count() <= 4 * (df.count() + 1), name
+
+
+def test_doubles_and_turned_codes_come_back():
+    """Doubles keep their bits, and a code turned twice is itself."""
+    rng = np.random.default_rng(5)
+    for values in (np.zeros(0), np.array([0.0, -0.0, -1.5, np.inf, 3, 3]), rng.normal(size=5000), rng.integers(0, 9, 5000) / 7):
+        assert asking.unsqueezed_doubles(asking.squeezed_doubles(values)).tobytes() == values.tobytes()
+    code = rng.integers(0, 1 << 56, 5000)
+    assert (lm.turned(lm.turned(code)) == code).all()
+    assert lm.turned(np.array([0x01020304050607])).tolist() == [0x06050403020107]

@@ -93,6 +93,18 @@ def unsqueezed(raw: bytes, kind=np.int64) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def squeezed_doubles(values: np.ndarray) -> bytes:
+    """Doubles, compressed without loss: the different ones by the steps between their rising bit patterns, then each value's place among them."""
+    different, at = np.unique(np.ascontiguousarray(values, np.float64).view(np.int64), return_inverse=True)
+    steps = squeezed(np.diff(different, prepend=np.int64(0)))
+    return len(steps).to_bytes(8, "little") + steps + squeezed(at.astype(np.int32))
+
+
+def unsqueezed_doubles(raw: bytes) -> np.ndarray:
+    end = 8 + int.from_bytes(raw[:8], "little")
+    return np.cumsum(unsqueezed(raw[8:end])).view(np.float64)[unsqueezed(raw[end:], np.int32)]
+
+
 NONE = np.int64(-(1 << 63))
 
 
@@ -302,7 +314,7 @@ def answered(ready: DataFrame, text: str, shards: int, table: DataFrame, questio
                     order = np.argsort(g, kind="stable")
                     g, v = g[order], v[order]
                     v = solve(g, v) if solve else v
-                out.append((block.as_py(), at, len(codes), squeezed(v[np.searchsorted(g, codes)].astype(np.float64))))
+                out.append((block.as_py(), at, len(codes), squeezed_doubles(v[np.searchsorted(g, codes)])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["block", "shard", "size", "numbers"])
         release()
@@ -317,7 +329,7 @@ def answered(ready: DataFrame, text: str, shards: int, table: DataFrame, questio
         order, _ = by_shard(codes, shards, shard)
         values = np.zeros(len(places.bag.code))
         answers = answers.take(pa.array(np.argsort(answers.column("shard").to_numpy())))
-        values[at[order]] = np.concatenate([np.zeros(0), *(unsqueezed(raw, np.float64) for raw in answers.column("numbers").to_pylist())])
+        values[at[order]] = np.concatenate([np.zeros(0), *(unsqueezed_doubles(raw) for raw in answers.column("numbers").to_pylist())])
         del places, codes, at, order
         out = add(group, ((more, values[p]) for more, p in parts))
         release()
