@@ -89,7 +89,8 @@ def squeezed(values: np.ndarray) -> bytes:
 
 
 def unsqueezed(raw: bytes, kind=np.int64) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes, wide = np.frombuffer(zstandard.decompress(raw), np.uint8), np.dtype(kind).itemsize
+    planes = planes.reshape(wide, len(planes) // wide)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
