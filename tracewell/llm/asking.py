@@ -85,7 +85,7 @@ def unpacked(batches, text: str):
 
 def squeezed(values: np.ndarray) -> bytes:
     """Numbers of one width, compressed plane by plane: the first bytes of sorted codes are runs, and the last ones are letters."""
-    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T).tobytes(), 3)
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 3)
 
 
 def unsqueezed(raw: bytes, kind=np.int64) -> np.ndarray:

@@ -45,17 +45,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark removes a shuffle's files when the driver's JVM finds that nothing refers to it; the scheduler may refer to the last job's until another has run."""
+    gc.collect()
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the folder of checkpoints, or else in the warehouse (a cluster shares both): compressed, and read column by column."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # The shuffles behind the table are not needed any more; Spark removes their files when the driver's JVM finds that nothing refers to them.
-    gc.collect()
-    jvm = getattr(spark.sparkContext, "_jvm", None)
-    if jvm is not None:
-        jvm.System.gc()
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

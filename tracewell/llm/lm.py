@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .asking import BLOCK, ODD, answered, asked, grams, mask, merged, packed_texts, shard_of, unpacked_table
-from .common import LOWER, crc_mod5, gathered, prefix_hash, small_batches, span_hash, table, text_bytes, word_spans, written
+from .common import LOWER, crc_mod5, free_shuffles, gathered, prefix_hash, small_batches, span_hash, table, text_bytes, word_spans, written
 
 #: Bytes of context; a symbol and its context are a code of 56 bits.
 ORDER = 6
@@ -133,6 +133,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     sums = found.where("g < 0").agg(F.sum("v").alias("n"), F.count_if(F.col("v") > 0).alias("v")).first()
     train, different = (sums["n"] or 0) + texts, sums["v"] + (texts > 0)
     short = docs.sparkSession.sparkContext.broadcast(short_orders(found))  # 256 * 256 numbers
+    free_shuffles(docs.sparkSession)  # those of the merge and of the sums
     rest = train + 0.5 * (different + 1)
 
     def solve(g: np.ndarray, c: np.ndarray) -> np.ndarray:
