@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import predicates as p
 from ..sources.views import log
-from . import aggregates, correlations, filters, lines, mibs, packets, parsers, payloads, protocols, rules, scalars, sequences, streams, tcp, traps  # noqa: F401
+from . import aggregates, correlations, filters, hints, lines, mibs, packets, parsers, payloads, protocols, rules, scalars, sequences, streams, tcp, traps  # noqa: F401
 from .registry import QUERIES, SQL
 
 
