@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from tracewell import plans
+from tracewell.plans.lines import KINDS
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -42,3 +43,15 @@ def test_query_equals_sql(spark, con, sf_dir, name):
 
 def test_names_are_registered_once():
     assert set(plans.oracle_sql()) <= set(plans.queries())
+
+
+def test_lines_without_an_address_are_from_their_event(spark, sf_dir, tmp_path):
+    """Two of the kinds of firewalls' lines name no address; a line that names one goes by it."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 400")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    firewalls = [i for i, k in enumerate(KINDS) if k.vendor in ("fortios", "check-point")]
+    silent = [i for i in firewalls if "{address}" not in KINDS[i].message]
+    want = {(r["event_id"], r["event_id"] % len(KINDS)) for r in events.collect() if r["event_id"] % len(KINDS) in firewalls and r["user_id"] % 4 == 1}
+    assert {kind for _, kind in want} > set(silent) > set()
+    got = plans.queries()["filter_parsed_field"](spark, str(tmp_path)).collect()
+    assert sorted(r["id"] for r in got) == sorted(i for i, _ in want)
