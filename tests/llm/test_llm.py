@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tracewell.llm import asking, bpe, fixity, lm, minhash, mixing, neighbours, parsing, perplexity, quality_rules, registry, toxicity
@@ -739,3 +740,41 @@ def test_doubles_and_turned_codes_come_back():
     code = rng.integers(0, 1 << 56, 5000)
     assert (lm.turned(lm.turned(code)) == code).all()
     assert lm.turned(np.array([0x01020304050607])).tolist() == [0x06050403020107]
+
+
+def test_tallies_of_a_block_equal_a_counter(spark, monkeypatch):
+    """A block's different codes and counts, over several sorts, codes of both signs and of all widths; a code that no counted text has is there with none. No table of places is made."""
+    rng = np.random.default_rng(7)
+    for codes in (rng.integers(-(2**62), 2**62, 5000), rng.integers(-50, 50, 9000), np.array([-(2**62), 2**62 - 1, 0, -1]), np.zeros(0, np.int64)):
+        counts = rng.random(len(codes)) < 0.7
+        want = Counter(codes[counts].tolist())
+        got = [asking.tallied(codes[at::2] << 1 | counts[at::2]) for at in (0, 1)]
+        g, c = asking.summed([*got, (np.zeros(0, np.int64),) * 2])
+        assert g.tolist() == sorted(set(codes.tolist())) and c.tolist() == [want[x] for x in g.tolist()]
+        order, ends = asking.by_shard(codes, 7, asking.shard_of)
+        shard = asking.shard_of(codes, 7)
+        assert codes[order].tolist() == codes[np.lexsort((codes, shard))].tolist() and ends.tolist() == np.searchsorted(np.sort(shard), range(8)).tolist()
+
+    def none(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(asking.Bag, "add", none)
+    monkeypatch.setattr(asking, "SORTED", 40)
+    batch = pa.table({"_block": pa.array([3] * 9), "t": pa.array([zstandard.compress(t.encode()) for t in ("abc" * i + "xé" for i in range(9))])})
+    caught = []
+
+    class Ready:
+        def groupBy(self, _):
+            return self
+
+        def applyInArrow(self, f, _):
+            caught.append(f)
+
+    asking.asked(Ready(), "t", 5, lambda b: (asking.grams(*text_bytes(b.column(0)), 3)[0], None, np.arange(sum(map(len, map(str.encode, b.column(0).to_pylist())))) % 2 > 0))
+    monkeypatch.setattr(asking, "chunks", lambda batches, text: (x.slice(i, 1) for x in batches for i in range(x.num_rows)))
+    out, want = caught[0](batch), Counter()
+    for t in ("abc" * i + "xé" for i in range(9)):
+        for i, g in enumerate(asking.grams(*text_bytes(pa.array([t])), 3)[0].tolist()):
+            want[g] += i % 2
+    got = {g: c for codes, counts in zip(out.column("codes").to_pylist(), out.column("numbers").to_pylist()) for g, c in zip(asking.unsqueezed(codes).tolist(), asking.unsqueezed(counts, np.int32).tolist())}
+    assert got == dict(want) and out.column("block").to_pylist() == [3] * out.num_rows

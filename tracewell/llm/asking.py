@@ -20,6 +20,8 @@ from .common import chunks, release
 
 #: Bytes of text in a block, codes in a shard of the table, rows of the table that a task packs together.
 BLOCK, SHARD, PACK = 8 << 20, 1 << 20, 1 << 19
+#: Codes of a block's texts that are sorted at a time.
+SORTED = 3 << 20
 #: Odd numbers of 20 bits that spread codes over shards.
 ODD, ODDER = 742_039, 968_137
 
@@ -123,8 +125,9 @@ class Bag:
 
     def places(self, codes: np.ndarray) -> np.ndarray:
         """The slot of each code; those that are new take one."""
-        out, todo, at, mask = self.slot(codes), np.arange(len(codes)), None, (1 << self.bits) - 1
-        at = out.copy()
+        out, mask = self.slot(codes), (1 << self.bits) - 1
+        todo = np.flatnonzero(self.code[out] != codes)  # most have been met, and stand in the first slot
+        at = out[todo]
         while len(todo):
             mine = codes[todo]
             free = self.code[at] == NONE
@@ -192,9 +195,28 @@ class Places:
 
 def by_shard(codes: np.ndarray, shards: int, shard) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts codes by shard and code, and where each shard's part of it ends."""
-    of = shard(codes, shards)
-    order = np.lexsort((codes, of))
-    return order, np.searchsorted(of[order], np.arange(shards + 1))
+    order = np.argsort(codes)
+    of = shard(codes[order], shards).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+    by = np.argsort(of, kind="stable")  # of short numbers by digits
+    return order[by], np.searchsorted(of[by], np.arange(shards + 1))
+
+
+def tallied(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of codes (62 bits and a sign) times two, and one more where a code counts: the different codes, rising, and how often each counts. One sort in place, and no table."""
+    both.sort()
+    first = np.flatnonzero(np.r_[True, (both[1:] ^ both[:-1]).view(np.uint64) > 1][: len(both)])
+    codes = both[first] >> 1
+    both &= 1
+    return codes, np.add.reduceat(both, first) if len(first) else first
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes of parts, rising, with the sums of their counts."""
+    g, c = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+    order = np.argsort(g)
+    g, c = g[order], c[order]
+    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]][: len(g)])
+    return g[first], np.add.reduceat(c, first) if len(first) else c
 
 
 def packed_table(table: DataFrame, shards: int, shard) -> DataFrame:
@@ -230,15 +252,25 @@ def asked(ready: DataFrame, text: str, shards: int, codes_of: Callable, shard: C
     codes_of(batch), of a batch with the texts and the columns named, gives the codes and what goes with them; or three arrays, of which the last says which codes count."""
 
     def ask(group: pa.Table) -> pa.Table:
-        bag, counted = Bag(), False
+        raw, held, counted = [], [(np.zeros(0, np.int64),) * 2], False
+
+        def tally():
+            both = np.concatenate(raw)
+            raw.clear()
+            held.append(tallied(both))
+
         for b in unpacked(group.select([text, *columns]).to_batches(), text):
             codes, _, *counts = codes_of(b)
-            if counts:
-                counted = True
-                bag.add(codes[counts[0]], 1)
-                codes = codes[~counts[0]]
-            bag.add(codes, 0)
-        codes, counts = bag.all()
+            counted |= bool(counts)
+            raw.append(codes << 1 | counts[0] if counts else codes << 1)
+            if sum(map(len, raw)) > SORTED:
+                tally()
+            if sum(len(x[0]) for x in held[1:]) > max(SORTED, len(held[0][0])):
+                held[:] = [summed(held)]
+        if raw:
+            tally()
+        codes, counts = summed(held)
+        held.clear()
         order, ends = by_shard(codes, shards, shard)
         block = group.column("_block")[0].as_py()
         rows = [(s, block, squeezed(codes[at]), squeezed(counts[at].astype(np.int32)) if counted else None) for s, at in ((s, order[a:b]) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b)]
@@ -254,13 +286,6 @@ def merged(questions: DataFrame, shards: int) -> DataFrame:
     def run(batches):
         at, held = None, []
 
-        def pack(some):
-            g, c = (np.concatenate([x[i] for x in some]) for i in (0, 1))
-            order = np.argsort(g, kind="stable")
-            g, c = g[order], c[order]
-            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            return g[first], np.add.reduceat(c, first)
-
         def row(g, c):
             return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([-1], pa.int32()), pa.array([squeezed(g)], pa.binary()), pa.array([squeezed(c)], pa.binary())], names=["shard", "block", "codes", "numbers"])
 
@@ -268,13 +293,13 @@ def merged(questions: DataFrame, shards: int) -> DataFrame:
             for s, codes, numbers in zip(*(batch.column(i) for i in (0, 2, 3))):
                 if s.as_py() != at:
                     if held:
-                        yield row(*pack(held))
+                        yield row(*summed(held))
                     at, held = s.as_py(), []
                 held.append((unsqueezed(codes.as_buffer()), unsqueezed(numbers.as_buffer(), np.int32).astype(np.int64)))
                 if len(held) > 1 and sum(len(x[0]) for x in held[1:]) > max(PACK, len(held[0][0])):
-                    held = [pack(held)]
+                    held = [summed(held)]
         if held:
-            yield row(*pack(held))
+            yield row(*summed(held))
         release()
 
     return questions.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, QUESTION)

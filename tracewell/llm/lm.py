@@ -65,9 +65,8 @@ def mixed(n: np.ndarray, low: np.ndarray, total: np.ndarray, kinds: np.ndarray,
 
 def turned(code: np.ndarray) -> np.ndarray:
     """Codes of n-grams with their contexts' bytes from last to first, or back again: sorted codes of a shard, whose contexts end alike, then begin alike and take less room."""
-    of = np.ascontiguousarray(code.astype("<i8")).view(np.uint8).reshape(-1, 8)
-    of[:, 1 : ORDER + 1] = of[:, ORDER:0:-1].copy()
-    return of.view("<i8").ravel().astype(np.int64)
+    context = (code >> 8).byteswap().view(np.uint64) >> np.uint64(8 * (7 - ORDER))
+    return context.view(np.int64) | (code & 255)
 
 
 def short_orders(found: DataFrame) -> np.ndarray:
