@@ -778,3 +778,46 @@ def test_tallies_of_a_block_equal_a_counter(spark, monkeypatch):
             want[g] += i % 2
     got = {g: c for codes, counts in zip(out.column("codes").to_pylist(), out.column("numbers").to_pylist()) for g, c in zip(asking.unsqueezed(codes).tolist(), asking.unsqueezed(counts, np.int32).tolist())}
     assert got == dict(want) and out.column("block").to_pylist() == [3] * out.num_rows
+
+
+def test_spans_as_rows_take_little_room():
+    """The rows of many windows take their own room and little more: places, of eight bytes for one, stand for a part of them at a time."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    flat = rng.integers(0, 256, 1 << 20).astype(np.uint8)
+    start, size = rng.integers(0, len(flat), 200_000), rng.integers(0, 65, 200_000)
+    tracemalloc.start()
+    rows = parsing.rows_of(flat, start, size, 64)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 3 * rows.nbytes
+    for i in range(0, len(start), 9973):
+        assert rows[i].tolist() == (flat[np.minimum(np.arange(start[i], start[i] + 64), len(flat) - 1)] * (np.arange(64) < size[i])).tolist()
+
+
+def test_steps_of_the_parse_give_memory_back(spark, monkeypatch):
+    """Each step on groups ends with a release: a worker that waits for its next task must not hold the last one's memory beside what runs."""
+    caught, freed = [], []
+
+    class Groups:
+        def groupBy(self, _):
+            return self
+
+        def cogroup(self, _):
+            return self
+
+        def applyInArrow(self, f, _):
+            caught.append(f)
+
+    for step in (lambda: parsing.repeated(Groups(), 9), lambda: parsing.phrases(Groups(), Groups(), 3, 50), lambda: parsing.ordered_spans(Groups(), 50)):
+        step()
+    monkeypatch.setattr(parsing, "release", lambda: freed.append(1))
+    text = "".join(chr(97 + i * i % 23) for i in range(300))
+    parsed = pa.table({"shard": pa.array([0], pa.int32()), "n": pa.array([1], pa.int32()), "entries": [parsing.pack(np.zeros(1, np.int32), np.ones(1, np.int32), np.zeros(6, np.uint8))]})
+    caught[0](parsed)
+    docs = pa.table({"block": pa.array([0, 0], pa.int32()), "doc_id": [1, 2], "row_key": [5, 6], "text": [text + "x", text + "y"]})
+    sent = caught[1](docs, pa.table({"n": pa.array([], pa.int32()), "grams": pa.array([], pa.binary())}))
+    assert len(freed) == 2
+    spans = caught[2](sent.filter(pa.array(sent.column("n").to_numpy() > 0)))
+    assert len(freed) == 3 and spans.num_rows >= 0

@@ -182,6 +182,8 @@ def repeated(parsed: DataFrame, hot: int) -> DataFrame:
         block = block[many]
         by = np.argsort(block, kind="stable")
         code, block = code[by], block[by]
+        del h, times, group_at, often, new, many, by
+        release()
         cut = np.flatnonzero(np.r_[runs(block), True]) if len(block) else np.zeros(1, int)
         return pa.table({"block": pa.array(block[cut[:-1]], pa.int32()), "n": pa.array(np.diff(cut), pa.int32()), "grams": pa.array([pack(code[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
 
@@ -210,6 +212,8 @@ def phrases(docs: DataFrame, answers: DataFrame, shards: int, length: int) -> Da
             for shard, n, packed in block_phrases(left, np.concatenate(codes) if codes else np.zeros(0, np.uint64)):
                 for name, x in zip(out, (block % shards if shard is None else shard, block, n, packed)):
                     out[name].append(x)
+            del left, codes
+        release()
         return pa.table({"shard": pa.array(out["shard"], pa.int32()), "block": pa.array(out["block"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "packed": pa.array(out["packed"], pa.binary())})
 
     def block_phrases(left, codes):
@@ -293,9 +297,11 @@ def sorted_ranks(strings: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.
 
 def rows_of(flat: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
     """The spans of flat as rows of width bytes, zero beyond their size."""
-    place = np.arange(width)
-    out = flat[np.minimum(start[:, None] + place, len(flat) - 1)]
-    out[place >= size[:, None]] = 0
+    place, out = np.arange(width), np.empty((len(start), width), flat.dtype)
+    for low in range(0, len(start), PHRASES):  # places take eight times the room of bytes
+        part = slice(low, low + PHRASES)
+        out[part] = flat[np.minimum(start[part, None] + place, len(flat) - 1)]
+        out[part][place >= size[part, None]] = 0
     return out
 
 
@@ -364,6 +370,8 @@ def ordered_spans(dictionary: DataFrame, length: int) -> DataFrame:
         hit = hit[np.argsort(block[hit], kind="stable")]
         cut = np.flatnonzero(np.r_[runs(block[hit]), True]) if len(hit) else np.zeros(1, int)
         spans = [pack(row[i], (place + first)[i].astype(np.int32), (place + last + length)[i].astype(np.int32)) for i in (hit[a:b] for a, b in zip(cut[:-1], cut[1:]))]
+        del pieces, flat, trigger, by, doc, before, count, size, begin
+        release()
         return pa.concat_tables([ready, pa.table({"block": pa.array(block[hit[cut[:-1]]], pa.int32()), "n": pa.array(np.diff(cut), pa.int32()), "spans": pa.array(spans, pa.binary())})])
 
     return dictionary.groupBy("shard").applyInArrow(run, "block int, n int, spans binary")
