@@ -120,6 +120,21 @@ def test_last_before_and_within(spark):
     assert pairs == {(i, v) for k, t, i in left for bk, bt, v in right if bk == k and t - 3 <= bt <= t + 7}
 
 
+def test_last_within(spark):
+    rng = random.Random(6)
+    some = lambda n, low: [(rng.choice([None, 1, 2]), rng.choice([None, "a", "b", "c"]), rng.randrange(-60, 60), low + rng.randrange(n)) for _ in range(n)]
+    left, right = some(150, 0), some(60, 1000)
+    a, b = spark.createDataFrame(left, "k int, f string, t bigint, id int"), spark.createDataFrame(right, "k int, f string, other_t bigint, v int")
+    want = {}
+    for k, f, t, i in left:
+        near = [(f is not None and f == g, bt, v) for bk, g, bt, v in right if k is not None and bk == k and t - 5 <= bt <= t]
+        want[i] = max(near + [want[i]] if i in want else near, default=None)
+        if want[i] is None:
+            del want[i]
+    got = correlate.last_within(a, b, ["k"], "f", "v", 5).collect()
+    assert sorted((r["id"], r["v"]) for r in got) == sorted((i, v) for i, (_, _, v) in want.items())
+
+
 def replay(rows, idle):
     """Conversations step by step."""
     out, state = {}, {}

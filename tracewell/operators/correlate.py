@@ -45,6 +45,26 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], before: int, afte
     return left.join(pairs.select("id").distinct(), "id", how)
 
 
+def last_within(left: DataFrame, right: DataFrame, keys: list[str], finer: str, value: str, before: int, t: str = "t", other: str = "other_t", id_col: str = "id") -> DataFrame:
+    """(id, value): of right's rows of the same keys in [left's t - before, t] the last one, with those that agree in finer as well first and the greatest value of equal times; none, no row.
+
+    Both sides go through two windows in order of time, of one shuffle by keys and time bucket, so no pair is built. A bucket is as wide as four
+    intervals and a right row stands in each that its interval reaches. Left rows of one id count as one."""
+    width = 4 * (before + 1)
+    reach = F.array_distinct(F.array(F.expr(f"{other} div {width}"), F.expr(f"({other} + {before}) div {width}")))
+    known = lambda df, at: df.where(" and ".join(f"{c} is not null" for c in (*keys, at)))
+    a = known(right, other).select(*keys, finer, F.col(other).alias("_t"), F.lit(0).alias("_side"), F.col(value), F.explode(reach).alias("_bucket"))
+    b = known(left, t).select(*keys, finer, F.col(t).alias("_t"), F.lit(1).alias("_side"), F.col(id_col), F.expr(f"{t} div {width}").alias("_bucket"))
+    w = lambda *more: Window.partitionBy(*keys, "_bucket", *more).orderBy("_t", "_side", value).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.when(F.col("_side") == 0, F.struct("_t", value))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_any", F.last(seen, ignorenulls=True).over(w()))
+    both = both.withColumn("_same", F.last(seen, ignorenulls=True).over(w(finer))).where("_side = 1")
+    inside = lambda c, same: F.when(F.col(f"{c}._t") >= F.col("_t") - before, F.struct(F.lit(same).alias("same"), f"{c}._t", f"{c}.{value}"))
+    found = F.coalesce(F.when(F.col(finer).isNotNull(), inside("_same", True)), inside("_any", False))
+    best = both.select(id_col, found.alias("_m")).where("_m is not null").groupBy(id_col).agg(F.max("_m").alias("_m"))
+    return best.select(id_col, F.col(f"_m.{value}").alias(value))
+
+
 def longest_prefix(df: DataFrame, path: Column, nodes: DataFrame, node_path: str, id_col: str) -> DataFrame:
     """(id, node columns): the node whose path (an array) is the longest beginning of each row's path."""
     prefixes = F.transform(F.sequence(F.lit(1), F.size(path)), lambda n: F.slice(path, 1, n))

@@ -48,10 +48,8 @@ SELECT id, cause FROM p WHERE n = 1""",
 def nearest_prior(spark, sf_dir):
     """The nearest change in the hour before each error of the same group, one of the same device first."""
     rows = log(spark, sf_dir)
-    changes = rows.where("program = 'signup'").select("port", F.col("t").alias("other_t"), F.col("id").alias("cause"), F.col("host").alias("other_host"))
-    pairs = c.within(rows.where("program = 'error'").select("port", "t", "id", "host"), changes, ["port"], HOUR, 0)
-    best = pairs.groupBy("id").agg(F.max(F.struct((F.col("host") == F.col("other_host")).alias("same"), "other_t", "cause")).alias("m"))
-    return best.select("id", F.col("m.cause").alias("cause"))
+    changes = rows.where("program = 'signup'").select("port", "host", F.col("t").alias("other_t"), F.col("id").alias("cause"))
+    return c.last_within(rows.where("program = 'error'").select("port", "t", "id", "host"), changes, ["port"], "host", "cause", HOUR)
 
 
 @query(
